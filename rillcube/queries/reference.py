@@ -639,12 +639,13 @@ def raw_cube_by_domain(spark, d):
     return Cube.build(WEB_SPEC, transform.url_to_domain(requests(spark, d), "url")).finalize()
 
 
-@query("""WITH l AS (SELECT floor(epoch_us(arrival_time) / 3600000000.0)::BIGINT AS period, site AS source, coalesce(avg_size_sum, 0)::BIGINT AS size, ((epoch_us(arrival_time) - epoch_us(time)) // 1000)::DOUBLE AS latency FROM web_requests WHERE time IS NOT NULL AND time <= arrival_time),
-        s AS (SELECT period, source, sum(size) AS size FROM l GROUP BY 1, 2), g AS (SELECT period, round(stddev_pop(size), 3) AS source_deviation, count(*) AS sources FROM s GROUP BY 1)
-        SELECT period, sum(size)::BIGINT AS bytes, count(*) AS items, quantile_cont(latency, 0.5) AS median, quantile_cont(latency, 0.95) AS p95, max(latency) AS max_latency, count(*) FILTER (WHERE latency > 30000) AS very_late, any_value(source_deviation) AS source_deviation, any_value(sources) AS sources FROM l JOIN g USING (period) GROUP BY 1""")
+@query("""WITH l AS (SELECT floor(epoch_us(arrival_time) / 3600000000.0)::BIGINT AS period, site AS source, coalesce(avg_size_sum, 0)::BIGINT AS size, (epoch_us(arrival_time) - epoch_us(time)) // 1000 AS latency FROM web_requests WHERE time IS NOT NULL AND time <= arrival_time),
+        s AS (SELECT period, source, sum(size) AS size FROM l GROUP BY 1, 2), g AS (SELECT period, round(stddev_pop(size), 3) AS source_deviation, count(*) AS sources FROM s GROUP BY 1),
+        k AS (SELECT period, latency, row_number() OVER (PARTITION BY period ORDER BY latency) AS k, count(*) OVER (PARTITION BY period) AS n FROM l), q AS (SELECT period, min(latency) FILTER (WHERE k >= ceil(0.5 * n)) AS median, min(latency) FILTER (WHERE k >= ceil(0.95 * n)) AS p95 FROM k GROUP BY 1)
+        SELECT period, sum(size)::BIGINT AS bytes, count(*) AS items, any_value(median) AS median, any_value(p95) AS p95, max(latency) AS max_latency, count(*) FILTER (WHERE latency > 30000) AS very_late, any_value(source_deviation) AS source_deviation, any_value(sources) AS sources FROM l JOIN g USING (period) JOIN q USING (period) GROUP BY 1""")
 def image_quality_stats(spark, d):
     rows = load(spark, d, "web_requests").where("time is not null and time <= arrival_time")
-    report = evaluate.latency_report(rows, F.floor(F.unix_micros("arrival_time") / 3_600_000_000), "site", F.coalesce("avg_size_sum", F.lit(0)).cast("bigint"), F.expr(_WAIT_SQL).cast("double"), 30_000)
+    report = evaluate.latency_report(rows, F.floor(F.unix_micros("arrival_time") / 3_600_000_000), "site", F.coalesce("avg_size_sum", F.lit(0)).cast("bigint"), F.expr(_WAIT_SQL), 30_000)
     return report.withColumn("source_deviation", F.round("source_deviation", 3))
 
 
