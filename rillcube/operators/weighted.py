@@ -16,7 +16,7 @@ without any value have null percentiles; empty tables give empty tables; further
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,26 +53,36 @@ def key_totals(counts: DataFrame, value_sum: str | None = None) -> DataFrame:
     return out.select(*[F.col(k).alias(k[2:]) for k in keys], *[c for c in out.columns if c not in keys and c != "best"], (-F.col("best.minus")).alias("mode_value"), F.col("best.n").alias("mode_rows"))
 
 
-def percentiles(counts: DataFrame, probabilities: Sequence[float], range_bits: int = RANGE_BITS) -> DataFrame:
+def reaching(p: Column, n: Column) -> Column:
+    """The rank of a percentile, from 1: the first value whose cumulative count reaches p * n."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(p * n).cast("long"))
+
+
+def at_place(p: Column, n: Column) -> Column:
+    """The rank, from 1, of the value at place ``int(n * p)`` from 0 of the sorted values."""
+    return F.least(F.floor(p * n).cast("long") + 1, n)
+
+
+def percentiles(counts: DataFrame, probabilities: Sequence[float], range_bits: int = RANGE_BITS, rank: Callable[[Column, Column], Column] = reaching) -> DataFrame:
     """Exact percentiles of weighted integer values: keys, ``p``, ``value``, and ``rows``, the count of all values of the key.
 
-    ``counts`` is as ``value_counts`` or ``combine_counts`` make it.
+    ``counts`` is as ``value_counts`` or ``combine_counts`` make it; ``rank`` gives the rank from probability and count.
     """
+    # the keys as one struct: structs compare null-safe, so the join and the windows share one partitioning; a range that
+    # is never null keeps both uses of the counts alike, and their shuffle is done once
     keys = [c for c in counts.columns if c.startswith("k_")]
-    given = counts.where("value is not null and n > 0").select(*keys, F.col("value").cast("long").alias("value"), "n")
-    given = given.withColumn("range", F.shiftright("value", range_bits))
-    ranges = given.groupBy(*keys, "range").agg(F.sum("n").alias("held"))
-    whole = Window.partitionBy(*keys)
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))
+    given = counts.where("value is not null and n > 0").select(key.alias("key"), F.col("value").cast("long").alias("value"), "n")
+    given = given.withColumn("range", F.coalesce(F.shiftright("value", range_bits), F.lit(0)))
+    ranges = given.groupBy("key", "range").agg(F.sum("n").alias("held"))
+    whole = Window.partitionBy("key")
     upto = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = ranges.withColumn("upto", F.sum("held").over(upto)).withColumn("rows", F.sum("held").over(whole))
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(float(p)) * F.col("rows")).cast("long")).alias("rank")) for p in probabilities])
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(F.lit(float(p)), F.col("rows")).alias("rank")) for p in probabilities])
     offset = F.col("upto") - F.col("held")
     here = F.filter(wanted, lambda w: (w["rank"] > offset) & (w["rank"] <= F.col("upto")))
-    targets = ranges.withColumn("targets", here).where(F.size("targets") > 0).select(*[F.col(k).alias(f"t_{k}") for k in keys], F.col("range").alias("t_range"), offset.alias("offset"), "rows", "targets")
-    same = F.col("range") == F.col("t_range")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"t_{k}"))
-    inside = Window.partitionBy(*keys, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    sums = given.join(targets, same).withColumn("cum", F.col("offset") + F.sum("n").over(inside))
+    targets = ranges.withColumn("targets", here).where(F.size("targets") > 0).select("key", "range", offset.alias("offset"), "rows", "targets")
+    inside = Window.partitionBy("key", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    sums = given.join(targets, ["key", "range"]).withColumn("cum", F.col("offset") + F.sum("n").over(inside))
     reached = F.filter("targets", lambda t: (t["rank"] <= F.col("cum")) & (t["rank"] > F.col("cum") - F.col("n")))
-    return sums.select(*keys, "value", "rows", F.explode(reached).alias("t")).select(*[F.col(k).alias(k[2:]) for k in keys], F.col("t.p").alias("p"), "value", "rows")
+    return sums.select("key", "value", "rows", F.explode(reached).alias("t")).select(*[F.col(f"key.{k}").alias(k[2:]) for k in keys], F.col("t.p").alias("p"), "value", "rows")
