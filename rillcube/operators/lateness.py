@@ -13,7 +13,7 @@ earlier rows.
 
 Defined results: rows with null event time, null arrival or an event time after the arrival are not usable: they are
 never beyond the cut-off and raise no mark; a null source is a source like any other; repeated rows count each; ties of
-arrival go by the tie column; empty tables give empty tables; further columns are kept by ``beyond_cutoff``.
+arrival go by the tie column; empty tables give empty tables; further columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -34,43 +34,42 @@ def period_start(time: Column, period: int = PERIOD) -> Column:
 
 
 def _flagged(df: DataFrame, source: str, time: str, arrival: str, tie: str, period: int, lateness: int, slice_seconds: int) -> DataFrame:
-    """``df`` with ``__usable`` and ``__beyond``."""
-    at, came = F.unix_micros(F.col(f"`{time}`").cast("timestamp")), F.unix_micros(F.col(f"`{arrival}`").cast("timestamp"))
-    usable = F.coalesce(F.col(f"`{time}`").cast("timestamp") <= F.col(f"`{arrival}`").cast("timestamp"), F.lit(False))
-    rows = df.withColumns({"__usable": usable, "__at": at, "__came": came})
+    """``df`` under the column names c0, c1 and so on (so no name can clash), with ``usable`` and ``beyond``."""
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    src, order = F.col(place[source]), F.col(place[tie])
+    happened, came = F.col(place[time]).cast("timestamp"), F.col(place[arrival]).cast("timestamp")
+    rows = df.toDF(*place.values()).withColumns({"usable": F.coalesce(happened <= came, F.lit(False)), "at": F.unix_micros(happened), "came": F.unix_micros(came)})
     rows = rows.withColumns({
-        "__slice": F.floor(F.col("__came") / (slice_seconds * 1_000_000)),
-        "__limit": (F.floor(F.col("__at") / (period * 1_000_000)).cast("long") * period + period + lateness) * 1_000_000,
+        "slice": F.floor(F.col("came") / (slice_seconds * 1_000_000)),
+        "limit": (F.floor(F.col("at") / (period * 1_000_000)).cast("long") * period + period + lateness) * 1_000_000,
     })
-    src = F.col(f"`{source}`")
     # the mark after each slice and before it: one row per source and slice
-    marks = rows.where("__usable").groupBy(src.alias("__source"), F.col("__slice").alias("__s")).agg(F.max("__at").alias("__top"))
-    line = Window.partitionBy("__source").orderBy("__s")
-    marks = marks.withColumn("__before", F.max("__top").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    marks = marks.withColumn("__after", F.greatest("__top", F.coalesce("__before", "__top"))).drop("__top")
-    rows = rows.join(marks, src.eqNullSafe(F.col("__source")) & (F.col("__slice") == F.col("__s")), "left").drop("__source", "__s")
-    sure = F.col("__usable") & F.coalesce(F.col("__limit") <= F.col("__before"), F.lit(False))
-    open_ = F.col("__usable") & ~sure & F.coalesce(F.col("__limit") <= F.col("__after"), F.lit(False))
-    raises = F.col("__usable") & (F.col("__before").isNull() | (F.col("__at") > F.col("__before")))
-    rows = rows.withColumns({"__sure": sure, "__open": open_})
-    # what the sure ones need no order for; the others wait for the mark within their slice
-    settled = rows.where(~F.col("__open")).withColumn("__beyond", F.col("__sure"))
-    undecided = rows.where(F.col("__open"))
-    inner = Window.partitionBy("source", "slice").orderBy("came", "tie", "kind")
-    contenders = rows.where(open_ | raises).select(src.alias("source"), F.col("__slice").alias("slice"), F.col("__came").alias("came"), F.col(f"`{tie}`").alias("tie"), F.lit(0).alias("kind"), F.when(raises, F.col("__at")).alias("mark"), "__limit", "__open")
+    marks = rows.where("usable").groupBy(src.alias("m_source"), F.col("slice").alias("m_slice")).agg(F.max("at").alias("top"))
+    line = Window.partitionBy("m_source").orderBy("m_slice")
+    marks = marks.withColumn("before", F.max("top").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    marks = marks.withColumn("after", F.greatest("top", F.coalesce("before", "top"))).drop("top")
+    rows = rows.join(marks, src.eqNullSafe(F.col("m_source")) & (F.col("slice") == F.col("m_slice")), "left").drop("m_source", "m_slice")
+    sure = F.col("usable") & F.coalesce(F.col("limit") <= F.col("before"), F.lit(False))
+    open_ = F.col("usable") & ~sure & F.coalesce(F.col("limit") <= F.col("after"), F.lit(False))
+    raises = F.col("usable") & (F.col("before").isNull() | (F.col("at") > F.col("before")))
+    rows = rows.withColumns({"sure": sure, "open": open_})
+    # the sure ones need no order; the others wait for the mark within their slice
+    settled = rows.where(~F.col("open")).withColumn("beyond", F.col("sure"))
+    undecided = rows.where(F.col("open"))
+    inner = Window.partitionBy("l_source", "l_slice").orderBy("l_came", "l_tie")
+    contenders = rows.where(open_ | raises).select(src.alias("l_source"), F.col("slice").alias("l_slice"), F.col("came").alias("l_came"), order.alias("l_tie"), F.when(raises, F.col("at")).alias("mark"), "limit", "open")
     inside = contenders.withColumn("seen", F.max("mark").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-    late = inside.where(F.col("__open") & (F.col("__limit") <= F.col("seen"))).select(F.col("source").alias("__source"), F.col("slice").alias("__s"), F.col("came").alias("__c"), F.col("tie").alias("__t")).distinct()
-    key = src.eqNullSafe(F.col("__source")) & (F.col("__slice") == F.col("__s")) & (F.col("__came") == F.col("__c")) & F.col(f"`{tie}`").eqNullSafe(F.col("__t"))
-    undecided = undecided.join(late, key, "left").withColumn("__beyond", F.col("__c").isNotNull()).drop("__source", "__s", "__c", "__t")
-    return settled.unionByName(undecided).drop("__at", "__came", "__slice", "__limit", "__before", "__after", "__sure", "__open")
+    late = inside.where(F.col("open") & (F.col("limit") <= F.col("seen"))).select("l_source", "l_slice", "l_came", "l_tie").distinct()
+    key = src.eqNullSafe(F.col("l_source")) & (F.col("slice") == F.col("l_slice")) & (F.col("came") == F.col("l_came")) & order.eqNullSafe(F.col("l_tie"))
+    undecided = undecided.join(late, key, "left").withColumn("beyond", F.col("l_came").isNotNull()).drop("l_source", "l_slice", "l_came", "l_tie")
+    return settled.unionByName(undecided).select(*place.values(), "usable", "beyond")
 
 
 def split_late(df: DataFrame, source: str = "site", time: str = "time", arrival: str = "arrival_time", tie: str = "tuple_id", period: int = PERIOD, lateness: int = LATENESS, slice_seconds: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(usable rows in time for their period, rows beyond the cut-off); ``tie`` is unique within a source and arrival."""
-    if any(c.startswith("__") for c in df.columns):
-        raise ValueError("column names that start with two underscores are taken")
     flagged = _flagged(df, source, time, arrival, tie, period, lateness, slice_seconds)
-    return flagged.where("__usable and not __beyond").drop("__usable", "__beyond"), flagged.where("__beyond").drop("__usable", "__beyond")
+    back = lambda rows: rows.drop("usable", "beyond").toDF(*df.columns)
+    return back(flagged.where("usable and not beyond")), back(flagged.where("beyond"))
 
 
 def period_multiset(df: DataFrame, value: Column, weight: Column, time: str = "time", period: int = PERIOD) -> DataFrame:

@@ -8,7 +8,7 @@ on one column: it adds no shuffle, keeps all other columns and runs wherever the
 
 Defined results: null, empty and blank records are rejected as ``column_count``; repeated records are judged each on
 its own; an empty table gives an empty table; columns of the input are all kept, and the result goes into one struct
-column whose name the caller picks (a clash with an existing column raises ``ValueError``).
+column whose name the caller picks (a column of that name is replaced; ``split_records`` picks a free one).
 """
 
 from __future__ import annotations
@@ -225,8 +225,6 @@ def parse_records(df: DataFrame, column: str, form: RecordFormat, into: str = "r
     within the record (for quoting the offending byte or the end, for column_count the first surplus separator or the
     end, for value the field's start).  Fields of a rejected record are null.
     """
-    if into in df.columns:
-        raise ValueError(f"the input has a column {into} already")
 
     def body(records: pa.Array) -> pa.Array:
         return parse_batch(records, form)
@@ -238,14 +236,18 @@ def parse_records(df: DataFrame, column: str, form: RecordFormat, into: str = "r
 def split_records(df: DataFrame, column: str, form: RecordFormat, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """The sound rows, typed, and the rejected ones with ``reason``, ``error_at`` and the raw record; both with ``keep``.
 
-    A field whose name is among ``keep`` comes out with the prefix ``field_``.
+    A field whose name is among ``keep`` comes out with the prefix ``field_``; ``reason`` and ``error_at`` then with ``record_``.
     """
-    parsed = parse_records(df, column, form, "__record")
+    at = "record"
+    while at in df.columns:
+        at += "_"
+    parsed = parse_records(df, column, form, at)
     kept = [F.col(f"`{k}`") for k in keep]
     names = [(n, f"field_{n}" if n in keep else n) for n in form.names]
-    sound = parsed.where(F.col("__record.reason").isNull()).select(*kept, *[F.col(f"__record.`{a}`").alias(b) for a, b in names])
+    sound = parsed.where(F.col(f"{at}.reason").isNull()).select(*kept, *[F.col(f"{at}.`{a}`").alias(b) for a, b in names])
+    label = {n: f"record_{n}" if n in keep or n == column else n for n in ("reason", "error_at")}
     raw = [] if column in keep else [F.col(f"`{column}`")]
-    failed = parsed.where(F.col("__record.reason").isNotNull()).select(*kept, *raw, F.col("__record.reason").alias("reason"), F.col("__record.error_at").alias("error_at"))
+    failed = parsed.where(F.col(f"{at}.reason").isNotNull()).select(*kept, *raw, F.col(f"{at}.reason").alias(label["reason"]), F.col(f"{at}.error_at").alias(label["error_at"]))
     return sound, failed
 
 
