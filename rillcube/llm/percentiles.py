@@ -28,12 +28,13 @@ from rillcube.operators import weighted
 def measurements(df: DataFrame, keep: Mapping[str, Column], single: str = "i_val", many: str = "summary", missing: int = -1, once: Sequence[str] | None = ("site", "version"), tie: str = "tuple_id") -> DataFrame:
     """One row per value: the columns ``keep`` and ``value`` (bigint).
 
-    ``missing`` is the value of ``single`` that stands for not measured.  Of rows with the same ``once`` key the one
+    ``single`` is of the type of the items of ``many`` or narrower; ``missing`` is the value of ``single`` that stands for not measured.  Of rows with the same ``once`` key the one
     with the smallest ``tie`` counts.
     """
     alone = F.col(f"`{single}`")
-    values = F.when(F.col(f"`{many}`").isNotNull(), F.transform(f"`{many}`", lambda x: x.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    values = F.concat(values, F.when(alone.isNotNull() & (alone != missing), F.array(alone.cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    none = F.array().cast(df.schema[many].dataType)
+    item = df.schema[many].dataType.elementType
+    values = F.concat(F.coalesce(F.col(f"`{many}`"), none), F.when(alone.isNotNull() & (alone != missing), F.array(alone.cast(item))).otherwise(none))
     rows = df.select(*[c.alias(f"m_{n}") for n, c in keep.items()], values.alias("values"), *[F.col(f"`{k}`").alias(f"o_{k}") for k in once or ()], F.col(f"`{tie}`").alias("tie"))
     if once:
         keyed = F.lit(True)
@@ -42,8 +43,10 @@ def measurements(df: DataFrame, keep: Mapping[str, Column], single: str = "i_val
         # a row without a key is its own: its tie joins the key
         unkeyed = F.when(~keyed, F.col("tie"))
         body = F.struct(*[f"m_{n}" for n in keep], "values")
-        rows = rows.groupBy(*[f"o_{k}" for k in once], unkeyed.alias("alone")).agg(F.min_by(body, F.col("tie")).alias("body")).select("body.*")
-    return rows.select(*[F.col(f"m_{n}").alias(n) for n in keep], F.explode("values").alias("value")).where("value is not null")
+        # few rows repeat: combining before the shuffle would sort in vain
+        rows = rows.withColumn("alone", unkeyed).repartition(*[f"o_{k}" for k in once], "alone")
+        rows = rows.groupBy(*[f"o_{k}" for k in once], "alone").agg(F.min_by(body, F.col("tie")).alias("body")).select("body.*")
+    return rows.select(*[F.col(f"m_{n}").alias(n) for n in keep], F.explode("values").alias("value")).where("value is not null").withColumn("value", F.col("value").cast("long"))
 
 
 def cell(value: Column, bits: int | None) -> Column:

@@ -14,25 +14,25 @@ STATE_BITS = 10
 HEAVY_SHARE = 0.005
 
 
-def _values(spark: SparkSession, d: str) -> DataFrame:
-    day = F.floor(F.col("t_val") / 86400).cast("long")
-    return percentiles.measurements(load(spark, d, "latency_elements"), {"url": F.col("url"), "site": F.col("site"), "day": day})
+def _values(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    known = {"url": F.col("url"), "site": F.col("site"), "day": F.floor(F.col("t_val") / 86400).cast("long")}
+    return percentiles.measurements(load(spark, d, "latency_elements"), {k: known[k] for k in keep})
 
 
 def p4_url_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of download times per url."""
-    counts = percentiles.state(_values(spark, d), ["url"])
+    counts = percentiles.state(_values(spark, d, "url"), ["url"])
     return percentiles.percentiles(counts, PROBABILITIES).select("url", "p", "value", F.col("rows").alias("measured"))
 
 
 def p4_combined_states(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per url from states computed apart by site and day, with a relative error of at most 2 ** -11."""
-    apart = percentiles.state(_values(spark, d), ["url", "site", "day"], STATE_BITS)
+    apart = percentiles.state(_values(spark, d, "url", "site", "day"), ["url", "site", "day"], STATE_BITS)
     return percentiles.percentiles(percentiles.roll_up(apart, ["url"]), PROBABILITIES).select("url", "p", "value", F.col("rows").alias("measured"))
 
 
 def p4_daily_medians(spark: SparkSession, d: str) -> DataFrame:
-    counts = percentiles.state(_values(spark, d), ["url", "day"])
+    counts = percentiles.state(_values(spark, d, "url", "day"), ["url", "day"])
     return percentiles.percentiles(counts, [0.5]).select("url", "day", "value", F.col("rows").alias("measured"))
 
 
@@ -86,7 +86,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.judge_pages(load(spark, d, "documents").select("doc_id", "text")).where("page.stuffed").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_url_percentiles, p4_combined_states, p4_daily_medians, p5_found, p5_top_urls, p7_packed, p7_fill, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_combined_states, p4_url_percentiles, p4_daily_medians, p5_found, p5_top_urls, p7_packed, p7_fill, p8_mix, p8_shares, p9_found)}
 
 _MEASURED = """
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, version, CASE WHEN site IS NULL OR version IS NULL THEN tuple_id END ORDER BY tuple_id) AS nth FROM latency_elements) WHERE nth = 1),
