@@ -11,7 +11,8 @@ The driver holds at most sources x 1024 sums at a time, where the sources are th
 Defined results: labels are compared without case, outer blanks and the difference of blank, hyphen and underscore;
 records of no listed source (or null) are not taken; a listed source without records has share 0 and the others keep
 their proportions; ``max_repeats`` null or below 1 is taken as 1; records of size zero follow the same threshold;
-repeated rows are taken alike; an empty table gives an empty mix.
+repeated rows are taken alike; an empty table gives an empty mix; further columns are kept, but ``h`` and ``copies`` are
+replaced.
 """
 
 from __future__ import annotations

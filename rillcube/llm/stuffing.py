@@ -10,7 +10,7 @@ with a third of all rows costs the same per row as any other.
 
 Defined results: null, empty and blank texts have no shapes and are not flagged; a page with fewer than ``MIN_ITEMS``
 non-sentence units is not flagged (a lone fragment is no list); texts are read whole; repeated rows are judged alike;
-further columns are kept.
+further columns are kept, but one of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -204,6 +204,4 @@ def _judge(texts: pa.Array) -> pa.Array:
 
 def judge_pages(df: DataFrame, text: str = "text", into: str = "page") -> DataFrame:
     """``df`` with a struct column ``into``: ``chars`` (of the stripped lines), ``list_chars`` (in the few largest non-sentence shapes), ``lists`` (non-sentence units) and ``stuffed``."""
-    if into in df.columns:
-        raise ValueError(f"the input has a column {into} already")
     return df.withColumn(into, F.arrow_udf(_judge, returnType=_RESULT)(F.col(f"`{text}`").cast("string")))
