@@ -10,8 +10,8 @@ is carried from block to block, so one huge file spreads over as many tasks as i
 
 Defined results: repeated deliveries of a line (same file and line number) count once; lines above the first entry of
 a file belong to none and do not come out; rows with a null file or line number cannot be placed and do not come out; a
-null text is a blank line; a line whose timestamp cannot be read as a date is a continuation; an entry without
-level is ``NONE``; an empty table gives an empty table; further columns of the input are ignored.
+null text is a blank line; a line whose timestamp is no date is a continuation; a timestamp without year in a file
+without any collection time stays null; an entry without level is ``NONE``; an empty table gives an empty table; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -144,33 +144,29 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     lines = _with_rules(lines.where("file is not null and n is not null"))
     lines = lines.withColumn("parts", _take_apart(F.col("rule"), F.col("text"))).withColumn("block", F.expr(f"n div {int(block_lines)}"))
 
+    # whether a line is a head does not depend on the year; where none is written, a leap year tells whether the day can be
+    leap = F.lit(951_782_400).cast("long")  # 29 February 2000
+    head = F.when(F.col("parts").isNotNull() & _epoch(F.col("parts")[0], leap).isNotNull(), F.col("n"))
+    lines = lines.withColumn("head", head)
     order = Window.partitionBy("file", "block").orderBy("n", "tie")
     above, below = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    near = (
+    within = (
         lines.withColumn("before", F.lag("n").over(order))
         .withColumn("near", F.coalesce(F.last("read_at", True).over(above), F.first("read_at", True).over(below)))
+        .withColumn("here", F.max("head").over(above))
         .where(~F.col("before").eqNullSafe(F.col("n")))
         .drop("before")
     )
-    # one row a block: what the following blocks need of it
-    blocks = near.groupBy("file", "block").agg(F.max(F.when(F.col("parts").isNotNull(), F.struct("n", "parts"))).alias("last_parts"), F.max("near").alias("some_near"))
+    # one row a block: what the blocks beside it need of it; from the lines themselves, as this needs no order
     by_file = Window.partitionBy("file").orderBy("block")
-    blocks = blocks.select(
-        F.col("file").alias("f"),
-        F.col("block").alias("b"),
-        F.coalesce(F.last("some_near", True).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.first("some_near", True).over(by_file.rowsBetween(0, Window.unboundedFollowing))).alias("far_near"),
-    )
-    lines = near.join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).drop("f", "b")
-    lines = lines.withColumn("ts", F.when(F.col("parts").isNotNull(), _epoch(F.col("parts")[0], F.coalesce("near", "far_near"))))
-    head = F.when(F.col("ts").isNotNull(), F.col("n"))
-
-    carried = lines.groupBy("file", "block").agg(F.max(head).alias("last_head"))
-    carried = carried.select(F.col("file").alias("f"), F.col("block").alias("b"), F.max("last_head").over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    upto = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("here", F.max(head).over(upto)).join(carried, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).drop("f", "b")
-    lines = lines.withColumn("first", F.coalesce("here", "carried")).where(F.col("first").isNotNull())
-
-    is_head = F.col("ts").isNotNull()
+    earlier, later = by_file.rowsBetween(Window.unboundedPreceding, -1), by_file.rowsBetween(0, Window.unboundedFollowing)
+    blocks = lines.groupBy("file", "block").agg(F.max("head").alias("last_head"), F.max("read_at").alias("some_near"))
+    blocks = blocks.select("file", "block", F.max("last_head").over(earlier).alias("carried"), F.coalesce(F.last("some_near", True).over(earlier), F.first("some_near", True).over(later)).alias("far_near"))
+    lines = within.join(blocks, ["file", "block"]).withColumn("first", F.coalesce("here", "carried")).where(F.col("first").isNotNull())
+
+    ts = F.when(F.col("head").isNotNull(), _epoch(F.col("parts")[0], F.coalesce("near", "far_near")))
+    lines = lines.withColumn("ts", ts)
+    is_head = F.col("head").isNotNull()
     entry = F.when(is_head, F.struct(F.col("ts"), _level(F.col("parts")[1]).alias("level"), F.col("parts")[2].alias("component"), F.col("rule").alias("layout")))
     said = F.struct(F.col("n"), F.when(is_head, F.col("parts")[3]).otherwise(F.col("text")).alias("said"))
     grouped = lines.withColumn("entry", entry).withColumn("said", said).groupBy("file", "first").agg(F.max("n").alias("last"), F.max("entry").alias("entry"), F.array_sort(F.collect_list("said")).alias("said"))
