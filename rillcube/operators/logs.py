@@ -101,28 +101,43 @@ def _level(text: Column) -> Column:
     return out
 
 
-def _utc(year: Column, f: dict[str, Column]) -> Column:
-    return F.unix_seconds(F.try_make_timestamp(year, f["month"], f["day"], f["hour"], f["minute"], f["second"], F.lit("UTC"))) - f["shift"]
+def _clock(text: Column) -> Column:
+    """A timestamp text as ``struct<epoch, month, day, second>``: the epoch second, or, where no year is written (0000), month,
+    day and second of the day.  Null where it is neither."""
+    text = F.trim(text)
+    pattern = r"^(\d{4})-(\w{2,3})-(\d\d?)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?\s*(Z|[+-]\d\d:?\d\d)?$"
+    # one match a line: the parts side by side, then split
+    flat = F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, "$1|$2|$3|$4|$5|$6|$7"), r"\|"))
 
+    def of(part: Column) -> Column:
+        month = F.coalesce(part[1].try_cast("int"), F.floor((F.nullif(F.instr(F.lit(_MONTHS), part[1]), F.lit(0)) + 2) / 3).cast("int"))
+        second = part[3].cast("int") * 3600 + part[4].cast("int") * 60 + part[5].cast("int")
+        zone = F.regexp_replace(part[6], ":", "")
+        away = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
+        shift = F.when(zone.startswith("-"), -away).when(zone.startswith("+"), away).otherwise(F.lit(0))
+        sound = (part[3].cast("int") < 24) & (part[4].cast("int") < 60) & (part[5].cast("int") < 61)
+        return F.when(sound, F.struct(part[0].cast("int").alias("year"), month.alias("month"), part[2].cast("int").alias("day"), (second - shift).alias("second")))
 
-def _epoch(text: Column, near: Column) -> Column:
-    """Epoch seconds of a timestamp text; year 0000 stands for the year that brings it nearest to ``near``."""
-    pattern = r"^(\d{4})-(\w{2,3})-(\d\d?)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?\s*(Z|[+-]\d\d:?\d\d)?$"
-    text = F.trim(text)
-    part = [F.regexp_extract(text, pattern, i) for i in range(1, 8)]
-    number = F.when(part[1].rlike(r"^\d+$"), part[1].try_cast("int")).otherwise(F.floor((F.instr(F.lit(_MONTHS), part[1]) + 2) / 3).cast("int"))
-    zone = F.regexp_replace(part[6], ":", "")
-    away = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
-    shift = F.when(zone.startswith("-"), -away).when(zone.startswith("+"), away).otherwise(F.lit(0))
-    f = {"month": number, "day": part[2].try_cast("int"), "hour": part[3].try_cast("int"), "minute": part[4].try_cast("int"), "second": part[5].try_cast("decimal(16,6)"), "shift": shift}
-    year = part[0].try_cast("int")
+    return F.transform(F.array(flat), of)[0]
+
+
+def _count(text: Column) -> Column:
+    """A number as epoch seconds; milli-, micro- and nanoseconds are told from seconds by their size."""
+    count = F.when(text.rlike(r"^\s*\d{9,19}(\.\d+)?\s*$"), F.floor(F.trim(text).try_cast("decimal(38,6)")).cast("decimal(38,0)"))
+    return F.when(count < 10**11, count).when(count < 10**14, F.floor(count / 10**3)).when(count < 10**17, F.floor(count / 10**6)).otherwise(F.floor(count / 10**9)).cast("long")
+
+
+def _utc(year: Column, clock: Column) -> Column:
+    """Epoch seconds; null where there is no such day."""
+    return F.unix_seconds(F.try_make_timestamp(year, clock["month"], clock["day"], F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) + clock["second"]
+
+
+def _nearest(clock: Column, near: Column) -> Column:
+    """Of the years around ``near`` the one that brings the clock nearest to it."""
     around = F.year(F.timestamp_seconds(near))
-    options = [_utc(around + d, f) for d in (0, -1, 1)]
-    nearest = F.array_min(F.filter(F.array(*[F.struct(F.abs(o - near).alias("far"), o.alias("at")) for o in options]), lambda o: o["at"].isNotNull()))["at"]
-    count = F.when(text.rlike(r"^\d{9,19}(\.\d+)?$"), F.floor(text.try_cast("decimal(38,6)")).cast("decimal(38,0)"))
-    # counts of milli-, micro- and nanoseconds are told from seconds by their size
-    seconds = F.when(count < 10**11, count).when(count < 10**14, F.floor(count / 10**3)).when(count < 10**17, F.floor(count / 10**6)).otherwise(F.floor(count / 10**9))
-    return F.when(count.isNotNull(), seconds.cast("long")).when(year == 0, nearest).otherwise(_utc(year, f))
+    options = F.array(*[_utc(around + d, clock) for d in (0, -1, 1)])
+    ranked = F.transform(F.filter(options, lambda o: o.isNotNull()), lambda o: F.struct(F.abs(o - near).alias("far"), o.alias("at")))
+    return F.array_min(ranked)["at"]
 
 
 def _with_rules(lines: DataFrame) -> DataFrame:
@@ -144,10 +159,11 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     lines = _with_rules(lines.where("file is not null and n is not null"))
     lines = lines.withColumn("parts", _take_apart(F.col("rule"), F.col("text"))).withColumn("block", F.expr(f"n div {int(block_lines)}"))
 
-    # whether a line is a head does not depend on the year; where none is written, a leap year tells whether the day can be
-    leap = F.lit(951_782_400).cast("long")  # 29 February 2000
-    head = F.when(F.col("parts").isNotNull() & _epoch(F.col("parts")[0], leap).isNotNull(), F.col("n"))
-    lines = lines.withColumn("head", head)
+    lines = lines.withColumn("clock", F.when(F.col("parts").isNotNull(), _clock(F.col("parts")[0])))
+    # whether a line is a head does not depend on the year; where none is written, a leap year tells whether there is such a day
+    dated = _utc(F.when(F.col("clock.year") == 0, F.lit(2000)).otherwise(F.col("clock.year")), F.col("clock"))
+    known = F.coalesce(F.when(F.col("parts").isNotNull(), _count(F.col("parts")[0])), dated)
+    lines = lines.withColumn("known", known).withColumn("head", F.when(F.col("known").isNotNull(), F.col("n")))
     order = Window.partitionBy("file", "block").orderBy("n", "tie")
     above, below = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     within = (
@@ -164,7 +180,7 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     blocks = blocks.select("file", "block", F.max("last_head").over(earlier).alias("carried"), F.coalesce(F.last("some_near", True).over(earlier), F.first("some_near", True).over(later)).alias("far_near"))
     lines = within.join(blocks, ["file", "block"]).withColumn("first", F.coalesce("here", "carried")).where(F.col("first").isNotNull())
 
-    ts = F.when(F.col("head").isNotNull(), _epoch(F.col("parts")[0], F.coalesce("near", "far_near")))
+    ts = F.when(F.col("clock.year") == 0, _nearest(F.col("clock"), F.coalesce("near", "far_near"))).otherwise(F.col("known"))
     lines = lines.withColumn("ts", ts)
     is_head = F.col("head").isNotNull()
     entry = F.when(is_head, F.struct(F.col("ts"), _level(F.col("parts")[1]).alias("level"), F.col("parts")[2].alias("component"), F.col("rule").alias("layout")))
