@@ -78,7 +78,23 @@ marked AS (SELECT *, max(CASE WHEN usable THEN time END) OVER (PARTITION BY site
 judged AS (SELECT *, floor(epoch_us(time) / 300000000.0)::BIGINT * 300 AS period, usable AND m IS NOT NULL AND ((floor(epoch_us(time) / 300000000.0)::BIGINT * 300 + 900) * 1000000 <= epoch_us(m)) AS beyond FROM marked)
 """
 
+# the record grammar as regular expressions: any field, and enclosed or bare numbers with one group each
+_FIELD = r'''[ \t]*(?:"(?:[^"\\]|\\["\\n])*"[ \t]*|[^ \t",][^",]*)?'''
+_I = r'''[ \t]*"?(-?[0-9]+)"?[ \t]*'''
+_D = r'''[ \t]*"?([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"?[ \t]*'''
+_TYPED = ",".join({"I": _I, "D": _D, "S": _FIELD}[t] for t in records.ACCESS_LOG.types)
+_INTEGERS = [1, *range(3, 10)]  # the groups of _TYPED that are integers; the second is the double
+
 SQL = {
+    "p1_found": f"""
+        WITH j AS (SELECT tuple_id, CASE
+            WHEN s_val IS NULL OR trim(s_val, ' ' || chr(9)) = '' THEN 'column_count'
+            WHEN NOT regexp_full_match(s_val, '(?s){_FIELD}(?:,{_FIELD})*') THEN 'quoting'
+            WHEN NOT regexp_full_match(s_val, '(?s){_FIELD}(?:,{_FIELD}){{16}}') THEN 'column_count'
+            WHEN NOT regexp_full_match(s_val, '(?s){_TYPED}') THEN 'value'
+            WHEN NOT isfinite(coalesce(try_cast(regexp_extract(s_val, '(?s)^{_TYPED}$', 2) AS DOUBLE), 'inf'::DOUBLE)) THEN 'value'
+            WHEN {" OR ".join(f"try_cast(regexp_extract(s_val, '(?s)^{_TYPED}$', {g}) AS INTEGER) IS NULL" for g in _INTEGERS)} THEN 'value' END AS reason
+        FROM csv_elements) SELECT * FROM j WHERE reason IS NOT NULL""",
     "p2_found": "SELECT url FROM web_requests WHERE url IS NOT NULL GROUP BY url HAVING count(*) >= 0.01 * (SELECT count(*) FROM web_requests)",
     "p2_url_totals": """
         WITH v AS (SELECT url, coalesce(count, 1) AS v, count(*) AS n, sum(avg_size_sum) AS s FROM web_requests GROUP BY 1, 2)
