@@ -43,8 +43,8 @@ FUNCTION_WORDS = frozenset(
 ) - {"и", "а"}
 #: Characters that hold Chinese sentences together (fixed values).
 FUNCTION_SIGNS = frozenset("的了在是很说因为当时吗但没有人知道这么从每着把被")
+_FUNCTION = FUNCTION_WORDS | FUNCTION_SIGNS
 
-_CJK = re.compile(r"[㐀-鿿]")
 _LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>|,;]+|(?<![\w@.])(?:[\w-]+\.)+[a-z]{2,}/[^\s<>|,;]*", re.I)
 _END = re.compile(r"(?<=[.!?…])[\"”»“’')\]]*(?:\s+|$)|[。！？](?:[”」』])?")
 _CODE = re.compile(r"\b[A-Z]{2,}[-/ ]?\d{2,}\b")
@@ -55,30 +55,42 @@ _WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*")
 
 
 def _words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
+
+
+def _signs(words: list[str]) -> int:
+    """How many of the words are Chinese signs."""
+    return sum("㐀" <= w <= "鿿" for w in words)
 
 
 def _length(words: list[str]) -> float:
     """Words; two Chinese signs count as one."""
-    return sum(0.5 if _CJK.match(w) else 1 for w in words)
+    return len(words) - _signs(words) / 2
 
 
 def _function_share(words: list[str]) -> float:
-    hits = sum((w in FUNCTION_WORDS) or (w in FUNCTION_SIGNS) for w in words)
-    cjk = sum(bool(_CJK.match(w)) for w in words)
+    hits = sum(w in _FUNCTION for w in words)
     # one sign in ten of a Chinese sentence is as much as one word in five elsewhere
-    return hits / max(1.0, len(words) - cjk / 2) if words else 0.0
+    return hits / max(1.0, _length(words)) if hits else 0.0
 
 
 def _keeps_coming_back(words: list[str]) -> bool:
     """Whether a unit is built around a content word or pair of words."""
-    content = [w if w not in FUNCTION_WORDS and w not in FUNCTION_SIGNS and (len(w) > 1 or _CJK.match(w)) else "" for w in words]
-    if any(_CJK.match(w) for w in words):
-        pairs = Counter(a + b for a, b in zip(content, content[1:]) if a and b and _CJK.match(a))
+    if len(set(words)) == len(words):
+        return False
+    signs = _signs(words)
+    content = [w if w not in _FUNCTION and (len(w) > 1 or "㐀" <= w <= "鿿") else "" for w in words]
+    if signs:
+        pairs = Counter(a + b for a, b in zip(content, content[1:]) if b and "㐀" <= a <= "鿿")
         return bool(pairs) and max(pairs.values()) >= 3
-    single = Counter(w for w in content if w)
+    single = Counter(content)
+    del single[""]
+    if not single or max(single.values()) < 2:
+        return False
+    if max(single.values()) >= 3:
+        return True
     pairs = Counter((a, b) for a, b in zip(content, content[1:]) if a and b and a != b)
-    return (bool(single) and max(single.values()) >= 3) or (bool(pairs) and max(pairs.values()) >= 2)
+    return bool(pairs) and max(pairs.values()) >= 2
 
 
 def _bucket(n: float) -> str:
@@ -143,21 +155,16 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
                 if len(stripped) > 2:
                     spam(stripped, words, 0, False, len(unit), 1)
                 continue
-            clauses = [c for c in _SEPARATOR.split(stripped) if c.strip()]
+            clauses = [c for c in _SEPARATOR.split(stripped) if c and not c.isspace()]
             marks, codes = len(_MARK.findall(stripped)), len(_CODE.findall(stripped))
             if marks >= 2 or codes >= 2:
                 spam(stripped, words, len(clauses), False, len(unit), max(marks, codes))
                 continue
-            good, bad, n_bad, loose = 0, 0, 0, 0
+            good, bad, n_bad = 0, 0, 0
             for clause in clauses:
-                own = _words(clause)
-                n = _length(own)
-                if n >= 3 and _function_share(own) >= FUNCTION_SHARE and not _keeps_coming_back(own):
+                own = words if len(clauses) == 1 else _words(clause)
+                if _length(own) >= 3 and _function_share(own) >= FUNCTION_SHARE and not _keeps_coming_back(own):
                     good += len(clause)
-                elif n >= 3:
-                    bad += len(clause)
-                    n_bad += 1
-                    loose += n > 4
                 else:
                     bad += len(clause)
                     n_bad += 1
