@@ -15,6 +15,7 @@ further columns are kept, but one of the result's name is replaced.
 
 from __future__ import annotations
 
+import html
 import re
 from collections import Counter, defaultdict
 
@@ -33,7 +34,7 @@ FUNCTION_WORDS = frozenset(
     without since every once again nobody knows says saw met left really
     der die das den dem des ein eine einen einem einer ist sind war hat haben dass wenn weil aber nicht kein mit von zu am im
     auf für bei nach vor neben hinter unter aus so warum sich seit wirklich niemand weiß sagt trafen es er sie wie zum zur ohne bis
-    le la les un une des du de est sont était a ont que qui quand si parce mais pas ne pour avec dans sur à au aux ce cette se
+    le la les un une des du de est sont était a ont que qui quand si parce mais ne pour avec dans sur à au aux ce cette se
     il elle ils nous vous son sa ses après avant sous derrière près chaque sans depuis pourquoi personne sait dit vraiment quitté vu
     el los las una unos es son fue ha han cuando porque pero no por con del al se su sus lo que después antes detrás
     cada sin desde nadie sabe dice verdad tan dejó vieron cita sobre más
@@ -50,6 +51,7 @@ _END = re.compile(r"(?<=[.!?…])[\"”»“’')\]]*(?:\s+|$)|[。！？](?:[
 _CODE = re.compile(r"\b[A-Z]{2,}[-/ ]?\d{2,}\b")
 _MARK = re.compile(r"<\w+>|(?<!\w)#\w")
 _SEPARATOR = re.compile(r"[,;:|>»·•*#=，、；：/\\]+|\s[-–]\s|<\w*>?")
+_SPACE = re.compile(r"[\u00a0\u2000-\u200b\u202f\u3000\r]")
 _WIDE = re.compile(r"\s{2,}|\t")
 _WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*")
 
@@ -70,6 +72,8 @@ def _length(words: list[str]) -> float:
 
 def _function_share(words: list[str]) -> float:
     hits = sum(w in _FUNCTION for w in words)
+    if "在" in words:  # in 在线, "online", the sign holds nothing together
+        hits -= sum(a == "在" and b == "线" for a, b in zip(words, words[1:]))
     # one sign in ten of a Chinese sentence is as much as one word in five elsewhere
     return hits / max(1.0, _length(words)) if hits else 0.0
 
@@ -126,6 +130,9 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
         by_shape[_shape(unit, words, separators, links)] += chars
         items += n
 
+    text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text)
+    # without any function word the text is of no language listed, and how a sentence starts and ends has to do
+    strict = any(w in FUNCTION_WORDS for w in _words(text))
     for line in text.split("\n"):
         line = line.strip()
         if not line:
@@ -150,13 +157,14 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
             stripped = unit.strip()
             if not stripped:
                 continue
-            words = _words(stripped)
+            codes = len(_CODE.findall(stripped))
+            words = _words(_CODE.sub(" ", stripped) if codes else stripped)
             if not words:
                 if len(stripped) > 2:
                     spam(stripped, words, 0, False, len(unit), 1)
                 continue
             clauses = [c for c in _SEPARATOR.split(stripped) if c and not c.isspace()]
-            marks, codes = len(_MARK.findall(stripped)), len(_CODE.findall(stripped))
+            marks = len(_MARK.findall(stripped))
             if marks >= 2 or codes >= 2:
                 spam(stripped, words, len(clauses), False, len(unit), max(marks, codes))
                 continue
@@ -177,6 +185,7 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
                 spam(stripped, words, len(clauses), False, round(len(unit) * share), max(1, n_bad))
                 continue
             sentence = ended and stripped[:1] not in "#<*" and (stripped[0].isupper() or not stripped[0].islower()) and _length(words) >= 3 and n_bad <= 2 and not repeats
+            sentence = sentence and not (strict and "a" <= max(words)[0] < "\u0250" and _function_share(words) == 0)
             if sentence or (n_bad < 3 and _function_share(words) >= FUNCTION_SHARE and not repeats):
                 continue
             if max(len(w) for w in words) > 40 or not stripped.isprintable():
