@@ -28,7 +28,7 @@ def latency(n=1500):
     for i in range(n):
         single = random.choice([None, -1, 0, random.randrange(1, 3_000_000)])
         many = None if single is not None else random.choice([None, [], [random.randrange(5000) for _ in range(4)], [None, -1, 3]])
-        out.append((i, random.choice(["s", "t", None]), i // 2 if i % 40 == 0 else i, "hot" if i % 3 == 0 else random.choice(["a", None]), single, many, 1, 2))
+        out.append((i, random.choice(["s", "t", None]), i, "hot" if i % 3 == 0 else random.choice(["a", None]), single, many, 1, 2))
     return [*out, *[(r[0] + n, *r[1:]) for r in out[:60]]]
 
 
