@@ -1,11 +1,11 @@
 """Late and out-of-order events (problem 6): what lies beyond the cut-off, and period results that late rows correct.
 
 Per source, rows count in the order of arrival.  The high mark before a row is the largest event time of the source's
-earlier usable rows; a usable row whose period ended ``lateness`` before that mark is beyond the cut-off.  Sorting a
-source's rows in one task would not survive a source with a third of all rows.  So arrivals are cut into slices of
-``slice_seconds``; the high marks at the slices' borders are a running maximum over one small row per source and
-slice, and decide every row but those whose period's end lies between the marks before and after its own slice.  Only
-these, and the rows that raise the mark within such a slice, are put in order, by source and slice.
+earlier usable rows; a usable row whose period ended ``lateness`` before that mark is beyond the cut-off.  No row has to
+be put in order for this.  For each source and period, one number decides: the earliest arrival of a usable row whose event
+time lies ``lateness`` past the period's end or later.  It is a minimum per source and period (combined before the
+shuffle), then a running minimum from the last period down over that small table; a row is beyond the cut-off if it
+came after it.  A source with a third of all rows is as many groups as it has periods.
 
 The period state is a multiset: one row per period and value with its count.  A late row within the cut-off adds to its
 period's counts, and exact medians, distinct counts and extremes follow again from the cumulative counts, without the
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rillcube.operators.weighted import key_totals, percentiles
 
-PERIOD, LATENESS, SLICE = 300, 600, 60
+PERIOD, LATENESS = 300, 600
 
 
 def period_start(time: Column, period: int = PERIOD) -> Column:
@@ -33,41 +33,28 @@ def period_start(time: Column, period: int = PERIOD) -> Column:
     return F.floor(F.unix_micros(time) / (period * 1_000_000)).cast("long") * period
 
 
-def _flagged(df: DataFrame, source: str, time: str, arrival: str, tie: str, period: int, lateness: int, slice_seconds: int) -> DataFrame:
+def _flagged(df: DataFrame, source: str, time: str, arrival: str, tie: str, period: int, lateness: int) -> DataFrame:
     """``df`` under the column names c0, c1 and so on (so no name can clash), with ``usable`` and ``beyond``."""
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    src, order = F.col(place[source]), F.col(place[tie])
+    src = F.col(place[source])
     happened, came = F.col(place[time]).cast("timestamp"), F.col(place[arrival]).cast("timestamp")
-    rows = df.toDF(*place.values()).withColumns({"usable": F.coalesce(happened <= came, F.lit(False)), "at": F.unix_micros(happened), "came": F.unix_micros(came)})
-    rows = rows.withColumns({
-        "slice": F.floor(F.col("came") / (slice_seconds * 1_000_000)),
-        "limit": (F.floor(F.col("at") / (period * 1_000_000)).cast("long") * period + period + lateness) * 1_000_000,
-    })
-    # the mark after each slice and before it: one row per source and slice
-    marks = rows.where("usable").groupBy(src.alias("m_source"), F.col("slice").alias("m_slice")).agg(F.max("at").alias("top"))
-    line = Window.partitionBy("m_source").orderBy("m_slice")
-    marks = marks.withColumn("before", F.max("top").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    marks = marks.withColumn("after", F.greatest("top", F.coalesce("before", "top"))).drop("top")
-    rows = rows.join(marks, src.eqNullSafe(F.col("m_source")) & (F.col("slice") == F.col("m_slice")), "left").drop("m_source", "m_slice")
-    sure = F.col("usable") & F.coalesce(F.col("limit") <= F.col("before"), F.lit(False))
-    open_ = F.col("usable") & ~sure & F.coalesce(F.col("limit") <= F.col("after"), F.lit(False))
-    raises = F.col("usable") & (F.col("before").isNull() | (F.col("at") > F.col("before")))
-    rows = rows.withColumns({"sure": sure, "open": open_})
-    # the sure ones need no order; the others wait for the mark within their slice
-    settled = rows.where(~F.col("open")).withColumn("beyond", F.col("sure"))
-    undecided = rows.where(F.col("open"))
-    inner = Window.partitionBy("l_source", "l_slice").orderBy("l_came", "l_tie")
-    contenders = rows.where(open_ | raises).select(src.alias("l_source"), F.col("slice").alias("l_slice"), F.col("came").alias("l_came"), order.alias("l_tie"), F.when(raises, F.col("at")).alias("mark"), "limit", "open")
-    inside = contenders.withColumn("seen", F.max("mark").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-    late = inside.where(F.col("open") & (F.col("limit") <= F.col("seen"))).select("l_source", "l_slice", "l_came", "l_tie").distinct()
-    key = src.eqNullSafe(F.col("l_source")) & (F.col("slice") == F.col("l_slice")) & (F.col("came") == F.col("l_came")) & order.eqNullSafe(F.col("l_tie"))
-    undecided = undecided.join(late, key, "left").withColumn("beyond", F.col("l_came").isNotNull()).drop("l_source", "l_slice", "l_came", "l_tie")
-    return settled.unionByName(undecided).select(*place.values(), "usable", "beyond")
-
-
-def split_late(df: DataFrame, source: str = "site", time: str = "time", arrival: str = "arrival_time", tie: str = "tuple_id", period: int = PERIOD, lateness: int = LATENESS, slice_seconds: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    micros = period * 1_000_000
+    rows = df.toDF(*place.values()).withColumns({"usable": F.coalesce(happened <= came, F.lit(False)), "came": F.struct(F.unix_micros(came).alias("at"), F.col(place[tie]).alias("tie"))})
+    # a row of period k is beyond the cut-off once a row of reach >= k + 1 has come
+    rows = rows.withColumns({"need": F.floor(F.unix_micros(happened) / micros).cast("long") + 1, "reach": F.floor((F.unix_micros(happened) - lateness * 1_000_000) / micros).cast("long")})
+    cells = rows.where("usable").groupBy(src.alias("m_source"), "need", "reach").agg(F.min("came").alias("came"))
+    steps = F.explode(F.array(F.struct(F.col("reach").alias("x"), F.col("came").alias("came")), F.struct(F.col("need").alias("x"), F.lit(None).cast(cells.schema["came"].dataType).alias("came"))))
+    steps = cells.select("m_source", steps.alias("s")).groupBy("m_source", F.col("s.x").alias("m_need")).agg(F.min("s.came").alias("came"))
+    down = Window.partitionBy("m_source").orderBy(F.desc("m_need")).rowsBetween(Window.unboundedPreceding, 0)
+    closed = steps.select("m_source", "m_need", F.min("came").over(down).alias("closed"))
+    joined = rows.join(closed, src.eqNullSafe(F.col("m_source")) & (F.col("need") == F.col("m_need")), "left")
+    beyond = F.col("usable") & F.coalesce(F.col("came") > F.col("closed"), F.lit(False))
+    return joined.select(*place.values(), "usable", beyond.alias("beyond"))
+
+
+def split_late(df: DataFrame, source: str = "site", time: str = "time", arrival: str = "arrival_time", tie: str = "tuple_id", period: int = PERIOD, lateness: int = LATENESS) -> tuple[DataFrame, DataFrame]:
     """(usable rows in time for their period, rows beyond the cut-off); ``tie`` is unique within a source and arrival."""
-    flagged = _flagged(df, source, time, arrival, tie, period, lateness, slice_seconds)
+    flagged = _flagged(df, source, time, arrival, tie, period, lateness)
     back = lambda rows: rows.drop("usable", "beyond").toDF(*df.columns)
     return back(flagged.where("usable and not beyond")), back(flagged.where("beyond"))
 

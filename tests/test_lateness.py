@@ -24,7 +24,7 @@ def made(n=600):
     return [*out, *[(r[0] + n, *r[1:]) for r in out[:30]]]
 
 
-def brute(table):
+def brute(table, period=300, lateness=600):
     beyond, usable = set(), set()
     for site in {r[1] for r in table}:
         mark = None
@@ -33,18 +33,18 @@ def brute(table):
                 continue
             usable.add(r[0])
             at = (r[2] - ZERO).total_seconds()
-            if mark is not None and (at // 300 + 1) * 300 <= mark - 600:
+            if mark is not None and (at // period + 1) * period <= mark - lateness:
                 beyond.add(r[0])
             mark = at if mark is None else max(mark, at)
     return usable - beyond, beyond
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 60, 3600])
-def test_cut_off(spark, slice_seconds):
+@pytest.mark.parametrize("period, lateness", [(300, 600), (60, 90), (600, 0)])
+def test_cut_off(spark, period, lateness):
     table = made()
     df = spark.createDataFrame(table, SCHEMA)
-    in_time, beyond = split_late(df, slice_seconds=slice_seconds)
-    want_in, want_beyond = brute(table)
+    in_time, beyond = split_late(df, period=period, lateness=lateness)
+    want_in, want_beyond = brute(table, period, lateness)
     assert {r[0] for r in in_time.select("tuple_id").collect()} == want_in
     assert {r[0] for r in beyond.select("tuple_id").collect()} == want_beyond and want_beyond
     assert beyond.columns == df.columns
