@@ -160,8 +160,8 @@ def parse_batch(records: pa.Array, form: RecordFormat) -> pa.StructArray:
     field_end = np.flatnonzero(closes)
     field_record = np.searchsorted(ends, field_end)
     count = np.bincount(field_record, minlength=rows)
-    black = np.zeros(rows, dtype=np.int64)
-    np.add.at(black, np.searchsorted(ends, np.flatnonzero((cls != BLANK) & (cls != END))), 1)
+    # every record has its end mark, so no segment is empty
+    black = np.add.reduceat(((cls != BLANK) & (cls != END)).astype(np.int64), first) if rows else np.zeros(0, np.int64)
     odd = ~quoting & ((count != width) | (black == 0) | null)
     last_field = np.cumsum(count) - 1
     extra = odd & (count > width)
@@ -256,6 +256,6 @@ ACCESS_LOG = RecordFormat(
     "IDSSSSSSIIIIIIISS",
     (
         "version", "timestamp", "IN_OUT", "from_cache", "client_ip", "server_ip", "URL_requested", "Referrer_URL", "HTTP_stat",
-        "nbytes", "CORAL1", "CORAL2", "CORAL3", "CORAL4", "dl_utime", "X_Forwarded_For_header", "VIA_header",
+        "nbytes", "counter_1", "counter_2", "counter_3", "counter_4", "dl_utime", "X_Forwarded_For_header", "VIA_header",
     ),
 )

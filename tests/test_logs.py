@@ -10,7 +10,7 @@ HEADS = [
     ("[Tue Jan 01 00:10:22.209601 2013] [liveness:notice] [pid 31106] config key", 1356999022, "INFO", "liveness", "config key"),
     ("E0101 00:10:22.059759  2682 cube_manager.h:702] flushed", 1356999022, "ERROR", "cube_manager.h", "flushed"),
     ("W1231 23:59:59.9 19661 chain_ops.cc:1] late", 1356998399, "WARN", "chain_ops.cc", "late"),
-    ("2013-01-01 00:10:22,307 [worker-9] FATAL jet.cube.node_agent - boom - x", 1356999022, "FATAL", "jet.cube.node_agent", "boom - x"),
+    ("2013-01-01 00:10:22,307 [worker-9] FATAL app.cube.node_agent - boom - x", 1356999022, "FATAL", "app.cube.node_agent", "boom - x"),
     ("1356999022.774 fetchd/DEBUG: a", 1356999022, "DEBUG", "fetchd", "a"),
     ("01/Jan/2013:00:10:22 +0100|CRIT|web_ui|b | c", 1356995422, "FATAL", "web_ui", "b | c"),
     ("01/Jan/2013:00:10:22 +0000 | WARNING | web_ui | b", 1356999022, "WARN", "web_ui", "b"),
