@@ -44,9 +44,9 @@ class Dimension:
             return epoch_seconds(df, self.source)
         return F.col(f"`{self.source}`")
 
-    def at(self, level: int) -> Column:
-        """The dimension's value at a level, from its leaf value."""
-        leaf = F.col(f"`{self.name}`")
+    def at(self, level: int, leaf: Column | None = None) -> Column:
+        """The dimension's value at a level, from its leaf value (by default the cube's column)."""
+        leaf = F.col(f"`{self.name}`") if leaf is None else leaf
         if self.kind == "time_containment":
             return time_at_level(leaf, level)
         return leaf if level > 0 else self.collapsed

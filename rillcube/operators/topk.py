@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillcube.session import checkpoint_dir
+
 
 def exact_topk(df: DataFrame, key: str, value: Column, k: int) -> DataFrame:
     """``key, total`` of the k largest sums: map-side combine, one shuffle, a bounded heap per task."""
@@ -21,15 +23,25 @@ def windowed_topk(df: DataFrame, window: Column, key: str, value: Column, k: int
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def local_sums(df: DataFrame, site: str, key: str, value: Column) -> DataFrame:
+    """What the sites hold: ``site, key, v``, written once (every round asks it again)."""
+    checkpoint_dir(df.sparkSession)
+    sums = df.groupBy(F.col(f"`{site}`").alias("site"), F.col(f"`{key}`").alias("key")).agg(F.sum(value).alias("v"))
+    return sums.where("v is not null").checkpoint()
+
+
 def tput_topk(df: DataFrame, site: str, key: str, value: Column, k: int) -> DataFrame:
-    """The k largest sums over sites that each hold part of every key, for sums that are not negative.
+    """The k largest sums over sites that each hold part of every key, for sums that are not negative."""
+    return tput_rounds(local_sums(df, site, key, value), k)
+
+
+def tput_rounds(local: DataFrame, k: int) -> DataFrame:
+    """The three rounds over the sites' sums.
 
     Round 1 takes each site's own top k and lifts the k-th partial sum to a threshold; round 2 adds what any site has at
-    or above threshold / sites and raises it; round 3 fetches exact sums of the keys whose upper bound reaches it.  One
-    lazy plan: thresholds are scalar subqueries, and candidates go to the sites as a semi-join.
+    or above threshold / sites and raises it; round 3 fetches exact sums of the keys whose upper bound reaches it.
+    Thresholds are scalar subqueries, and candidates go to the sites as a semi-join.
     """
-    local = df.groupBy(F.col(f"`{site}`").alias("site"), F.col(f"`{key}`").alias("key")).agg(F.sum(value).alias("v"))
-    local = local.where("v is not null")
     sites = local.agg(F.count_distinct(F.struct("site")).alias("m"))
     own = Window.partitionBy("site").orderBy(F.desc("v"), F.asc_nulls_first("key"))
     first = local.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k).drop("r")
