@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillcube.operators import lateness, logs, records, weighted
 from rillcube.session import load
 
-FREQUENT_SHARE = 0.01
+FREQUENT_PERCENT = 1
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     everything = requests.agg(F.count(F.lit(1)).alias("n"))
     counts = weighted.value_counts(requests, {"url": F.col("url")}, F.coalesce("count", F.lit(1)))
     totals = weighted.key_totals(counts)
-    return totals.where(F.col("url").isNotNull() & (F.col("rows") >= FREQUENT_SHARE * everything.scalar())).select("url")
+    return totals.where(F.col("url").isNotNull() & (F.col("rows") * 100 >= FREQUENT_PERCENT * everything.scalar())).select("url")
 
 
 def p2_url_totals(spark: SparkSession, d: str) -> DataFrame:
