@@ -13,6 +13,7 @@ values are equal only byte for byte; an empty table gives an empty table; furthe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -114,5 +115,6 @@ def at_least(df: DataFrame, value: str, weight: str | None, share: float, missin
     """
     amount = F.lit(1) if weight is None else F.coalesce(F.col(f"`{weight}`"), F.lit(missing_weight))
     whole = df.select(amount.cast("long").alias("w")).agg(F.sum("w").alias("w"))
-    top = heaviest(df, value, weight, int(1 / share) + 1, missing_weight)
-    return top.where(F.col("weight") >= F.lit(share) * whole.scalar())
+    exact = Fraction(str(share))  # whole numbers, so that a value of exactly that share is in
+    top = heaviest(df, value, weight, int(1 / exact) + 1, missing_weight)
+    return top.where(F.col("weight") * exact.denominator >= whole.scalar() * exact.numerator)
