@@ -35,7 +35,8 @@ class CubeCatalog:
         """The existing spec of that name if there is one; ``overwrite`` clears its contents."""
         if overwrite:
             self.clear(spec.name)
-        return self.specs.setdefault(spec.name, spec) if not overwrite else self.specs.__setitem__(spec.name, spec) or spec
+            self.specs.pop(spec.name, None)
+        return self.specs.setdefault(spec.name, spec)
 
     def clear(self, name: str) -> None:
         fs, Path = self._fs()

@@ -11,7 +11,7 @@ one row of nulls and zeros as in SQL.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping, Sequence, Set
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -146,17 +146,14 @@ class Cube:
         return cls(cubes[0].spec, cls._regrouped(cubes[0].spec, cells, {n: F.col(f"`{n}`") for n in cubes[0].spec.dim_names}, rollup=False))
 
     @classmethod
-    def _regrouped(cls, spec: CubeSpec, cells: DataFrame, dims: Mapping[str, Column], rollup: bool) -> DataFrame:
+    def _regrouped(cls, spec: CubeSpec, cells: DataFrame, dims: Mapping[str, Column], rollup: bool, collapsed: Set[str] = frozenset()) -> DataFrame:
         # under other names first: a collapsed dimension has to hide its leaf column
         named = cells.select(*[c.alias(f"__d_{n}") for n, c in dims.items()], *[p for a in spec.aggs for p in a.partials], "version")
         keys = [f"__d_{n}" for n in dims]
-        grouping, constant = keys, {}
-        if rollup:
-            constant = {f"__d_{n}": c for n, c in dims.items() if n in getattr(dims, "collapsed", ())}
-            grouping = [k for k in keys if k not in constant]
-        plain = [a for a in spec.aggs if a.kind != "quantile_sample"]
-        aggs = [p for a in plain for p in cls._again(a, rollup)]
-        out = named.groupBy(*grouping).agg(*aggs, F.max("version").alias("version")).withColumns(constant) if constant else named.groupBy(*grouping).agg(*aggs, F.max("version").alias("version"))
+        grouping = [f"__d_{n}" for n in dims if n not in collapsed]
+        aggs = [p for a in spec.aggs if a.kind != "quantile_sample" for p in cls._again(a, rollup)]
+        out = named.groupBy(*grouping).agg(*aggs, F.max("version").alias("version"))
+        out = out.withColumns({f"__d_{n}": dims[n] for n in collapsed}) if collapsed else out
         for a in spec.aggs:
             if a.kind != "quantile_sample":
                 continue
@@ -208,9 +205,9 @@ class Cube:
             self.spec.dim(name)
         if self.rows is not None and all(a.kind in _DIRECT for a in self.spec.aggs):
             return Cube(self.spec, self._at_levels(self.spec, self.rows, levels))
-        dims = _Leveled({d.name: d.at(levels.get(d.name, d.leaf)) for d in self.spec.dims})
-        dims.collapsed = {n for n, level in levels.items() if level == 0}
-        return Cube(self.spec, self._regrouped(self.spec, self.cells, dims, rollup=True))
+        dims = {d.name: d.at(levels.get(d.name, d.leaf)) for d in self.spec.dims}
+        collapsed = {n for n, level in levels.items() if level == 0}
+        return Cube(self.spec, self._regrouped(self.spec, self.cells, dims, rollup=True, collapsed=collapsed))
 
     def finalize(self) -> DataFrame:
         """Dimensions and finished aggregates: averages divided, strings and histograms as they are, ``version`` last."""
@@ -272,10 +269,6 @@ class Cube:
         return out
 
 
-class _Leveled(dict):
-    collapsed: set[str] = set()
-
-
 def agg_tree(spec: CubeSpec, df: DataFrame, site: str, region: Column | None = None) -> Cube:
     """The union cube by way of local cubes (per site) and regional ones (``region`` is an expression over ``site_key``, the
     site as text): equal to the flat cube, as partial states merge.
