@@ -95,7 +95,7 @@ def _log_sql() -> str:
     stamp = r"^(\d{4})-(\w{2,3})-(\d\d?)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?\s*(Z|[+-]\d\d:?\d\d)?$"
     part = lambda i: f"regexp_extract(ts_text, '{stamp}', {i})"
     at = lambda year: f"epoch(make_timestamp({year}, month, day, 0, 0, 0))::BIGINT + second"
-    return f"""
+    return rf"""
         WITH l AS (SELECT log_file, version, any_value(coalesce(s_val, '')) AS s, any_value(t_val) AS t FROM log_elements WHERE log_file IS NOT NULL AND version IS NOT NULL GROUP BY 1, 2),
         f AS (SELECT *, string_split(CASE {" ".join(flat)} WHEN regexp_matches(s, '^\w+=') THEN {pairs} WHEN json_valid(s) AND s LIKE '{{%"%' THEN {keyed} END, '|||') AS cut FROM l),
         g AS (SELECT log_file, version, coalesce(t, last_value(t IGNORE NULLS) OVER (PARTITION BY log_file ORDER BY version), first_value(t IGNORE NULLS) OVER (PARTITION BY log_file ORDER BY version ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS t,
