@@ -6,6 +6,7 @@ Amounts are whole numbers (cents), so that sums do not depend on the order of ad
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ SQL: dict[str, str] = {}
 
 _E = "e AS (SELECT event_id, epoch_us(ts) // 1000000 AS t, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, props, 'site-' || (user_id % 4) AS site FROM events)"
 _R = "r AS (SELECT tuple_id, site, version, epoch_us(time) // 1000000 AS t, url, response_code, coalesce(count, 1)::BIGINT AS n, avg_size_sum::BIGINT AS size, avg_size_count::BIGINT AS sizes FROM web_requests WHERE time IS NOT NULL)"
+_A = _R.replace(" WHERE time IS NOT NULL", "")  # every request
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -51,11 +53,17 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, d: str) -> DataFrame:
-    raw = load(spark, d, "web_requests").where("time is not null")
+def all_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of web_requests; ``t`` is null where the time is."""
+    raw = load(spark, d, "web_requests")
     return raw.select("tuple_id", "site", "version", F.unix_seconds("time").alias("t"), "url", "response_code", F.coalesce("count", F.lit(1)).cast("bigint").alias("n"), F.col("avg_size_sum").cast("bigint").alias("size"), F.col("avg_size_count").cast("bigint").alias("sizes"))
 
 
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of web_requests that have a time: for queries that place them in time windows (see ``WHOLE`` for the others)."""
+    return all_requests(spark, d).where("t is not null")
+
+
 EVENT_SPEC = CubeSpec(
     "events",
     [Dimension("time", "time_containment", "t"), Dimension("event_type")],
@@ -74,8 +82,8 @@ def event_cube(spark: SparkSession, d: str) -> Cube:
     return Cube.build(EVENT_SPEC, events(spark, d))
 
 
-def web_cube(spark: SparkSession, d: str) -> Cube:
-    return Cube.build(WEB_SPEC, requests(spark, d))
+def web_cube(spark: SparkSession, d: str, rows=requests) -> Cube:
+    return Cube.build(WEB_SPEC, rows(spark, d))
 
 
 # cubes
@@ -89,8 +97,8 @@ def cube_leaf_events(spark, d):
 
 
 @query(f"WITH {_R} SELECT t AS time, url, response_code, sum(n)::BIGINT AS count, sum(size)::DOUBLE / nullif(sum(sizes), 0) AS avg_size, max(version) AS version FROM r GROUP BY 1, 2, 3")
-def cube_leaf_web(spark, d):
-    return web_cube(spark, d).finalize()
+def cube_leaf_web(spark, d, rows=requests):
+    return web_cube(spark, d, rows).finalize()
 
 
 @query(f"WITH {_E} SELECT event_type, sum(cents)::DOUBLE AS mean_sum, count(*) AS mean_count, sum(cents)::DOUBLE / count(*) AS mean FROM e GROUP BY 1")
@@ -151,8 +159,8 @@ def cube_string_rollup(spark, d):
 
 
 @query(f"WITH {_R} SELECT site, max(version) AS version, count(*) AS cnt FROM r GROUP BY 1")
-def cube_version_max(spark, d):
-    return Cube.build(CubeSpec("v", [Dimension("site")], [Aggregate("cnt")], "version"), requests(spark, d)).finalize()
+def cube_version_max(spark, d, rows=requests):
+    return Cube.build(CubeSpec("v", [Dimension("site")], [Aggregate("cnt")], "version"), rows(spark, d)).finalize()
 
 
 @query(f"WITH {_E} SELECT count(*) AS cells FROM (SELECT DISTINCT t, event_type FROM e)")
@@ -258,8 +266,8 @@ def time_warp(spark, d):
 
 
 @query(f"WITH {_R} SELECT url, sum(n)::BIGINT AS total, sum(CASE WHEN response_code = 200 THEN n ELSE 0 END)::DOUBLE / sum(n) AS ratio FROM r GROUP BY 1")
-def success_ratio(spark, d):
-    return transform.success_ratio(requests(spark, d), {"url": F.col("url")}, "response_code", "n")
+def success_ratio(spark, d, rows=requests):
+    return transform.success_ratio(rows(spark, d), {"url": F.col("url")}, "response_code", "n")
 
 
 @query()
@@ -401,18 +409,19 @@ _TOP = f"WITH {_R} SELECT url AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1
 
 
 @query(_TOP)
-def exact_topk(spark, d):
-    return topk.exact_topk(requests(spark, d), "url", F.col("n"), 10)
+def exact_topk(spark, d, rows=requests):
+    return topk.exact_topk(rows(spark, d), "url", F.col("n"), 10)
 
 
 @query(_TOP)
-def tput_topk(spark, d):
-    return topk.tput_topk(requests(spark, d), "site", "url", F.col("n"), 10)
+def tput_topk(spark, d, rows=requests):
+    return topk.tput_topk(rows(spark, d), "site", "url", F.col("n"), 10)
 
 
 @query(f"""WITH {_R}, s AS (SELECT t // 3600 * 3600 AS "window", url AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY total DESC, key NULLS FIRST)::INTEGER AS rank FROM s) WHERE rank <= 5""")
 def windowed_topk(spark, d):
+    """Of the requests that have a time."""
     return topk.windowed_topk(requests(spark, d), F.col("t") - F.pmod(F.col("t"), F.lit(3600)), "url", F.col("n"), 5)
 
 
@@ -536,14 +545,14 @@ def evenness_eval(spark, d):
 
 
 @query(f"WITH {_R} SELECT site AS host, count(*) AS n FROM r WHERE regexp_matches(url, '\\.(png|js)$') GROUP BY 1")
-def dist_grep_count(spark, d):
-    return filters.grep(requests(spark, d), "url", r"\.(png|js)$").groupBy(F.col("site").alias("host")).agg(F.count(F.lit(1)).alias("n"))
+def dist_grep_count(spark, d, rows=requests):
+    return filters.grep(rows(spark, d), "url", r"\.(png|js)$").groupBy(F.col("site").alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {_R}, s AS (SELECT t // 1800 * 1800 AS "window", url AS key, count(*) AS total FROM r WHERE url IS NOT NULL AND NOT contains(url, ' ') GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY total DESC, key)::INTEGER AS rank FROM s) WHERE rank <= 20""")
 def apache_topk(spark, d):
-    """Access lines, parsed for their url, and the top 20 of each half hour."""
+    """Access lines that have a time, parsed for their url, and the top 20 of each half hour."""
     raw = requests(spark, d).select("t", F.concat(F.lit("GET "), "url", F.lit(" HTTP")).alias("line"))
     parsed = parse.generic_parse(raw, "line", r".*GET ([^ ]*) .*", "S", ["url"])
     return topk.windowed_topk(parsed, F.col("t") - F.pmod(F.col("t"), F.lit(1800)), "url", F.lit(1), 20)
@@ -553,76 +562,80 @@ _WEB = "sum(n)::BIGINT AS count, sum(size)::DOUBLE / nullif(sum(sizes), 0) AS av
 
 
 @query(f"WITH {_R} SELECT 0::BIGINT AS time, '0' AS url, response_code, {_WEB} FROM r GROUP BY response_code")
-def respcode_counts(spark, d):
-    return web_cube(spark, d).query(CubeQuery(levels={"time": 0, "url": 0}))
+def respcode_counts(spark, d, rows=requests):
+    return web_cube(spark, d, rows).query(CubeQuery(levels={"time": 0, "url": 0}))
 
 
 @query(f"WITH {_R} SELECT t // 5 * 5 AS time, '0' AS url, 0 AS response_code, {_WEB} FROM r GROUP BY 1")
 def requests_by_5s(spark, d):
+    """Of the requests that have a time."""
     return web_cube(spark, d).query(CubeQuery(levels={"time": 8, "url": 0, "response_code": 0}))
 
 
 @query(f"""WITH {_R}, s AS (SELECT t // 30 * 30 AS time, url, 0 AS response_code, {_WEB} FROM r GROUP BY 1, 2)
         SELECT * EXCLUDE (k) FROM (SELECT *, time AS window_start, row_number() OVER (PARTITION BY time ORDER BY count DESC, url NULLS FIRST) AS k FROM s) WHERE k <= 10""")
 def url_counts_30s(spark, d):
+    """Of the requests that have a time."""
     return subs.windowed(web_cube(spark, d), "time", 30, -(2**40) * 30, CubeQuery(levels={"time": 6, "response_code": 0}, sort=["-count"], limit=10))
 
 
 @query(f"""WITH {_R}, s AS (SELECT t // 300 * 300 AS "window", coalesce(string_split(url, '/')[3], url) AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY total DESC, key NULLS FIRST)::INTEGER AS rank FROM s) WHERE rank <= 10""")
 def domain_counts_5min(spark, d):
+    """Of the requests that have a time."""
     return topk.windowed_topk(transform.url_to_domain(requests(spark, d), "url"), F.col("t") - F.pmod(F.col("t"), F.lit(300)), "url", F.col("n"), 10)
 
 
 @query(f"""WITH {_R}, x AS (SELECT response_code, size FROM r WHERE size IS NOT NULL), c AS (SELECT response_code, size, row_number() OVER (PARTITION BY response_code ORDER BY size) AS k, count(*) OVER (PARTITION BY response_code) AS n FROM x)
         SELECT response_code, min(size) FILTER (WHERE k >= ceil(0.95 * n)) AS size_p95, max(n) AS requests FROM c GROUP BY 1""")
-def quantiles_by_code(spark, d):
+def quantiles_by_code(spark, d, rows=requests):
     from rillcube.operators.weighted import percentiles, value_counts
 
-    counts = value_counts(requests(spark, d), {"response_code": F.col("response_code")}, F.col("size"))
+    counts = value_counts(rows(spark, d), {"response_code": F.col("response_code")}, F.col("size"))
     return percentiles(counts, [0.95]).select("response_code", F.col("value").alias("size_p95"), F.col("rows").alias("requests"))
 
 
 @query(f"WITH {_R} SELECT tuple_id, url FROM r WHERE sizes = 0 OR size / nullif(sizes, 0)::DOUBLE > 20000")
-def slow_requests(spark, d):
-    return filters.ratio_above(requests(spark, d), "size", "sizes", 20000).select("tuple_id", "url")
+def slow_requests(spark, d, rows=requests):
+    return filters.ratio_above(rows(spark, d), "size", "sizes", 20000).select("tuple_id", "url")
 
 
 @query(f"""WITH {_R}, s AS (SELECT coalesce(string_split(url, '/')[3], url) AS domain, sum(n)::BIGINT AS total, sum(CASE WHEN response_code = 200 THEN n ELSE 0 END)::DOUBLE / sum(n) AS ratio FROM r GROUP BY 1)
         SELECT * FROM s ORDER BY ratio DESC, domain NULLS FIRST LIMIT 5""")
-def worst_domains(spark, d):
-    ratios = transform.success_ratio(requests(spark, d), {"domain": transform.domain(F.col("url"))}, "response_code", "n")
+def worst_domains(spark, d, rows=requests):
+    ratios = transform.success_ratio(rows(spark, d), {"domain": transform.domain(F.col("url"))}, "response_code", "n")
     return ratios.orderBy(F.desc("ratio"), F.asc_nulls_first("domain")).limit(5)
 
 
 @query(f"WITH {_R} SELECT coalesce(string_split(url, '/')[3], url) AS key, sum(n)::BIGINT AS total FROM r WHERE response_code = 404 GROUP BY 1 ORDER BY total DESC, key NULLS FIRST LIMIT 10")
-def bad_domains(spark, d):
-    missing = transform.url_to_domain(filters.equals(requests(spark, d), "response_code", 404), "url")
+def bad_domains(spark, d, rows=requests):
+    missing = transform.url_to_domain(filters.equals(rows(spark, d), "response_code", 404), "url")
     return topk.exact_topk(missing, "url", F.col("n"), 10)
 
 
 @query(f"WITH {_R} SELECT site, t // 300 * 300 AS time, sum(size)::BIGINT AS bytes FROM r GROUP BY 1, 2")
 def bw_by_node(spark, d):
+    """Of the requests that have a time."""
     spec = CubeSpec("bw", [Dimension("site"), Dimension("time", "time_containment", "t")], [Aggregate("bytes", "sum", ("size",))])
     return Cube.build(spec, requests(spark, d)).query(CubeQuery(levels={"time": 4})).drop("version")
 
 
 @query(f"WITH {_R}, {_hist_sql(100, 'site', 'size', 'r')}, c AS (SELECT site, b, sum(n) OVER (PARTITION BY site ORDER BY b) AS cum, sum(n) OVER (PARTITION BY site) AS total FROM h100), f AS (SELECT site, min(b) AS b FROM c WHERE cum >= total * 0.95 GROUP BY 1), m(b, mid) AS (VALUES {_BOUNDS100}) SELECT site, mid::INTEGER AS p95 FROM f JOIN m USING (b)")
-def bw_histogram(spark, d):
-    h = loghist.histogram(requests(spark, d), ["site"], F.col("size"), 100)
+def bw_histogram(spark, d, rows=requests):
+    h = loghist.histogram(rows(spark, d), ["site"], F.col("size"), 100)
     return h.select("site", loghist.quantile(F.col("histogram"), 100, 0.95).alias("p95"))
 
 
 @query(f"""WITH {_R}, x AS (SELECT size, row_number() OVER (ORDER BY size) AS k, count(*) OVER () AS n FROM r WHERE size IS NOT NULL), q AS (SELECT min(size) AS bound FROM x WHERE k >= ceil(0.95 * n))
         SELECT tuple_id, url, size FROM r, q WHERE size >= bound""")
-def anomalous_requests(spark, d):
-    rows = requests(spark, d)
-    return subs.above_threshold(rows, "size", subs.quantile_thresholds(rows, {}, F.col("size"), 0.95)).select("tuple_id", "url", "size")
+def anomalous_requests(spark, d, rows=requests):
+    found = rows(spark, d)
+    return subs.above_threshold(found, "size", subs.quantile_thresholds(found, {}, F.col("size"), 0.95)).select("tuple_id", "url", "size")
 
 
 @query(f"WITH {_R}, s AS (SELECT url AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY total DESC, key NULLS FIRST) AS i FROM s) SELECT k::INTEGER AS k, key, total FROM o, (VALUES (1), (5), (20)) x(k) WHERE i <= k")
-def multiround_sweep(spark, d):
-    out, local = None, topk.local_sums(requests(spark, d), "site", "url", F.col("n"))
+def multiround_sweep(spark, d, rows=requests):
+    out, local = None, topk.local_sums(rows(spark, d), "site", "url", F.col("n"))
     for k in (1, 5, 20):
         one = topk.tput_rounds(local, k).select(F.lit(k).alias("k"), "key", "total")
         out = one if out is None else out.unionByName(one)
@@ -630,13 +643,13 @@ def multiround_sweep(spark, d):
 
 
 @query(f"WITH {_R} SELECT url, count(*) AS n FROM r GROUP BY 1")
-def agent_counts(spark, d):
-    return requests(spark, d).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+def agent_counts(spark, d, rows=requests):
+    return rows(spark, d).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_R} SELECT t AS time, coalesce(string_split(url, '/')[3], url) AS url, response_code, {_WEB} FROM r GROUP BY 1, 2, 3")
-def raw_cube_by_domain(spark, d):
-    return Cube.build(WEB_SPEC, transform.url_to_domain(requests(spark, d), "url")).finalize()
+def raw_cube_by_domain(spark, d, rows=requests):
+    return Cube.build(WEB_SPEC, transform.url_to_domain(rows(spark, d), "url")).finalize()
 
 
 @query("""WITH l AS (SELECT floor(epoch_us(arrival_time) / 3600000000.0)::BIGINT AS period, site AS source, coalesce(avg_size_sum, 0)::BIGINT AS size, (epoch_us(arrival_time) - epoch_us(time)) // 1000 AS latency FROM web_requests WHERE time IS NOT NULL AND time <= arrival_time),
@@ -656,6 +669,7 @@ _FOLDS = (5, 60, 300, 3600, 0)
         u AS (SELECT fold, sum(n)::BIGINT AS rows, count(*) AS url_keys FROM (SELECT fold, b, url, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1), v AS (SELECT fold, count(*) AS domain_keys FROM (SELECT DISTINCT fold, b, d FROM f) GROUP BY 1)
         SELECT fold, rows, url_keys, domain_keys, rows / url_keys::DOUBLE AS url_ratio, rows / domain_keys::DOUBLE AS domain_ratio FROM u JOIN v USING (fold)""")
 def key_compression(spark, d):
+    """Of the requests that have a time."""
     return evaluate.key_compression(requests(spark, d), F.col("t"), F.col("url"), _FOLDS)
 
 
@@ -669,9 +683,20 @@ def truth_quantiles(spark, d):
 
 
 @query(f"""WITH {_R}, s AS (SELECT coalesce(string_split(url, '/')[3], url, '') AS host, n FROM r), a AS (SELECT array_to_string(list_slice(string_split(host, '.'), 1, i), '.') AS host, n FROM (SELECT host, n, unnest(range(0, CASE WHEN host = '' THEN 1 ELSE len(string_split(host, '.')) + 1 END)) AS i FROM s)) SELECT host, sum(n)::BIGINT AS n FROM a GROUP BY 1""")
-def hierarchy_counts(spark, d):
-    rows = requests(spark, d).select(F.coalesce(transform.domain(F.col("url")), F.lit("")).alias("host"), "n")
-    return evaluate.hierarchy_counts(rows, {"host": F.col("host")}, {"host": r"\."}, F.col("n"))
+def hierarchy_counts(spark, d, rows=requests):
+    hosts = rows(spark, d).select(F.coalesce(transform.domain(F.col("url")), F.lit("")).alias("host"), "n")
+    return evaluate.hierarchy_counts(hosts, {"host": F.col("host")}, {"host": r"\."}, F.col("n"))
+
+
+# the same over every request, null times included, for the queries that need no time window
+
+WHOLE = (
+    "cube_leaf_web", "raw_cube_by_domain", "exact_topk", "tput_topk", "multiround_sweep", "agent_counts", "success_ratio", "worst_domains", "bad_domains",
+    "respcode_counts", "cube_version_max", "dist_grep_count", "slow_requests", "anomalous_requests", "quantiles_by_code", "bw_histogram", "hierarchy_counts",
+)
+
+for _name in WHOLE:
+    query(SQL[_name].replace(_R, _A), f"{_name}_all")(partial(QUERIES[_name], rows=all_requests))
 
 
 # streams
