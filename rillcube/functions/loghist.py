@@ -10,7 +10,10 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Sequence
 from functools import lru_cache
+from math import ceil, log, log1p
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +138,63 @@ def sketch_quantile(column: Column, q: float) -> Column:
 def count_min(value: Column, eps: float = 0.001, confidence: float = 0.99, seed: int = 1) -> Column:
     """Aggregate: a count-min sketch; point estimates are never below the count, and above by ``eps`` of all at most, with that confidence."""
     return F.count_min_sketch(value, F.lit(eps), F.lit(confidence), F.lit(seed))
+
+
+def count_min_size(eps: float = 0.001, confidence: float = 0.99) -> tuple[int, int]:
+    """(rows, cells a row) of a count-min sketch."""
+    return ceil(-log1p(-confidence) / log(2)), ceil(2 / eps)
+
+
+def count_min_cells(df: DataFrame, keys: Sequence[str], sketch: str) -> DataFrame:
+    """Count-min sketches as rows ``keys, cm_cell, cm_n``; sketches of one size merge by addition, so those under equal keys are added up."""
+    cells = F.arrow_udf(_cells, returnType="array<bigint>")(F.col(f"`{sketch}`"))
+    flat = df.select(*[F.col(f"`{k}`") for k in keys], F.posexplode(cells).alias("cm_cell", "cm_n"))
+    return flat.groupBy(*keys, "cm_cell").agg(F.sum("cm_n").alias("cm_n"))
+
+
+def count_min_estimate(items: DataFrame, item: str, cells: DataFrame, eps: float = 0.001, confidence: float = 0.99) -> DataFrame:
+    """``items`` (distinct strings, not null) with ``estimate``: the least of the item's cells, one in each row of the sketch."""
+    depth, width = count_min_size(eps, confidence)
+    places = F.arrow_udf(lambda found: _places(found, depth, width), returnType="array<int>")(F.col(f"`{item}`"))
+    asked = items.withColumn("cm_cell", F.explode(places))
+    return asked.join(cells, "cm_cell").groupBy(*items.columns).agg(F.min("cm_n").alias("estimate"))
+
+
+def _cells(sketches: pa.Array) -> pa.Array:
+    """The counts in Spark's binary form: version, total, rows, cells a row, one hash factor a row, then the counts."""
+    out = []
+    for raw in sketches.to_pylist():
+        depth, width = np.frombuffer(raw, ">i4", 2, 12)
+        out.append(np.frombuffer(raw, ">i8", depth * width, 20 + 8 * depth).astype(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def _places(items: pa.Array, depth: int, width: int) -> pa.Array:
+    """Spark's cells of each string: row i takes the hash h1 + i * h2."""
+    raw = [x.encode() for x in items.to_pylist()]
+    lengths = np.array([len(b) for b in raw], np.int64)
+    out = np.empty((len(raw), depth), np.int32)
+    rows = np.arange(depth, dtype=np.uint32)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        data = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), n)
+        first = _murmur3(data, np.zeros(len(at), np.uint32))
+        second = _murmur3(data, first)
+        hashes = (first[:, None] + rows * second[:, None]).view(np.int32).astype(np.int64)
+        out[at] = np.abs(hashes) % width + rows.astype(np.int64) * width
+    return pa.array(list(out), pa.list_(pa.int32()))
+
+
+def _murmur3(data: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Murmur3 of byte strings of one length as Spark's sketches take it: each byte after the last whole word is a word, with its sign."""
+    turn = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    whole = data.shape[1] // 4 * 4
+    words = [*np.ascontiguousarray(data[:, :whole]).view("<u4").T, *data[:, whole:].view(np.int8).astype(np.int32).view(np.uint32).T]
+    h = seed.copy()
+    for k in words:
+        h ^= turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(data.shape[1])
+    for by, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(by))) * np.uint32(factor)
+    return h ^ (h >> np.uint32(16))

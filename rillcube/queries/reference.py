@@ -395,6 +395,15 @@ def cm_sketch(spark, d):
     return load(spark, d, "web_requests").groupBy("response_code").agg(F.length(loghist.count_min(F.col("url"))).alias("sketch_bytes"))
 
 
+@query()
+def cm_point_estimate(spark, d):
+    """Per url its requests, exact and as the response codes' sketches, merged, estimate them."""
+    rows = load(spark, d, "web_requests").where("url is not null")
+    sketches = rows.groupBy("response_code").agg(loghist.count_min(F.col("url")).alias("sketch"))
+    exact = rows.groupBy("url").agg(F.count(F.lit(1)).alias("requests"))
+    return loghist.count_min_estimate(exact, "url", loghist.count_min_cells(sketches, [], "sketch"))
+
+
 @query()
 def reservoir_sample(spark, d):
     """A sample aggregate of a cube: 40 values per type of all its hours."""
