@@ -72,7 +72,18 @@ def p6_period_totals(spark: SparkSession, d: str) -> DataFrame:
     return lateness.period_results(state, [0.5]).select("period", "rows", F.col("total").alias("size_total"), "distinct_values", "min_value", "max_value", "p50")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_typed_rows, p1_rejected_rows, p2_found, p2_url_totals, p2_count_median, p3_found, p3_log_entries, p6_found, p6_period_totals)}
+def p6_corrected_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Period totals and medians from the rows that came before their period's end, and after those that came later, within the cut-off, corrected them."""
+    rows = load(spark, d, "web_requests").select("tuple_id", "site", "time", "arrival_time", "count", "avg_size_sum")
+    in_time, _ = lateness.split_late(rows)
+    late = F.unix_micros("arrival_time") >= (lateness.period_start(F.col("time")) + lateness.PERIOD) * 1_000_000
+    state, delta = (lateness.period_multiset(part, F.coalesce("count", F.lit(1)), F.col("avg_size_sum")) for part in (in_time.where(~late), in_time.where(late)))
+    before = lateness.period_results(state, [0.5]).select("period", F.col("rows").alias("rows_before"), F.col("total").alias("size_before"), F.col("p50").alias("p50_before"))
+    after = lateness.period_results(lateness.adjust(state, delta), [0.5]).select("period", "rows", F.col("total").alias("size_total"), "p50")
+    return after.join(before, "period", "left")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_typed_rows, p1_rejected_rows, p2_found, p2_url_totals, p2_count_median, p3_found, p3_log_entries, p6_found, p6_period_totals, p6_corrected_totals)}
 
 _LATE = """
 usable AS (SELECT *, time IS NOT NULL AND time <= arrival_time AS usable FROM web_requests),
@@ -146,4 +157,11 @@ SQL = {
         c AS (SELECT *, sum(n) OVER (PARTITION BY period ORDER BY v) AS cum, sum(n) OVER (PARTITION BY period) AS total FROM v)
         SELECT period, sum(n)::BIGINT AS rows, sum(s)::BIGINT AS size_total, count(*)::BIGINT AS distinct_values, min(v)::BIGINT AS min_value, max(v)::BIGINT AS max_value,
                min(CASE WHEN cum >= ceil(0.5 * total) THEN v END)::BIGINT AS p50 FROM c GROUP BY period""",
+    "p6_corrected_totals": f"""
+        WITH {_LATE}, j AS (SELECT period, coalesce(count, 1) AS v, avg_size_sum AS s, epoch_us(arrival_time) < (period + 300) * 1000000 AS early FROM judged WHERE usable AND NOT beyond),
+        v AS (SELECT b AS corrected, period, v, count(*) AS n, sum(s) AS s FROM j, (VALUES (false), (true)) x(b) WHERE b OR early GROUP BY ALL),
+        c AS (SELECT *, sum(n) OVER (PARTITION BY corrected, period ORDER BY v) AS cum, sum(n) OVER (PARTITION BY corrected, period) AS total FROM v),
+        r AS (SELECT corrected, period, sum(n)::BIGINT AS rows, sum(s)::BIGINT AS size, min(CASE WHEN cum >= ceil(0.5 * total) THEN v END)::BIGINT AS p50 FROM c GROUP BY 1, 2)
+        SELECT a.period, a.rows, a.size AS size_total, a.p50, b.rows AS rows_before, b.size AS size_before, b.p50 AS p50_before
+        FROM (SELECT * FROM r WHERE corrected) a LEFT JOIN (SELECT * FROM r WHERE NOT corrected) b USING (period)""",
 }
