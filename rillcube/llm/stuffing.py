@@ -3,7 +3,8 @@
 Every line of a page is cut into units (sentences by their end marks, and within them clauses by list separators), and
 each unit is reduced to a shape: buckets of its word count, its capitals, its separators, whether it bears links, tags
 or product codes, and how it ends.  A shape is a sentence's if its words are held together by function words, or if it
-starts and ends as a sentence does, and if no content word or pair of words keeps coming back in it.  Characters are
+starts and ends as a sentence does, and if no content word or pair of words keeps coming back in it, nor the word that
+dominates the page stands twice in a short one.  Characters are
 summed by shape within the page, and a page is flagged whose few largest non-sentence shapes hold more than half of
 its characters.  All of this is per row: an Arrow UDF over the text column, without any shuffle, and a host or source
 with a third of all rows costs the same per row as any other.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 SHARE, TOP_SHAPES, MIN_ITEMS = 0.5, 12, 3
 FUNCTION_SHARE = 0.2
+#: A content word dominates a page from this share of its content words and this often; short sentences have so many words at most.
+DOMINATES, DOMINATES_TIMES, SHORT = 0.15, 3, 8
 
 #: Function words of the languages at hand (fixed values); conjunctions and words of set phrases of trade are left out.
 FUNCTION_WORDS = frozenset(
@@ -97,6 +100,21 @@ def _keeps_coming_back(words: list[str]) -> bool:
     return bool(pairs) and max(pairs.values()) >= 2
 
 
+def _contents(words: list[str]) -> list[str]:
+    """The content words, and the pairs of Chinese signs."""
+    signs = [(a, b) for a, b in zip(words, words[1:]) if "㐀" <= a <= "鿿" and "㐀" <= b <= "鿿"] if _signs(words) else []
+    return [w for w in words if len(w) > 1 and w not in _FUNCTION] + [a + b for a, b in signs if a not in _FUNCTION and b not in _FUNCTION]
+
+
+def _dominating(words: list[str]) -> str | None:
+    """The content word around which a page may be built."""
+    found = _contents(words)
+    if not found:
+        return None
+    word, n = Counter(found).most_common(1)[0]
+    return word if n >= DOMINATES_TIMES and n >= DOMINATES * len(found) else None
+
+
 def _bucket(n: float) -> str:
     return "0" if n < 1 else "1" if n < 2 else "2" if n < 4 else "4" if n < 8 else "8" if n < 16 else "16"
 
@@ -132,7 +150,9 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
 
     text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text)
     # without any function word the text is of no language listed, and how a sentence starts and ends has to do
-    strict = any(w in FUNCTION_WORDS for w in _words(text))
+    page = _words(text)
+    strict = any(w in FUNCTION_WORDS for w in page)
+    keyword = _dominating(page)
     for line in text.split("\n"):
         line = line.strip()
         if not line:
@@ -177,11 +197,12 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
                     bad += len(clause)
                     n_bad += 1
             ended = stripped[-1] in ".!?。！？”»\"“"
-            repeats = _keeps_coming_back(words)
+            around = keyword is not None and _length(words) <= SHORT and _contents(words).count(keyword) >= 2
+            repeats = around or _keeps_coming_back(words)
             if good and n_bad < 3 and not repeats:
                 continue  # a sentence
             if good:
-                share = bad / (good + bad) if n_bad else 1.0
+                share = bad / (good + bad) if n_bad and not around else 1.0
                 spam(stripped, words, len(clauses), False, round(len(unit) * share), max(1, n_bad))
                 continue
             sentence = ended and stripped[:1] not in "#<*" and (stripped[0].isupper() or not stripped[0].islower()) and _length(words) >= 3 and n_bad <= 2 and not repeats
