@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ SHARE, TOP_SHAPES, MIN_ITEMS = 0.5, 12, 3
 FUNCTION_SHARE = 0.2
 #: A content word dominates a page from this share of its content words and this often; short sentences have so many words at most.
 DOMINATES, DOMINATES_TIMES, SHORT = 0.15, 3, 8
+#: A unit is damaged text from this share of unprintable characters, or of letters in words of more than LONG letters.
+DAMAGED_SIGNS, DAMAGED_LETTERS, LONG = 0.1, 0.5, 40
 
 #: Function words of the languages at hand (fixed values); conjunctions and words of set phrases of trade are left out.
 FUNCTION_WORDS = frozenset(
@@ -115,6 +118,15 @@ def _dominating(words: list[str]) -> str | None:
     return word if n >= DOMINATES_TIMES and n >= DOMINATES * len(found) else None
 
 
+def _damaged(unit: str, words: list[str]) -> bool:
+    """Whether a unit is damaged text without word borders, not just one that holds a stray sign or an overlong word."""
+    if not unit.isprintable():
+        seen = [c for c in unit if not (c < " " or unicodedata.category(c) == "Cf")]
+        if sum(not c.isprintable() for c in seen) >= DAMAGED_SIGNS * max(1, len(seen)):
+            return True
+    return sum(len(w) for w in words if len(w) > LONG) >= DAMAGED_LETTERS * sum(map(len, words))
+
+
 def _bucket(n: float) -> str:
     return "0" if n < 1 else "1" if n < 2 else "2" if n < 4 else "4" if n < 8 else "8" if n < 16 else "16"
 
@@ -209,8 +221,8 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
             sentence = sentence and not (strict and "a" <= max(words)[0] < "\u0250" and _function_share(words) == 0)
             if sentence or (n_bad < 3 and _function_share(words) >= FUNCTION_SHARE and not repeats):
                 continue
-            if max(len(w) for w in words) > 40 or not stripped.isprintable():
-                continue  # damaged text without word borders is no list
+            if _damaged(stripped, words):
+                continue  # no list
             spam(stripped, words, len(clauses), False, len(unit), max(1, n_bad, len(words) // 4))
     return total, by_shape, items
 

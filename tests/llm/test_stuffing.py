@@ -15,3 +15,16 @@ def test_sentences_around_the_keyword_of_the_page(page):
 
 def test_a_word_twice_in_one_sentence_of_prose():
     assert not stuffing.is_stuffed(PLAIN * 3 + "A house is a house. " + PLAIN)
+
+
+MENU = "Home, Products, Prices, Contact, Cart, Login, Register, Downloads, Offers, Brands, Sale, Newsletter"
+
+
+@pytest.mark.parametrize("sign", ["\t", "\u00ad", "\ufeff", "\x85", "\x93", "\ue000", " " + "x" * 41 + " "])
+def test_one_damaged_sign_does_not_clear_a_list(sign):
+    assert stuffing.is_stuffed(MENU) and stuffing.is_stuffed(MENU[:30] + sign + MENU[30:])
+
+
+@pytest.mark.parametrize("text", ["\u00d0\x9a\u00d1\x80\u00d0\u00b0\u00d1\x81\u00d0\u00b8 " * 8, "x" * 400 + " y " + "z" * 300])
+def test_damaged_text_is_no_list(text):
+    assert not stuffing.is_stuffed(text)
