@@ -5,12 +5,11 @@ each unit is reduced to a shape: buckets of its word count, its capitals, its se
 or product codes, and how it ends.  A shape is a sentence's if its words are held together by function words, or if it
 starts and ends as a sentence does, and if no content word or pair of words keeps coming back in it, nor the word that
 dominates the page stands twice in a short one.  Characters are
-summed by shape within the page, and a page is flagged whose few largest non-sentence shapes hold more than half of
-its characters.  All of this is per row: an Arrow UDF over the text column, without any shuffle, and a host or source
+summed by shape within the page, and a page is flagged whose non-sentence shapes hold more than half of its characters.  All of this is per row: an Arrow UDF over the text column, without any shuffle, and a host or source
 with a third of all rows costs the same per row as any other.
 
 Defined results: null, empty and blank texts have no shapes and are not flagged; a page with fewer than ``MIN_ITEMS``
-non-sentence units is not flagged (a lone fragment is no list); texts are read whole; repeated rows are judged alike;
+non-sentence units is not flagged (a lone fragment is no list) unless links, codes and tags alone hold more than half of it; texts are read whole; repeated rows are judged alike;
 further columns are kept, but one of the result's name is replaced.
 """
 
@@ -28,9 +27,9 @@ from pyspark.sql import functions as F
 SHARE, TOP_SHAPES, MIN_ITEMS = 0.5, 12, 3
 FUNCTION_SHARE = 0.2
 #: A content word dominates a page from this share of its content words and this often; short sentences have so many words at most.
-DOMINATES, DOMINATES_TIMES, SHORT = 0.15, 3, 8
+DOMINATES, DOMINATES_TIMES, SHORT = 0.15, 3, 6
 #: A unit is damaged text from this share of unprintable characters, or of letters in words of more than LONG letters.
-DAMAGED_SIGNS, DAMAGED_LETTERS, LONG = 0.1, 0.5, 40
+DAMAGED_SIGNS, DAMAGED_LETTERS, LONG = 0.04, 0.5, 40
 
 #: Function words of the languages at hand (fixed values); conjunctions and words of set phrases of trade are left out.
 FUNCTION_WORDS = frozenset(
@@ -151,14 +150,21 @@ def _units(line: str):
 
 def shapes(text: str) -> tuple[int, dict[str, int], int]:
     """(characters, characters by non-sentence shape, number of non-sentence units)."""
+    total, by_shape, items, _ = _summed(text)
+    return total, by_shape, items
+
+
+def _summed(text: str) -> tuple[int, dict[str, int], int, int]:
+    """``shapes``, and the characters that are no lone fragment even by themselves: links, codes, tags."""
     total = 0
     by_shape: dict[str, int] = defaultdict(int)
-    items = 0
+    items = sure = 0
 
-    def spam(unit: str, words: list[str], separators: int, links: bool, chars: int, n: int) -> None:
-        nonlocal items
+    def spam(unit: str, words: list[str], separators: int, links: bool, chars: int, n: int, certain: bool = False) -> None:
+        nonlocal items, sure
         by_shape[_shape(unit, words, separators, links)] += chars
         items += n
+        sure += chars if certain or links else 0
 
     text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text)
     # without any function word the text is of no language listed, and how a sentence starts and ends has to do
@@ -193,12 +199,12 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
             words = _words(_CODE.sub(" ", stripped) if codes else stripped)
             if not words:
                 if len(stripped) > 2:
-                    spam(stripped, words, 0, False, len(unit), 1)
+                    spam(stripped, words, 0, False, len(unit), 1, codes > 0)
                 continue
             clauses = [c for c in _SEPARATOR.split(stripped) if c and not c.isspace()]
             marks = len(_MARK.findall(stripped))
             if marks >= 2 or codes >= 2:
-                spam(stripped, words, len(clauses), False, len(unit), max(marks, codes))
+                spam(stripped, words, len(clauses), False, len(unit), max(marks, codes), True)
                 continue
             good, bad, n_bad = 0, 0, 0
             for clause in clauses:
@@ -215,7 +221,7 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
                 continue  # a sentence
             if good:
                 share = bad / (good + bad) if n_bad and not around else 1.0
-                spam(stripped, words, len(clauses), False, round(len(unit) * share), max(1, n_bad))
+                spam(stripped, words, len(clauses), False, round(len(unit) * share), max(1 + around, n_bad))
                 continue
             sentence = ended and stripped[:1] not in "#<*" and (stripped[0].isupper() or not stripped[0].islower()) and _length(words) >= 3 and n_bad <= 2 and not repeats
             sentence = sentence and not (strict and "a" <= max(words)[0] < "\u0250" and _function_share(words) == 0)
@@ -223,16 +229,16 @@ def shapes(text: str) -> tuple[int, dict[str, int], int]:
                 continue
             if _damaged(stripped, words):
                 continue  # no list
-            spam(stripped, words, len(clauses), False, len(unit), max(1, n_bad, len(words) // 4))
-    return total, by_shape, items
+            spam(stripped, words, len(clauses), False, len(unit), max(1 + around, n_bad, len(words) // 4), codes > 0)
+    return total, by_shape, items, sure
+
+
+def _flagged(total: int, by_shape: dict[str, int], items: int, sure: int) -> bool:
+    return sum(by_shape.values()) > SHARE * total and (items >= MIN_ITEMS or sure > SHARE * total)
 
 
 def is_stuffed(text: str | None) -> bool:
-    if not text:
-        return False
-    total, by_shape, items = shapes(text)
-    top = sum(sorted(by_shape.values(), reverse=True)[:TOP_SHAPES])
-    return items >= MIN_ITEMS and top > SHARE * total
+    return bool(text) and _flagged(*_summed(text))
 
 
 _RESULT = "struct<chars: int, list_chars: int, lists: int, stuffed: boolean>"
@@ -241,12 +247,12 @@ _RESULT = "struct<chars: int, list_chars: int, lists: int, stuffed: boolean>"
 def _judge(texts: pa.Array) -> pa.Array:
     chars, listed, lists, stuffed = [], [], [], []
     for text in texts.to_pylist():
-        total, by_shape, items = shapes(text) if text else (0, {}, 0)
+        total, by_shape, items, sure = _summed(text) if text else (0, {}, 0, 0)
         top = sum(sorted(by_shape.values(), reverse=True)[:TOP_SHAPES])
         chars.append(total)
         listed.append(top)
         lists.append(items)
-        stuffed.append(items >= MIN_ITEMS and top > SHARE * total)
+        stuffed.append(_flagged(total, by_shape, items, sure))
     whole = [pa.array(x, pa.int32()) for x in (chars, listed, lists)]
     return pa.StructArray.from_arrays([*whole, pa.array(stuffed, pa.bool_())], names=["chars", "list_chars", "lists", "stuffed"])
 

@@ -28,3 +28,22 @@ def test_one_damaged_sign_does_not_clear_a_list(sign):
 @pytest.mark.parametrize("text", ["\u00d0\x9a\u00d1\x80\u00d0\u00b0\u00d1\x81\u00d0\u00b8 " * 8, "x" * 400 + " y " + "z" * 300])
 def test_damaged_text_is_no_list(text):
     assert not stuffing.is_stuffed(text)
+
+
+@pytest.mark.parametrize("page", ["https://shop.test/a/very/long/path/to/some/product", "[one](https://a.test/1)\n[two](https://b.test/2)", "¿Quieres torre? comprar torre es torre."])
+def test_a_page_of_few_links_or_keywords(page):
+    assert stuffing.is_stuffed(page)
+
+
+def test_a_lone_fragment_is_no_list():
+    assert not stuffing.is_stuffed("a lone fragment") and not stuffing.is_stuffed("The road follows the road because the road is easy")
+
+
+def test_list_text_of_many_shapes():
+    total = 1000
+    by_shape = {str(i): 30 for i in range(20)}
+    assert stuffing._flagged(total, by_shape, 20, 0) and not stuffing._flagged(2 * total, by_shape, 20, 0)
+
+
+def test_prose_that_names_a_thing_twice():
+    assert not stuffing.is_stuffed("The letter needs the letter once a year. The river needs the chair since yesterday. The letter needs the letter once a year.")
