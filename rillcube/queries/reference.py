@@ -604,6 +604,25 @@ def quantiles_by_code(spark, d, rows=requests):
     return percentiles(counts, [0.95]).select("response_code", F.col("value").alias("size_p95"), F.col("rows").alias("requests"))
 
 
+@query(f"""WITH x AS (SELECT epoch_us(time) // 1000000 // 5 * 5 AS time, response_code, avg_size_sum::BIGINT AS size, (epoch_us(arrival_time) - epoch_us(time)) // 1000 AS delay FROM web_requests WHERE time IS NOT NULL),
+        s AS (SELECT time, response_code, size, row_number() OVER (PARTITION BY time, response_code ORDER BY size) AS k, count(*) OVER (PARTITION BY time, response_code) AS n FROM x WHERE size IS NOT NULL),
+        l AS (SELECT time, response_code, delay, row_number() OVER (PARTITION BY time, response_code ORDER BY delay) AS k, count(*) OVER (PARTITION BY time, response_code) AS n FROM x),
+        p AS (SELECT time, response_code, min(size) FILTER (WHERE k >= ceil(0.95 * n)) AS size_p95 FROM s GROUP BY 1, 2), q AS (SELECT time, response_code, min(delay) FILTER (WHERE k >= ceil(0.95 * n)) AS delay_p95, max(n) AS requests FROM l GROUP BY 1, 2)
+        SELECT q.time, q.response_code, size_p95, delay_p95, requests FROM q LEFT JOIN p ON q.time = p.time AND q.response_code IS NOT DISTINCT FROM p.response_code""")
+def quantiles_by_5s_code(spark, d):
+    """Of the requests that have a time: 95th percentiles of size and arrival delay (ms) per five seconds and code."""
+    from rillcube.operators.weighted import percentiles, value_counts
+
+    rows = load(spark, d, "web_requests").where("time is not null")
+    seconds = F.unix_seconds("time")
+    keys = {"measure": F.col("m.measure"), "time": F.col("t"), "response_code": F.col("response_code")}
+    measures = F.array(F.struct(F.lit("size").alias("measure"), F.col("avg_size_sum").cast("long").alias("v")), F.struct(F.lit("delay").alias("measure"), F.expr(_WAIT_SQL).alias("v")))
+    both = rows.select((seconds - F.pmod(seconds, F.lit(5))).alias("t"), "response_code", F.explode(measures).alias("m"))
+    found = percentiles(value_counts(both, keys, F.col("m.v")), [0.95])
+    of = lambda measure, column: F.max(F.when(F.col("measure") == measure, F.col(column)))
+    return found.groupBy("time", "response_code").agg(of("size", "value").alias("size_p95"), of("delay", "value").alias("delay_p95"), of("delay", "rows").alias("requests"))
+
+
 @query(f"WITH {_R} SELECT tuple_id, url FROM r WHERE sizes = 0 OR size / nullif(sizes, 0)::DOUBLE > 20000")
 def slow_requests(spark, d, rows=requests):
     return filters.ratio_above(rows(spark, d), "size", "sizes", 20000).select("tuple_id", "url")
