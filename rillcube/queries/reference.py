@@ -460,6 +460,17 @@ def coarsen_to_budget(spark, d):
     return subs.coarsened(cube, "time", min(subs.fitting_level(cube, "time", 4000), 1))
 
 
+_FIT = """lv(level, size) AS (VALUES (0, 0), (1, 3600), (2, 1800), (3, 600), (4, 300), (5, 60), (6, 30), (7, 10), (8, 5), (9, 1)), n AS (SELECT level, size, count(*) AS cells FROM (SELECT DISTINCT event_type, level, size, CASE WHEN size = 0 THEN 0 ELSE t // nullif(size, 0) * size END FROM e, lv) GROUP BY 1, 2),
+        f AS (SELECT coalesce(arg_max(size, level) FILTER (WHERE cells <= 4000), 0) AS size FROM n)"""
+
+
+@query(f"WITH {_E}, {_FIT}, c AS (SELECT CASE WHEN size = 0 THEN 0 ELSE t // nullif(size, 0) * size END AS time, event_type, {_CELL} FROM e, f GROUP BY 1, 2) SELECT * FROM c")
+def coarsen_to_fit(spark, d):
+    """The finest level of at most 4000 cells, whichever it is."""
+    cube = event_cube(spark, d)
+    return subs.coarsened(cube, "time", subs.fitting_level(cube, "time", 4000))
+
+
 _LATE = "SELECT tuple_id, coalesce(epoch_us(arrival_time) < (floor(epoch_us(time) / 60000000.0)::BIGINT + 1) * 60000000 + 30000000, false) AS on_time FROM web_requests"
 
 
