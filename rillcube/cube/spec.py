@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,11 +12,16 @@ from rillcube.cube.levels import FLAT_LEAF, TIME_LEAF, time_at_level
 from rillcube.operators.transform import epoch_seconds
 from rillcube.schema import EngineSchemaError, require
 
-_NAME = re.compile(r"([0-9]+/)?[a-zA-Z0-9_]+$")
 DIMENSIONS = {"string": "S", "int": "I", "double": "D", "time": "TID", "time_containment": "TID"}
 AGGREGATES = ("count", "sum", "avg", "min_i", "min_d", "min_t", "string", "quantile_histogram", "quantile_sample", "quantile_sketch")
 
 
+def is_name(text: str) -> bool:
+    """Whether a text can name a cube or column: ASCII letters, digits and underscores, after a number and a slash if there is one."""
+    number, slash, own = text.rpartition("/")
+    return text.isascii() and own.replace("_", "x").isalnum() and (not slash or number.isdigit())
+
+
 @dataclass(frozen=True)
 class Dimension:
     """``kind`` is one of string, int, double, time and time_containment; ``column`` is the input's, by default of the same name."""
@@ -79,7 +83,7 @@ class CubeSpec:
         if not self.dims or not self.aggs:
             raise EngineSchemaError("a cube has at least one dimension and one aggregate")
         for name in (self.name, *names):
-            if not _NAME.match(name):
+            if not is_name(name):
                 raise EngineSchemaError(f"{name!r} is no name for a cube or column")
         if len(set(names)) < len(names):
             raise EngineSchemaError("names of dimensions and aggregates differ")

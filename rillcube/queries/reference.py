@@ -64,6 +64,15 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     return all_requests(spark, d).where("t is not null")
 
 
+def kept(df: DataFrame, root: str) -> DataFrame:
+    """``df`` written to the checkpoint folder, so that the files it was made from can go."""
+    out = df.checkpoint()
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 EVENT_SPEC = CubeSpec(
     "events",
     [Dimension("time", "time_containment", "t"), Dimension("event_type")],
@@ -197,15 +206,18 @@ def delta_retraction(spark, d):
 
 @query(f"WITH {_E} SELECT t AS time, event_type, {_CELL} FROM e GROUP BY 1, 2")
 def cube_catalog_batches(spark, d):
-    """Two inserts, one of them repeated, then compaction."""
-    rows = events(spark, d)
-    catalog = CubeCatalog(spark, f"{checkpoint_dir(spark)}/cubes-{uuid.uuid4().hex}")
+    """Three inserts, each repeated before and after it is folded, with a compaction after the second and the third; then the cube as another process finds it."""
+    root = f"{checkpoint_dir(spark)}/cubes-{uuid.uuid4().hex}"
+    catalog, parts = CubeCatalog(spark, root), [events(spark, d).where(F.col("event_id") % 3 == i) for i in range(3)]
     catalog.create(EVENT_SPEC)
-    catalog.insert("events", rows.where("event_id % 2 = 0"), 0)
-    catalog.insert("events", rows.where("event_id % 2 = 1"), 1)
-    catalog.insert("events", rows.where("event_id % 2 = 1"), 1)
+    for i in (0, 0, 1):
+        catalog.insert("events", parts[i], i)
+    catalog.compact("events")
+    for i in (1, 2, 2, 0):
+        catalog.insert("events", parts[i], i)
     catalog.compact("events")
-    return catalog.get("events").finalize()
+    catalog.insert("events", parts[2], 2)
+    return kept(CubeCatalog(spark, root).get("events").finalize(), root)
 
 
 # parsing and transforms
@@ -761,4 +773,4 @@ def stream_cube(spark, d):
     root = f"{checkpoint_dir(spark)}/stream-cube-{uuid.uuid4().hex}"
     catalog = CubeCatalog(spark, f"{root}/cubes")
     catalog.create(EVENT_SPEC)
-    return windows.delayed_one_shot(rows, lambda df, n: catalog.insert("events", df, int(n)), lambda: catalog.get("events").finalize(), f"{root}/checkpoint")
+    return kept(windows.delayed_one_shot(rows, lambda df, n: catalog.insert("events", df, int(n)), lambda: catalog.get("events").finalize(), f"{root}/checkpoint"), root)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rillcube.cube.catalog import CubeCatalog
 from rillcube.cube.cube import Cube, CubeQuery, agg_tree
 from rillcube.cube.levels import level_for_budget, level_within
-from rillcube.cube.spec import Aggregate, CubeSpec, Dimension
+from rillcube.cube.spec import Aggregate, CubeSpec, Dimension, is_name
 from rillcube.functions import loghist
 from rillcube.schema import EngineSchemaError
 
@@ -130,7 +130,8 @@ def test_specs_are_checked(spark):
 def test_catalog(spark, tmp_path):
     catalog = CubeCatalog(spark, str(tmp_path / "cubes"))
     catalog.create(SPEC)
-    assert catalog.create(CubeSpec("web", SPEC.dims, SPEC.aggs, "v")) is SPEC and catalog.names() == ["web"]
+    assert catalog.create(CubeSpec("web", SPEC.dims[:1], SPEC.aggs, "v")) == catalog.spec("web") and catalog.names() == ["web"]
+    assert catalog.spec("web").dim_names == SPEC.dim_names
     with pytest.raises(EngineSchemaError):
         catalog.get("web")
     a, b = table(spark, (T, "u", 200, 1, 1)), table(spark, (T, "u", 200, 3, 1), (T, "w", 200, 3, 1))
@@ -147,6 +148,55 @@ def test_catalog(spark, tmp_path):
     assert catalog.names() == []
 
 
+def test_catalog_compacts_again_and_again(spark, tmp_path):
+    catalog = CubeCatalog(spark, str(tmp_path / "cubes"))
+    catalog.create(SPEC)
+    a, b, c = (table(spark, (T + i, "u", 200, 1, 1)) for i in range(3))
+    whole = lambda *parts: rows(Cube.build(SPEC, parts[0] if len(parts) == 1 else parts[0].unionByName(whole_of(parts[1:]))).finalize())
+    whole_of = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(whole_of(parts[1:]))
+    catalog.insert("web", a, 0)
+    catalog.insert("web", b, 1)
+    before = catalog.get("web").finalize()
+    catalog.compact("web")
+    catalog.insert("web", b, 1)  # folded: changes nothing
+    assert rows(catalog.get("web").finalize()) == rows(before) == whole(a, b)
+    catalog.insert("web", b, 1, "other stream")
+    catalog.insert("web", c, "named")
+    catalog.compact("web")
+    for again in (catalog, CubeCatalog(spark, str(tmp_path / "cubes"))):
+        again.insert("web", c, "named")
+        again.insert("web", a, 0)
+        assert len(again.batches("web")) == 1 and rows(again.get("web").finalize()) == whole(a, b, b, c)
+    catalog.insert("web", a)
+    catalog.insert("web", a)
+    catalog.compact("web")
+    catalog.compact("web")
+    assert rows(catalog.get("web").finalize()) == whole(a, a, a, b, b, c)
+    # only the part in force and those that the last compaction replaced are left
+    assert len(catalog._listed(f"{tmp_path}/cubes/web/data")) == 4
+
+
+def test_catalog_survives_lost_and_rival_writers(spark, tmp_path):
+    catalog = CubeCatalog(spark, str(tmp_path / "cubes"))
+    catalog.create(SPEC)
+    a, b = table(spark, (T, "u", 200, 1, 1)), table(spark, (T, "u", 200, 3, 1))
+    catalog.insert("web", a, 0)
+    # a writer that was lost before its manifest: its folder is no part of the cube
+    Cube.build(SPEC, b).cells.write.parquet(str(tmp_path / "cubes" / "web" / "data" / "lost"))
+    assert rows(catalog.get("web").finalize()) == rows(Cube.build(SPEC, a).finalize())
+    assert not catalog._put(f"{tmp_path}/cubes/web/manifest/{1:012d}", "{}")
+    # a rival folds the parts between reading and the commit: this one's fold is dropped
+    rival, commit = CubeCatalog(spark, str(tmp_path / "cubes")), catalog._commit
+    catalog.insert("web", b, 1)
+    catalog._commit = lambda name, change: (rival.compact(name), commit(name, change))[1]
+    catalog.compact("web")
+    assert rows(catalog.get("web").finalize()) == rows(Cube.build(SPEC, a.unionByName(b)).finalize())
+
+
+def test_names():
+    assert all(is_name(n) for n in ("a", "3_b", "12/web")) and not any(is_name(n) for n in ("", "a b", "/a", "x/a", "a/", "1/2/3", "é"))
+
+
 def test_levels():
     assert level_for_budget({0: 1, 1: 10, 5: 100}, 50) == 1 and level_for_budget({0: 5, 1: 10}, 2) == 0
     assert level_within(300) == 4 and level_within(7) == 8 and level_within(86400) == 1
