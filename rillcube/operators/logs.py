@@ -1,12 +1,16 @@
 """Program logs of mixed layouts into entries with timestamp, level, component and message (problem 3).
 
-Each line is reduced to its shape: runs of letters, of digits and of blanks become one symbol each, and the first
-``SHAPE_SYMBOLS`` symbols, which hold any header, are the line's signature.  Each distinct signature is resolved to an
-extraction rule once; the most frequent ``MAX_RULES`` of them go out as a broadcast table, whose size those two
-constants bound, and a line whose signature is not in it is resolved in place, so the result does not depend on the
-bound.  The rule then takes the whole line apart.  Lines without an own timestamp belong to the entry last begun above
-them.  That look-back runs within blocks of ``BLOCK_LINES`` line numbers of a file, and only one small row per block
-is carried from block to block, so one huge file spreads over as many tasks as it has blocks.
+Each line is reduced to its shape: names, runs of digits and runs of blanks become one symbol each, and the first
+``SHAPE_SYMBOLS`` symbols are the line's signature.  A layout is told by how it begins, up to its clock: 19 symbols at most,
+however long its names and numbers are, so the bound cuts no header.  Each distinct signature is resolved to an extraction
+rule once; the most frequent ``MAX_RULES`` of them go out as a broadcast table, whose size those two constants bound,
+and a line whose signature is not in it is resolved in place, so the result does not depend on that bound either.  The
+rule then takes the whole line apart.
+
+Lines without an own timestamp belong to the entry last begun above them.  Lines are put in order within blocks of
+``BLOCK_LINES`` line numbers of a file, and each block gives its entries, with its first lines apart if they continue an
+entry of a block above.  Only those first lines and each block's last entry are put in order by file, so one huge file
+spreads over as many tasks as it has blocks.  The message is joined within blocks first, then over the blocks of an entry.
 
 Defined results: repeated deliveries of a line (same file and line number) count once; lines above the first entry of
 a file belong to none and do not come out; rows with a null file or line number cannot be placed and do not come out; a
@@ -27,15 +31,15 @@ BLOCK_LINES = 4096
 #: timestamp, level, component and message, split by the separator below.
 _SEP = "\x01"
 _LAYOUTS = [
-    ("bracket", r"^\[a a 9 9:9:9(\.9)? 9\] \[", r"^\[\w{3} (\w{3}) +(\d+) (\d\d:\d\d:\d\d)(?:\.\d+)? (\d{4})\] \[([\w.-]+):(\w+)\](?: \[pid \d+[^\]]*\])? ?(.*)$", ("$4-$1-$2 $3", "$6", "$5", "$7")),
-    ("letter", r"^a9 9:9:9(\.9)? 9 ", r"^([DIWEF])(\d\d)(\d\d) (\d\d:\d\d:\d\d)(?:\.\d+)? +\d+ ([\w./-]+):\d+\] ?(.*)$", ("0000-$2-$3 $4", "$1", "$5", "$6")),
-    ("thread", r"^9-9-9 9:9:9([,.]9)? \[", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:[,.]\d+)? \[[^\]]*\] +(\w+) +([\w.$-]+) +- ?(.*)$", ("$1", "$2", "$3", "$4")),
-    ("epoch", r"^9(\.9)? a[^ ]*/a: ?", r"^(\d{9,13})(?:\.\d+)? ([\w.-]+)/(\w+): ?(.*)$", ("$1", "$3", "$2", "$4")),
-    ("pipe", r"^9/a/9:9:9:9 [+-]9 ?\|", r"^(\d\d?)/(\w{3})/(\d{4}):(\d\d:\d\d:\d\d) ([+-]\d{4}) ?\| ?(\w+) ?\| ?([\w.-]+) ?\| ?(.*)$", ("$3-$2-$1 $4 $5", "$6", "$7", "$8")),
-    ("zoned", r"^9-9-9a9:9:9([,.]9)?(a|[+-]9(:9)?)? a", r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:[,.]\d+)?(Z|[+-]\d\d:?\d\d)? ([\w.-]+) (\w+): ?(.*)$", ("$1 $2", "$4", "$3", "$5")),
-    ("syslog", r"^a 9 9:9:9 a", r"^([A-Z][a-z]{2}) +(\d+) (\d\d:\d\d:\d\d) \S+ ([^\s\[:]+)(?:\[\d+\])?: (?:<(\w+)> ?)?(.*)$", ("0000-$1-$2 $3", "$5", "$4", "$6")),
+    ("bracket", r"^\[a a 9 9:9:9", r"^\[\w{3} (\w{3}) +(\d+) (\d\d:\d\d:\d\d)(?:\.\d+)? (\d{4})\] \[([\w.-]+):(\w+)\](?: \[pid \d+[^\]]*\])? ?(.*)$", ("$4-$1-$2 $3", "$6", "$5", "$7")),
+    ("letter", r"^a 9:9:9", r"^([DIWEF])(\d\d)(\d\d) (\d\d:\d\d:\d\d)(?:\.\d+)? +\d+ ([\w./-]+):\d+\] ?(.*)$", ("0000-$2-$3 $4", "$1", "$5", "$6")),
+    ("thread", r"^9-9-9 9:9:9", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:[,.]\d+)? \[[^\]]*\] +(\w+) +([\w.$-]+) +- ?(.*)$", ("$1", "$2", "$3", "$4")),
+    ("epoch", r"^9(\.9)? ", r"^(\d{9,13})(?:\.\d+)? ([\w.-]+)/(\w+): ?(.*)$", ("$1", "$3", "$2", "$4")),
+    ("pipe", r"^9/a/9:9:9:9 ", r"^(\d\d?)/(\w{3})/(\d{4}):(\d\d:\d\d:\d\d) ([+-]\d{4}) ?\| ?(\w+) ?\| ?([\w.-]+) ?\| ?(.*)$", ("$3-$2-$1 $4 $5", "$6", "$7", "$8")),
+    ("zoned", r"^9-9-9a:9:9", r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:[,.]\d+)?(Z|[+-]\d\d:?\d\d)? ([\w.-]+) (\w+): ?(.*)$", ("$1 $2", "$4", "$3", "$5")),
+    ("syslog", r"^a 9 9:9:9 ", r"^([A-Z][a-z]{2}) +(\d+) (\d\d:\d\d:\d\d) \S+ ([^\s\[:]+)(?:\[\d+\])?: (?:<(\w+)> ?)?(.*)$", ("0000-$1-$2 $3", "$5", "$4", "$6")),
     ("pairs", r"^a=", None, None),
-    ("object", r'^\{ ?"a" ?:', None, None),
+    ("object", r'^\{ ?"', None, None),
 ]
 #: Names under which the parts of an entry go in key=value lines and JSON objects (fixed values).
 _KEYS = {
@@ -56,12 +60,12 @@ _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
 def signature(line: Column) -> Column:
-    """The shape of a line's begin: letters ``a``, digits ``9``, blanks one space, other signs as they are."""
-    shape = F.regexp_replace(line, r"[\p{L}_]+", "a")
-    shape = F.regexp_replace(shape, r"[0-9]+", "9")
-    shape = F.regexp_replace(shape, r"\s+", " ")
-    shape = F.regexp_replace(shape, r"[^ -~]", "~")
-    return F.substring(shape, 1, SHAPE_SYMBOLS)
+    """The shape of a line's begin: names ``a``, digits ``9``, blanks one space, other signs as they are."""
+    begin = F.regexp_extract(line, rf"^(?:[\p{{L}}_][\p{{L}}\p{{N}}_.$-]*+|[0-9]++|\s++|[^\p{{L}}_0-9\s]){{0,{SHAPE_SYMBOLS}}}", 0)
+    shape = F.regexp_replace(begin, r"[\p{L}_][\p{L}\p{N}_.$-]*+", "a")
+    shape = F.regexp_replace(shape, r"[0-9]++", "9")
+    shape = F.regexp_replace(shape, r"\s++", " ")
+    return F.regexp_replace(shape, r"[^ -~]", "~")
 
 
 def resolve(sig: Column) -> Column:
@@ -155,44 +159,54 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     without it, the nearest line above, else below, that has one).  The message is the header's text and the
     following lines, joined by line feeds; it is built only where it is selected.
     """
-    lines = df.select(F.col(f"`{file}`").alias("file"), F.col(f"`{number}`").cast("long").alias("n"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{collected}`").cast("long").alias("read_at"), F.col(f"`{tie}`").alias("tie"))
-    lines = _with_rules(lines.where("file is not null and n is not null"))
-    lines = lines.withColumn("parts", _take_apart(F.col("rule"), F.col("text"))).withColumn("block", F.expr(f"n div {int(block_lines)}"))
-
+    block = F.expr(f"n div {int(block_lines)}")
+    placed = df.select(F.col(f"`{file}`").alias("file"), F.col(f"`{number}`").cast("long").alias("n"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{collected}`").cast("long").alias("read_at"), F.col(f"`{tie}`").alias("tie"))
+    placed = placed.where("file is not null and n is not null")
+    lines = _with_rules(placed)
+    lines = lines.withColumn("parts", _take_apart(F.col("rule"), F.col("text")))
     lines = lines.withColumn("clock", F.when(F.col("parts").isNotNull(), _clock(F.col("parts")[0])))
     # whether a line is a head does not depend on the year; where none is written, a leap year tells whether there is such a day
     dated = _utc(F.when(F.col("clock.year") == 0, F.lit(2000)).otherwise(F.col("clock.year")), F.col("clock"))
-    known = F.coalesce(F.when(F.col("parts").isNotNull(), _count(F.col("parts")[0])), dated)
-    lines = lines.withColumn("known", known).withColumn("head", F.when(F.col("known").isNotNull(), F.col("n")))
+    lines = lines.withColumn("known", F.coalesce(F.when(F.col("parts").isNotNull(), _count(F.col("parts")[0])), dated))
+    is_head = F.col("known").isNotNull()
+    yearless = F.when(F.col("clock.year") == 0, F.col("clock"))
+    entry = F.when(is_head, F.struct("known", yearless.alias("yearless"), _level(F.col("parts")[1]).alias("level"), F.col("parts")[2].alias("component"), F.col("rule").alias("layout")))
+    said = F.when(is_head, F.col("parts")[3]).otherwise(F.col("text"))
+    lines = lines.select("file", block.alias("block"), "n", "tie", "read_at", entry.alias("entry"), said.alias("said"))
+
     order = Window.partitionBy("file", "block").orderBy("n", "tie")
     above, below = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     within = (
         lines.withColumn("before", F.lag("n").over(order))
         .withColumn("near", F.coalesce(F.last("read_at", True).over(above), F.first("read_at", True).over(below)))
-        .withColumn("here", F.max("head").over(above))
+        .withColumn("here", F.max(F.when(F.col("entry").isNotNull(), F.col("n"))).over(above))
         .where(~F.col("before").eqNullSafe(F.col("n")))
-        .drop("before")
+        .withColumn("near", F.when(F.col("entry").isNotNull(), F.col("near")))
     )
-    # one row a block: what the blocks beside it need of it; from the lines themselves, as this needs no order
+    # what a block holds of each entry; without ``here``, the lines above its first head
+    spoken = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), "\n")
+    held = within.groupBy("file", "block", "here").agg(F.max("n").alias("last"), F.max("entry").alias("entry"), F.max("near").alias("near"), spoken.alias("said"))
+    # the collection times of the blocks around, for blocks that have none
+    times = placed.groupBy("file", block.alias("block")).agg(F.max("read_at").alias("some"))
     by_file = Window.partitionBy("file").orderBy("block")
-    earlier, later = by_file.rowsBetween(Window.unboundedPreceding, -1), by_file.rowsBetween(0, Window.unboundedFollowing)
-    blocks = lines.groupBy("file", "block").agg(F.max("head").alias("last_head"), F.max("read_at").alias("some_near"))
-    blocks = blocks.select("file", "block", F.max("last_head").over(earlier).alias("carried"), F.coalesce(F.last("some_near", True).over(earlier), F.first("some_near", True).over(later)).alias("far_near"))
-    lines = within.join(blocks, ["file", "block"]).withColumn("first", F.coalesce("here", "carried")).where(F.col("first").isNotNull())
-
-    ts = F.when(F.col("clock.year") == 0, _nearest(F.col("clock"), F.coalesce("near", "far_near"))).otherwise(F.col("known"))
-    lines = lines.withColumn("ts", ts)
-    is_head = F.col("head").isNotNull()
-    entry = F.when(is_head, F.struct(F.col("ts"), _level(F.col("parts")[1]).alias("level"), F.col("parts")[2].alias("component"), F.col("rule").alias("layout")))
-    said = F.struct(F.col("n"), F.when(is_head, F.col("parts")[3]).otherwise(F.col("text")).alias("said"))
-    grouped = lines.withColumn("entry", entry).withColumn("said", said).groupBy("file", "first").agg(F.max("n").alias("last"), F.max("entry").alias("entry"), F.array_sort(F.collect_list("said")).alias("said"))
-    return grouped.select(
+    around = F.coalesce(F.last("some", True).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.first("some", True).over(by_file.rowsBetween(0, Window.unboundedFollowing)))
+    held = held.join(times.select("file", "block", around.alias("far")), ["file", "block"])
+    ts = F.when(F.col("entry.yearless").isNotNull(), _nearest(F.col("entry.yearless"), F.coalesce("near", "far"))).otherwise(F.col("entry.known"))
+    head = F.when(F.col("entry").isNotNull(), F.struct(ts.alias("ts"), F.col("entry.level").alias("level"), F.col("entry.component").alias("component"), F.col("entry.layout").alias("layout")))
+    # what may go on beyond a block, or comes from above it, is put in order by file; all else is whole
+    open_ = F.col("here").isNull() | (F.col("here") == F.max("here").over(Window.partitionBy("file", "block")))
+    held = held.select("file", "block", "here", "last", head.alias("head"), "said", F.when(open_, F.lit(-1)).otherwise(F.col("block")).alias("place"))
+    owner = F.last("here", True).over(Window.partitionBy("file", "place").orderBy("block", F.asc_nulls_first("here")).rowsBetween(Window.unboundedPreceding, 0))
+    owned = held.withColumn("first", owner).where(F.col("first").isNotNull())
+    message = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("last", "said"))), lambda x: x["said"]), "\n")
+    entries = owned.groupBy("file", "place", "first").agg(F.max("last").alias("last"), F.max("head").alias("head"), message.alias("message"))
+    return entries.select(
         F.col("file").alias("log_file"),
         F.col("first").alias("first_version"),
         F.col("last").alias("last_version"),
-        F.col("entry.ts").alias("ts"),
-        F.col("entry.level").alias("level"),
-        F.col("entry.component").alias("component"),
-        F.array_join(F.transform("said", lambda x: x["said"]), "\n").alias("message"),
-        F.col("entry.layout").alias("layout"),
+        F.col("head.ts").alias("ts"),
+        F.col("head.level").alias("level"),
+        F.col("head.component").alias("component"),
+        "message",
+        F.col("head.layout").alias("layout"),
     )

@@ -36,6 +36,22 @@ def test_layouts(spark):
     assert [(r["first_version"], r["last_version"]) for r in got] == [(i, i) for i in range(1, len(HEADS) + 1)]
 
 
+def test_long_headers(spark):
+    """No length of a name or number hides a header."""
+    long = [".".join(f"{a}{i}-x" for i in range(12)) for a in ("a", "7b")] + ["aa." * 200 + "b", "1.2.3.4.5.6.7.8.9.10.11.12.13.14"]
+    lines = [line for c in long for line in (f"1356999022.774 {c}/DEBUG: m", f"2013-01-01T00:10:22 {c} INFO: m", f"2013-01-01 00:10:22 [w] WARN {c} - m", f"[Tue Jan 01 00:10:22.1 2013] [{c}:crit] m", f"01/Jan/2013:00:10:22 +0000|ERR|{c}|m")]
+    got = log_entries(table(spark, lines)).orderBy("first_version").collect()
+    assert [(r["first_version"], r["ts"], r["component"], r["message"]) for r in got] == [(i, 1356999022, long[(i - 1) // 5], "m") for i in range(1, len(lines) + 1)]
+
+
+def test_an_entry_over_many_blocks(spark):
+    lines = [HEADS[0][0], *[f"  {i}" for i in range(50)], HEADS[4][0], "x"]
+    df = table(spark, lines).withColumn("t_val", F.lit(None).cast("int"))
+    got = log_entries(df, block_lines=4).orderBy("first_version").collect()
+    assert [(r["first_version"], r["last_version"]) for r in got] == [(1, 51), (52, 53)]
+    assert got[0]["message"] == "\n".join(["config key", *[f"  {i}" for i in range(50)]])
+
+
 def test_continuations(spark):
     lines = ["lost begin", *FOLLOWERS, HEADS[0][0], *FOLLOWERS, HEADS[4][0]]
     for block in (1, 3, 4096):
