@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillcube.operators import lateness, logs, records, weighted
+from rillcube.queries import log_sql
 from rillcube.session import load
 
 FREQUENT_PERCENT = 1
@@ -91,37 +90,6 @@ marked AS (SELECT *, max(CASE WHEN usable THEN time END) OVER (PARTITION BY site
 judged AS (SELECT *, floor(epoch_us(time) / 300000000.0)::BIGINT * 300 AS period, usable AND m IS NOT NULL AND ((floor(epoch_us(time) / 300000000.0)::BIGINT * 300 + 900) * 1000000 <= epoch_us(m)) AS beyond FROM marked)
 """
 
-def _log_sql() -> str:
-    """The entries by line-wise regular expressions and windows over whole files."""
-    flat, q = [], lambda text: text.replace("'", "''")
-    for _, _, pattern, parts in logs._LAYOUTS:
-        if pattern:
-            to = "|||".join(re.sub(r"\$(\d)", r"\\\1", part) for part in parts[:3])
-            flat.append(f"WHEN regexp_matches(s, '(?s){q(pattern)}') THEN regexp_replace(s, '(?s){q(pattern)}', '{to}')")
-    key = lambda part: f"(?:^|\\s)(?:{'|'.join(logs._KEYS[part])})=(\"(?:[^\"\\\\]|\\\\.)*\"|\\S*)"
-    pairs = " || '|||' || ".join(f"trim(regexp_extract(s, '{key(part)}', 1), '\"')" for part in ("ts", "level", "component"))
-    keyed = " || '|||' || ".join("coalesce(" + ", ".join(f"json_extract_string(s, '$.{k}')" for k in logs._KEYS[part]) + ", '')" for part in ("ts", "level", "component"))
-    levels = " ".join(f"WHEN upper(level) IN ({', '.join(repr(w) for w in written)}) THEN '{name}'" for name, written in logs.LEVELS.items())
-    months = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
-    stamp = r"^(\d{4})-(\w{2,3})-(\d\d?)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?\s*(Z|[+-]\d\d:?\d\d)?$"
-    part = lambda i: f"regexp_extract(ts_text, '{stamp}', {i})"
-    at = lambda year: f"epoch(make_timestamp({year}, month, day, 0, 0, 0))::BIGINT + second"
-    return rf"""
-        WITH l AS (SELECT log_file, version, any_value(coalesce(s_val, '')) AS s, any_value(t_val) AS t FROM log_elements WHERE log_file IS NOT NULL AND version IS NOT NULL GROUP BY 1, 2),
-        f AS (SELECT *, string_split(CASE {" ".join(flat)} WHEN regexp_matches(s, '^\w+=') THEN {pairs} WHEN json_valid(s) AND s LIKE '{{%"%' THEN {keyed} END, '|||') AS cut FROM l),
-        g AS (SELECT log_file, version, coalesce(t, last_value(t IGNORE NULLS) OVER (PARTITION BY log_file ORDER BY version), first_value(t IGNORE NULLS) OVER (PARTITION BY log_file ORDER BY version ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS t,
-              trim(cut[1]) AS ts_text, cut[2] AS level, cut[3] AS component FROM f),
-        d AS (SELECT *, regexp_matches(ts_text, '^\d{{9,13}}(\.\d+)?$') AS counted, try_cast({part(1)} AS INTEGER) AS year,
-              coalesce(try_cast({part(2)} AS INTEGER), list_position({months}, {part(2)})) AS month, try_cast({part(3)} AS INTEGER) AS day,
-              try_cast({part(4)} AS INTEGER) * 3600 + try_cast({part(5)} AS INTEGER) * 60 + try_cast({part(6)} AS INTEGER)
-              - (CASE WHEN {part(7)} LIKE '-%' THEN -1 WHEN {part(7)} LIKE '+%' THEN 1 ELSE 0 END) * (coalesce(try_cast(substr(replace({part(7)}, ':', ''), 2, 2) AS INTEGER), 0) * 3600 + coalesce(try_cast(substr(replace({part(7)}, ':', ''), 4, 2) AS INTEGER), 0) * 60) AS second FROM g),
-        h AS (SELECT log_file, version, level, component, CASE WHEN counted THEN CASE WHEN ts_text::DOUBLE >= 100000000000 THEN floor(ts_text::DOUBLE / 1000)::BIGINT ELSE floor(ts_text::DOUBLE)::BIGINT END
-              WHEN year > 0 THEN {at("year")}
-              WHEN year = 0 THEN (SELECT arg_min(x, abs(x - t)) FROM (SELECT unnest([{", ".join(at(f"(year(make_timestamp(t * 1000000)) + {n})::INTEGER") for n in (-1, 0, 1))}]) AS x)) END AS ts FROM d WHERE counted OR (month BETWEEN 1 AND 12 AND day BETWEEN 1 AND 28 + 3 * (month <> 2)::INTEGER)),
-        e AS (SELECT *, lead(version) OVER (PARTITION BY log_file ORDER BY version) AS next FROM h WHERE ts IS NOT NULL), m AS (SELECT log_file, max(version) AS last FROM l GROUP BY 1)
-        SELECT log_file, version AS first_version, coalesce(next - 1, last) AS last_version, ts, CASE {levels} ELSE 'NONE' END AS level, component FROM e JOIN m USING (log_file)"""
-
-
 # the record grammar as regular expressions: any field, and enclosed or bare numbers with one group each
 _FIELD = r'''[ \t]*(?:"(?:[^"\\]|\\["\\n])*"[ \t]*|[^ \t",][^",]*)?'''
 _I = r'''[ \t]*"?(-?[0-9]+)"?[ \t]*'''
@@ -150,7 +118,8 @@ SQL = {
         p AS (SELECT unnest([0.5, 0.9])::DOUBLE AS p)
         SELECT url, p, v::BIGINT AS value, total::BIGINT AS requests FROM c, p
         WHERE greatest(1, ceil(p * total)) <= cum AND greatest(1, ceil(p * total)) > cum - n""",
-    "p3_found": _log_sql(),
+    "p3_found": log_sql.ENTRIES,
+    "p3_log_entries": log_sql.MESSAGES,
     "p6_found": f"WITH {_LATE} SELECT tuple_id FROM judged WHERE beyond",
     "p6_period_totals": f"""
         WITH {_LATE}, v AS (SELECT period, coalesce(count, 1) AS v, count(*) AS n, sum(avg_size_sum) AS s FROM judged WHERE usable AND NOT beyond GROUP BY 1, 2),
