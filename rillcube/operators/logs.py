@@ -1,7 +1,7 @@
 """Program logs of mixed layouts into entries with timestamp, level, component and message (problem 3).
 
 Each line is reduced to its shape: names, runs of digits and runs of blanks become one symbol each, and the first
-``SHAPE_SYMBOLS`` symbols are the line's signature.  A layout is told by how it begins, up to its clock: 19 symbols at most,
+``SHAPE_SYMBOLS`` symbols are the line's signature.  A layout is told by how it begins, up to its clock: 12 symbols at most,
 however long its names and numbers are, so the bound cuts no header.  Each distinct signature is resolved to an extraction
 rule once; the most frequent ``MAX_RULES`` of them go out as a broadcast table, whose size those two constants bound,
 and a line whose signature is not in it is resolved in place, so the result does not depend on that bound either.  The
@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHAPE_SYMBOLS = 24
+SHAPE_SYMBOLS = 16
+FIRST_LOOK = 48
 MAX_RULES = 20_000
 BLOCK_LINES = 4096
 
@@ -59,13 +60,21 @@ LEVELS = {
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
-def signature(line: Column) -> Column:
-    """The shape of a line's begin: names ``a``, digits ``9``, blanks one space, other signs as they are."""
-    begin = F.regexp_extract(line, rf"^(?:[\p{{L}}_][\p{{L}}\p{{N}}_.$-]*+|[0-9]++|\s++|[^\p{{L}}_0-9\s]){{0,{SHAPE_SYMBOLS}}}", 0)
-    shape = F.regexp_replace(begin, r"[\p{L}_][\p{L}\p{N}_.$-]*+", "a")
+def _shape(line: Column) -> Column:
+    """Names ``a``, digits ``9``, blanks one space, other signs as they are, those beyond ASCII ``~``."""
+    shape = F.regexp_replace(line, r"[a-zA-Z_][a-zA-Z0-9_.$-]*+", "a")
     shape = F.regexp_replace(shape, r"[0-9]++", "9")
     shape = F.regexp_replace(shape, r"\s++", " ")
-    return F.regexp_replace(shape, r"[^ -~]", "~")
+    return F.regexp_replace(F.substring(shape, 1, SHAPE_SYMBOLS), r"[^ -~]", "~")
+
+
+def _with_signatures(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``sig``, the shape of the first SHAPE_SYMBOLS symbols.
+
+    Most lines show these within their first characters; those that do not are looked at whole, so the result is that of whole lines.
+    """
+    lines = lines.withColumn("sig", _shape(F.substring("text", 1, FIRST_LOOK)))
+    return lines.withColumn("sig", F.when((F.length("sig") >= SHAPE_SYMBOLS) | (F.length("text") <= FIRST_LOOK), F.col("sig")).otherwise(_shape(F.col("text"))))
 
 
 def resolve(sig: Column) -> Column:
@@ -76,25 +85,31 @@ def resolve(sig: Column) -> Column:
     return rule
 
 
-def _from_pairs(line: Column, part: str) -> Column:
-    """The value of the first of the part's keys in a key=value line; in double quotes, a backslash escapes."""
-    found = F.regexp_extract(line, rf'(?:^|\s)(?:{"|".join(_KEYS[part])})=("(?:[^"\\]|\\.)*"|\S*)', 1)
-    inner = F.regexp_replace(F.regexp_replace(found, r'^"|"\s*$', ""), r"\\(.)", "$1")
-    return F.when(found.startswith('"'), inner).otherwise(found)
+def _found_pair(line: Column, part: str) -> Column:
+    """What stands behind the first of the part's keys in a key=value line, with its quotes."""
+    return F.regexp_extract(line, rf'(?:^|\s)(?:{"|".join(_KEYS[part])})=("(?:[^"\\]|\\.)*"|\S*)', 1)
 
 
-def _take_apart(rule: Column, line: Column) -> Column:
-    """[timestamp text, level text, component, message], or null where the line does not bear them."""
-    flat = F.lit(None).cast("string")
+def _unquoted(found: Column) -> Column:
+    """A value without its double quotes; in them, a backslash escapes."""
+    return F.when(found.startswith('"'), F.regexp_replace(F.regexp_replace(found, r'^"|"\s*$', ""), r"\\(.)", "$1")).otherwise(found)
+
+
+def _taken_apart(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``parts``: [timestamp text, level text, component, message], or null where the line does not bear them.
+
+    In steps, as what is used twice within one expression is computed twice.
+    """
+    rule, line, flat = F.col("rule"), F.col("text"), F.lit(None).cast("string")
     for name, _, pattern, parts in _LAYOUTS:
         if pattern:
             flat = F.when(rule == name, F.regexp_replace(line, r"(?s)" + pattern, "\x02" + _SEP.join(parts))).otherwise(flat)
-    cut = F.split(F.substring(flat, 2, 2**31 - 1), _SEP, 4)
-    regular = F.when(flat.startswith("\x02"), cut)
-    pairs = F.array(*[_from_pairs(line, p) for p in _KEYS])
-    values = F.from_json(line, "map<string,string>")
-    keyed = F.array(*[F.coalesce(*[F.try_element_at(values, F.lit(k)) for k in _KEYS[p]], F.lit("")) for p in _KEYS])
-    return F.when(rule == "pairs", pairs).when(rule == "object", keyed).when(rule != "-", regular)
+    pairs = F.when(rule == "pairs", F.array(*[_found_pair(line, p) for p in _KEYS]))
+    lines = lines.withColumns({"flat": flat, "pairs": pairs, "keyed": F.when(rule == "object", F.from_json(line, "map<string,string>"))})
+    regular = F.when(F.col("flat").startswith("\x02"), F.split(F.substring("flat", 2, 2**31 - 1), _SEP, 4))
+    keyed = F.array(*[F.coalesce(*[F.try_element_at("keyed", F.lit(k)) for k in _KEYS[p]], F.lit("")) for p in _KEYS])
+    parts = F.when(rule == "pairs", F.transform("pairs", _unquoted)).when(rule == "object", keyed).otherwise(regular)
+    return lines.withColumn("parts", parts).drop("flat", "pairs", "keyed")
 
 
 def _level(text: Column) -> Column:
@@ -110,19 +125,19 @@ def _clock(text: Column) -> Column:
     day and second of the day.  Null where it is neither."""
     text = F.trim(text)
     pattern = r"^(\d{4})-(\w{2,3})-(\d\d?)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?\s*(Z|[+-]\d\d:?\d\d)?$"
-    # one match a line: the parts side by side, then split
-    flat = F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, "$1|$2|$3|$4|$5|$6|$7"), r"\|"))
+    # one match a text: the parts side by side, then split; the sign at the end is there only if it matched
+    flat = F.transform(F.array(F.regexp_replace(text, pattern, "$1|$2|$3|$4|$5|$6|$7|\x02")), lambda t: F.when(t.endswith("\x02"), F.split(t, r"\|")))
 
     def of(part: Column) -> Column:
         month = F.coalesce(part[1].try_cast("int"), F.floor((F.nullif(F.instr(F.lit(_MONTHS), part[1]), F.lit(0)) + 2) / 3).cast("int"))
         second = part[3].cast("int") * 3600 + part[4].cast("int") * 60 + part[5].cast("int")
-        zone = F.regexp_replace(part[6], ":", "")
+        zone = F.replace(part[6], F.lit(":"), F.lit(""))
         away = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
         shift = F.when(zone.startswith("-"), -away).when(zone.startswith("+"), away).otherwise(F.lit(0))
         sound = (part[3].cast("int") < 24) & (part[4].cast("int") < 60) & (part[5].cast("int") < 61)
         return F.when(sound, F.struct(part[0].cast("int").alias("year"), month.alias("month"), part[2].cast("int").alias("day"), (second - shift).alias("second")))
 
-    return F.transform(F.array(flat), of)[0]
+    return F.transform(flat, of)[0]
 
 
 def _count(text: Column) -> Column:
@@ -145,11 +160,11 @@ def _nearest(clock: Column, near: Column) -> Column:
 
 
 def _with_rules(lines: DataFrame) -> DataFrame:
-    lines = lines.withColumn("__sig", signature(F.col("text")))
-    common = lines.groupBy("__sig").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__sig").limit(MAX_RULES)
-    rules = common.select(F.col("__sig").alias("__known"), resolve(F.col("__sig")).alias("__rule"))
-    joined = lines.join(F.broadcast(rules), F.col("__sig") == F.col("__known"), "left")
-    return joined.withColumn("rule", F.coalesce("__rule", resolve(F.col("__sig")))).drop("__sig", "__known", "__rule")
+    lines = _with_signatures(lines)
+    common = lines.groupBy("sig").agg(F.count(F.lit(1)).alias("lines")).orderBy(F.desc("lines"), "sig").limit(MAX_RULES)
+    rules = common.select(F.col("sig").alias("known_sig"), resolve(F.col("sig")).alias("known_rule"))
+    joined = lines.join(F.broadcast(rules), F.col("sig") == F.col("known_sig"), "left")
+    return joined.withColumn("rule", F.coalesce("known_rule", resolve(F.col("sig")))).drop("sig", "known_sig", "known_rule")
 
 
 def log_entries(df: DataFrame, file: str = "log_file", number: str = "version", text: str = "s_val", collected: str = "t_val", tie: str = "tuple_id", block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -163,7 +178,7 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     placed = df.select(F.col(f"`{file}`").alias("file"), F.col(f"`{number}`").cast("long").alias("n"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{collected}`").cast("long").alias("read_at"), F.col(f"`{tie}`").alias("tie"))
     placed = placed.where("file is not null and n is not null")
     lines = _with_rules(placed)
-    lines = lines.withColumn("parts", _take_apart(F.col("rule"), F.col("text")))
+    lines = _taken_apart(lines)
     lines = lines.withColumn("clock", F.when(F.col("parts").isNotNull(), _clock(F.col("parts")[0])))
     # whether a line is a head does not depend on the year; where none is written, a leap year tells whether there is such a day
     dated = _utc(F.when(F.col("clock.year") == 0, F.lit(2000)).otherwise(F.col("clock.year")), F.col("clock"))
