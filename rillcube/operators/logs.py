@@ -140,10 +140,10 @@ def _clock(text: Column) -> Column:
     return F.transform(flat, of)[0]
 
 
-def _count(text: Column) -> Column:
-    """A number as epoch seconds; milli-, micro- and nanoseconds are told from seconds by their size."""
-    count = F.when(text.rlike(r"^\s*\d{9,19}(\.\d+)?\s*$"), F.floor(F.trim(text).try_cast("decimal(38,6)")).cast("decimal(38,0)"))
-    return F.when(count < 10**11, count).when(count < 10**14, F.floor(count / 10**3)).when(count < 10**17, F.floor(count / 10**6)).otherwise(F.floor(count / 10**9)).cast("long")
+def _count(digits: Column) -> Column:
+    """Epoch seconds from the digits of a number; milli-, micro- and nanoseconds are told from seconds by their length."""
+    length = F.length(digits)
+    return F.substring(digits, F.lit(1), length - F.when(length > 17, 9).when(length > 14, 6).when(length > 11, 3).otherwise(0)).try_cast("long")
 
 
 def _utc(year: Column, clock: Column) -> Column:
@@ -179,10 +179,11 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     placed = placed.where("file is not null and n is not null")
     lines = _with_rules(placed)
     lines = _taken_apart(lines)
-    lines = lines.withColumn("clock", F.when(F.col("parts").isNotNull(), _clock(F.col("parts")[0])))
+    lines = lines.withColumn("digits", F.when(F.col("rule").isin("epoch", "pairs", "object"), F.regexp_extract(F.col("parts")[0], r"^\s*0*(\d{9,19})(?:\.\d+)?\s*$", 1)))
+    lines = lines.withColumn("clock", F.when(F.col("parts").isNotNull() & (F.coalesce("digits", F.lit("")) == ""), _clock(F.col("parts")[0])))
     # whether a line is a head does not depend on the year; where none is written, a leap year tells whether there is such a day
     dated = _utc(F.when(F.col("clock.year") == 0, F.lit(2000)).otherwise(F.col("clock.year")), F.col("clock"))
-    lines = lines.withColumn("known", F.coalesce(F.when(F.col("parts").isNotNull(), _count(F.col("parts")[0])), dated))
+    lines = lines.withColumn("known", F.coalesce(_count(F.col("digits")), dated))
     is_head = F.col("known").isNotNull()
     yearless = F.when(F.col("clock.year") == 0, F.col("clock"))
     entry = F.when(is_head, F.struct("known", yearless.alias("yearless"), _level(F.col("parts")[1]).alias("level"), F.col("parts")[2].alias("component"), F.col("rule").alias("layout")))
