@@ -120,24 +120,24 @@ def _level(text: Column) -> Column:
     return out
 
 
-def _clock(text: Column) -> Column:
-    """A timestamp text as ``struct<epoch, month, day, second>``: the epoch second, or, where no year is written (0000), month,
-    day and second of the day.  Null where it is neither."""
-    text = F.trim(text)
-    pattern = r"^(\d{4})-(\w{2,3})-(\d\d?)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?\s*(Z|[+-]\d\d:?\d\d)?$"
-    # one match a text: the parts side by side, then split; the sign at the end is there only if it matched
-    flat = F.transform(F.array(F.regexp_replace(text, pattern, "$1|$2|$3|$4|$5|$6|$7|\x02")), lambda t: F.when(t.endswith("\x02"), F.split(t, r"\|")))
+_CLOCK = r"^\s*(\d{4})-(\w{2,3})-(\d\d?)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?\s*(Z|[+-]\d\d:?\d\d)?\s*$"
 
-    def of(part: Column) -> Column:
-        month = F.coalesce(part[1].try_cast("int"), F.floor((F.nullif(F.instr(F.lit(_MONTHS), part[1]), F.lit(0)) + 2) / 3).cast("int"))
-        second = part[3].cast("int") * 3600 + part[4].cast("int") * 60 + part[5].cast("int")
-        zone = F.replace(part[6], F.lit(":"), F.lit(""))
-        away = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
-        shift = F.when(zone.startswith("-"), -away).when(zone.startswith("+"), away).otherwise(F.lit(0))
-        sound = (part[3].cast("int") < 24) & (part[4].cast("int") < 60) & (part[5].cast("int") < 61)
-        return F.when(sound, F.struct(part[0].cast("int").alias("year"), month.alias("month"), part[2].cast("int").alias("day"), (second - shift).alias("second")))
 
-    return F.transform(flat, of)[0]
+def _with_clock(lines: DataFrame, text: Column) -> DataFrame:
+    """``lines`` with ``clock``, a timestamp text as ``struct<year, month, day, second>``: the year is 0 where none is written, the
+    second counts from the day's begin in UTC.  Null where the text is none."""
+    # one match a text: the parts side by side, then split; the sign at the end is there only if it matched
+    lines = lines.withColumn("flat", F.regexp_replace(text, _CLOCK, "$1|$2|$3|$4|$5|$6|$7|\x02"))
+    lines = lines.withColumn("cut", F.when(F.col("flat").endswith("\x02"), F.split("flat", r"\|")))
+    cut = F.col("cut")
+    month = F.coalesce(cut[1].try_cast("int"), F.floor((F.nullif(F.instr(F.lit(_MONTHS), cut[1]), F.lit(0)) + 2) / 3).cast("int"))
+    second = cut[3].cast("int") * 3600 + cut[4].cast("int") * 60 + cut[5].cast("int")
+    zone = F.replace(cut[6], F.lit(":"), F.lit(""))
+    away = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
+    shift = F.when(zone.startswith("-"), -away).when(zone.startswith("+"), away).otherwise(F.lit(0))
+    sound = (cut[3].cast("int") < 24) & (cut[4].cast("int") < 60) & (cut[5].cast("int") < 61)
+    clock = F.when(sound, F.struct(cut[0].cast("int").alias("year"), month.alias("month"), cut[2].cast("int").alias("day"), (second - shift).alias("second")))
+    return lines.withColumn("clock", clock).drop("flat", "cut")
 
 
 def _count(digits: Column) -> Column:
@@ -154,9 +154,8 @@ def _utc(year: Column, clock: Column) -> Column:
 def _nearest(clock: Column, near: Column) -> Column:
     """Of the years around ``near`` the one that brings the clock nearest to it."""
     around = F.year(F.timestamp_seconds(near))
-    options = F.array(*[_utc(around + d, clock) for d in (0, -1, 1)])
-    ranked = F.transform(F.filter(options, lambda o: o.isNotNull()), lambda o: F.struct(F.abs(o - near).alias("far"), o.alias("at")))
-    return F.array_min(ranked)["at"]
+    options = [_utc(around + d, clock) for d in (0, -1, 1)]
+    return F.least(*[F.when(o.isNotNull(), F.struct(F.abs(o - near).alias("away"), o.alias("at"))) for o in options])["at"]
 
 
 def _with_rules(lines: DataFrame) -> DataFrame:
@@ -180,7 +179,7 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     lines = _with_rules(placed)
     lines = _taken_apart(lines)
     lines = lines.withColumn("digits", F.when(F.col("rule").isin("epoch", "pairs", "object"), F.regexp_extract(F.col("parts")[0], r"^\s*0*(\d{9,19})(?:\.\d+)?\s*$", 1)))
-    lines = lines.withColumn("clock", F.when(F.col("parts").isNotNull() & (F.coalesce("digits", F.lit("")) == ""), _clock(F.col("parts")[0])))
+    lines = _with_clock(lines, F.when(F.coalesce("digits", F.lit("")) == "", F.col("parts")[0]))
     # whether a line is a head does not depend on the year; where none is written, a leap year tells whether there is such a day
     dated = _utc(F.when(F.col("clock.year") == 0, F.lit(2000)).otherwise(F.col("clock.year")), F.col("clock"))
     lines = lines.withColumn("known", F.coalesce(_count(F.col("digits")), dated))
