@@ -11,7 +11,8 @@ from it, and running sums are taken only within those ranges.
 Defined results: a null key is a key like any other; a null value counts in ``rows`` but is no value (not in distinct,
 mode or percentiles); null weights count as given by the caller's ``coalesce``; ties in the mode go to the smallest
 value; a percentile ``p`` of ``n`` values is the first value whose cumulative count reaches ``max(1, ceil(p * n))``; keys
-without any value have null percentiles; empty tables give empty tables; further columns of the input are ignored.
+without any value have null percentiles; a row that was delivered again counts again (``rillcube.operators.once`` takes
+repeats out beforehand); empty tables give empty tables; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -45,12 +46,12 @@ def key_totals(counts: DataFrame, value_sum: str | None = None) -> DataFrame:
     keys = [c for c in counts.columns if c.startswith("k_")]
     sums = [c for c in counts.columns if c.startswith("s_")]
     known = F.col("value").isNotNull()
-    best = F.max(F.when(known, F.struct(F.col("n"), (-F.col("value")).alias("minus"))))
+    best = F.min(F.when(known, F.struct((-F.col("n")).alias("less"), F.col("value"))))  # of the most frequent the smallest, whatever its type
     aggs = [F.sum("n").alias("rows"), *[F.sum(s).alias(s[2:]) for s in sums], F.count("value").alias("distinct_values"), best.alias("best")]
     if value_sum:
         aggs.append(F.sum(F.col("value").cast("long") * F.col("n")).alias(value_sum))
     out = counts.groupBy(*keys).agg(*aggs)
-    return out.select(*[F.col(k).alias(k[2:]) for k in keys], *[c for c in out.columns if c not in keys and c != "best"], (-F.col("best.minus")).alias("mode_value"), F.col("best.n").alias("mode_rows"))
+    return out.select(*[F.col(k).alias(k[2:]) for k in keys], *[c for c in out.columns if c not in keys and c != "best"], F.col("best.value").alias("mode_value"), (-F.col("best.less")).alias("mode_rows"))
 
 
 def reaching(p: Column, n: Column) -> Column:

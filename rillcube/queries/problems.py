@@ -32,14 +32,16 @@ def _url_counts(requests: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    requests = load(spark, d, "web_requests")
-    everything = requests.agg(F.count(F.lit(1)).alias("n"))
-    counts = weighted.value_counts(requests, {"url": F.col("url")}, F.coalesce("count", F.lit(1)))
+    """The urls of at least 1 % of all rows, from the value counts that p2_url_totals reports in full."""
+    counts = weighted.value_counts(load(spark, d, "web_requests"), {"url": F.col("url")}, F.coalesce("count", F.lit(1)))
     totals = weighted.key_totals(counts)
-    return totals.where(F.col("url").isNotNull() & (F.col("rows") * 100 >= FREQUENT_PERCENT * everything.scalar())).select("url")
+    everything = totals.agg(F.sum("rows").alias("n"))
+    # nulls go in one condition with the sums, after the shuffles: so both uses of the counts are alike, and one is made
+    return totals.where(F.when(F.col("url").isNotNull(), F.col("rows")) * 100 >= FREQUENT_PERCENT * everything.scalar()).select("url")
 
 
 def p2_url_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals per url over all rows as delivered, repeats included, as for p2_found."""
     totals = weighted.key_totals(_url_counts(load(spark, d, "web_requests")), value_sum="count_total")
     return totals.select("url", F.col("rows").alias("requests"), "count_total", F.col("sizes").alias("size_total"), F.col("distinct_values").alias("distinct_counts"), F.col("mode_value").cast("long").alias("mode_count"))
 
@@ -65,6 +67,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_period_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals per period over all rows as delivered, repeats included, as the order of arrival of p6_found has them."""
     rows = load(spark, d, "web_requests").select("tuple_id", "site", "time", "arrival_time", "count", "avg_size_sum")
     in_time, _ = lateness.split_late(rows)
     state = lateness.period_multiset(in_time, F.coalesce("count", F.lit(1)), F.col("avg_size_sum"))
@@ -111,7 +114,7 @@ SQL = {
     "p2_url_totals": """
         WITH v AS (SELECT url, coalesce(count, 1) AS v, count(*) AS n, sum(avg_size_sum) AS s FROM web_requests GROUP BY 1, 2)
         SELECT url, sum(n)::BIGINT AS requests, sum(v * n)::BIGINT AS count_total, sum(s)::BIGINT AS size_total, count(*)::BIGINT AS distinct_counts,
-               arg_max(v, n * 100000000 - v)::BIGINT AS mode_count FROM v GROUP BY url""",
+               first(v ORDER BY n DESC, v)::BIGINT AS mode_count FROM v GROUP BY url""",
     "p2_count_median": """
         WITH v AS (SELECT url, coalesce(count, 1) AS v, count(*) AS n FROM web_requests GROUP BY 1, 2),
         c AS (SELECT *, sum(n) OVER (PARTITION BY url ORDER BY v) AS cum, sum(n) OVER (PARTITION BY url) AS total FROM v),
