@@ -23,30 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillcube.operators import weighted
+from rillcube.operators.once import first_deliveries
 
 
 def measurements(df: DataFrame, keep: Mapping[str, Column], single: str = "i_val", many: str = "summary", missing: int = -1, once: Sequence[str] | None = ("site", "version"), tie: str = "tuple_id") -> DataFrame:
     """One row per value: the columns ``keep`` and ``value`` (bigint).
 
     ``single`` is of the type of the items of ``many`` or narrower; ``missing`` is the value of ``single`` that stands for
-    not measured.  Of rows with the same ``once`` key one counts, the smallest by its content where they differ; ``tie``
-    names a row whose key has a null.
+    not measured.  Of rows with the same ``once`` key one counts, the one of the smallest ``tie``; repeats are found by their keys, so rows that
+    have none are not shuffled for it.
     """
     alone = F.col(f"`{single}`")
-    none = F.array().cast(df.schema[many].dataType)
-    item = df.schema[many].dataType.elementType
-    values = F.concat(F.coalesce(F.col(f"`{many}`"), none), F.when(alone.isNotNull() & (alone != missing), F.array(alone.cast(item))).otherwise(none))
-    rows = df.select(*[c.alias(f"m_{n}") for n, c in keep.items()], values.alias("values"), *[F.col(f"`{k}`").alias(f"o_{k}") for k in once or ()], *([F.col(f"`{tie}`").alias("tie")] if once else []))
+    kind = df.schema[many].dataType
+    values = F.concat(F.coalesce(F.col(f"`{many}`"), F.array().cast(kind)), F.when(alone.isNotNull() & (alone != missing), F.array(alone.cast(kind.elementType))).otherwise(F.array().cast(kind)))
+    rows = df.select(*[c.alias(f"m_{n}") for n, c in keep.items()], values.alias("values"), *([F.col(f"`{k}`").alias(f"o_{k}") for k in [*once, tie]] if once else []))
     if once:
-        keyed = F.lit(True)
-        for k in once:
-            keyed = keyed & F.col(f"o_{k}").isNotNull()
-        # a row without a key is its own: its tie joins the key; other rows do not carry it through the shuffle
-        unkeyed = F.when(~keyed, F.col("tie"))
-        body = F.struct(*[f"m_{n}" for n in keep], "values")
-        # few rows repeat: combining before the shuffle would sort in vain
-        rows = rows.withColumn("alone", unkeyed).drop("tie").repartition(*[f"o_{k}" for k in once], "alone")
-        rows = rows.groupBy(*[f"o_{k}" for k in once], "alone").agg(F.min(body).alias("body")).select("body.*")
+        rows = first_deliveries(rows, [f"o_{k}" for k in once], f"o_{tie}")
     return rows.select(*[F.col(f"m_{n}").alias(n) for n in keep], F.explode("values").alias("value")).where("value is not null").withColumn("value", F.col("value").cast("long"))
 
 
