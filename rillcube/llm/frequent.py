@@ -1,7 +1,7 @@
 """Most frequent items among billions, in bounded memory (problem 5).
 
 External sort and run-length counting: each map task combines equal values of a bounded number of rows into sorted
-runs, runs are range-partitioned by value, each range merges its sorted runs (Spark's external sort) and adds up equal
+runs, which are written once; runs are range-partitioned by value, each range merges its sorted runs (Spark's external sort) and adds up equal
 neighbours as they stream by, and keeps a bounded heap of its heaviest values.  The heaviest of all ranges' heaps are
 the result: exact, as a value lies in one range only.  A value with a third of all rows reaches its range as one row
 per run.  Memory: ``run_rows`` distinct values in a map task, one batch and ``k`` values in a range.
@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillcube.session import checkpoint_dir
+
 RUN_ROWS = 200_000
 _OUT = "value string, weight bigint"
 _SCHEMA = pa.schema([("value", pa.string()), ("weight", pa.int64())])
@@ -99,22 +101,29 @@ def _count_runs(k: int):
     return count
 
 
-def heaviest(df: DataFrame, value: str, weight: str | None, k: int, missing_weight: int = 1, run_rows: int = RUN_ROWS) -> DataFrame:
-    """The ``k`` values with the largest sums of ``weight`` (rows, if None): ``value, weight``; exact for weights of any sign."""
+def counted_runs(df: DataFrame, value: str, weight: str | None, missing_weight: int = 1, run_rows: int = RUN_ROWS) -> DataFrame:
+    """The map tasks' sorted runs ``value, weight``, nulls too, written once: what follows reads them several times."""
     amount = F.lit(1) if weight is None else F.coalesce(F.col(f"`{weight}`"), F.lit(missing_weight))
-    rows = df.select(F.col(f"`{value}`").cast("string").alias("value"), amount.cast("long").alias("weight")).where("value is not null")
-    runs = rows.mapInArrow(_runs(run_rows), _OUT)
-    ranges = runs.repartitionByRange(F.col("value")).sortWithinPartitions("value")
+    checkpoint_dir(df.sparkSession)
+    return df.select(F.col(f"`{value}`").cast("string").alias("value"), amount.cast("long").alias("weight")).mapInArrow(_runs(run_rows), _OUT).checkpoint()
+
+
+def _heaviest_of(runs: DataFrame, k: int) -> DataFrame:
+    ranges = runs.where("value is not null").repartitionByRange(F.col("value")).sortWithinPartitions("value")
     return ranges.mapInArrow(_count_runs(k), _OUT).orderBy(F.desc("weight"), "value").limit(k)
 
 
-def at_least(df: DataFrame, value: str, weight: str | None, share: float, missing_weight: int = 1) -> DataFrame:
+def heaviest(df: DataFrame, value: str, weight: str | None, k: int, missing_weight: int = 1, run_rows: int = RUN_ROWS) -> DataFrame:
+    """The ``k`` values with the largest sums of ``weight`` (rows, if None): ``value, weight``; exact for weights of any sign."""
+    return _heaviest_of(counted_runs(df, value, weight, missing_weight, run_rows), k)
+
+
+def at_least(df: DataFrame, value: str, weight: str | None, share: float, missing_weight: int = 1, run_rows: int = RUN_ROWS) -> DataFrame:
     """All values that hold at least ``share`` of the whole weight, null values' included: ``value, weight``.
 
     Weights must not be negative: then at most ``1 / share`` values can qualify, and a heap of that size loses none.
     """
-    amount = F.lit(1) if weight is None else F.coalesce(F.col(f"`{weight}`"), F.lit(missing_weight))
-    whole = df.select(amount.cast("long").alias("w")).agg(F.sum("w").alias("w"))
+    runs = counted_runs(df, value, weight, missing_weight, run_rows)
+    whole = runs.agg(F.sum("weight").alias("weight"))
     exact = Fraction(str(share))  # whole numbers, so that a value of exactly that share is in
-    top = heaviest(df, value, weight, int(1 / exact) + 1, missing_weight)
-    return top.where(F.col("weight") * exact.denominator >= whole.scalar() * exact.numerator)
+    return _heaviest_of(runs, int(1 / exact) + 1).where(F.col("weight") * exact.denominator >= whole.scalar() * exact.numerator)
