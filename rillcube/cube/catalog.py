@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from rillcube.cube.cube import Cube
 from rillcube.cube.spec import Aggregate, CubeSpec, Dimension, is_name
 from rillcube.schema import EngineSchemaError
 
-_EMPTY = {"parts": [], "folded": {}, "names": [], "retired": []}
+_EMPTY = {"parts": [], "folded": {}, "names": [], "retired": [], "rollups": {}}
 _KEPT_MANIFESTS = 10
 _TRIES = 50
 
@@ -195,7 +196,7 @@ class CubeCatalog:
                         names.append([p["stream"], p["id"]])
                 one = {"batch": f"#{kept[5:]}", "stream": "", "id": None, "folder": kept}
                 gone = [f for f in latest["retired"] if f not in old] + [p["folder"] for p in parts]
-                return {"parts": [one] + [p for p in latest["parts"] if p not in parts], "folded": folded, "names": names, "retired": gone}
+                return {**latest, "parts": [one] + [p for p in latest["parts"] if p not in parts], "folded": folded, "names": names, "retired": gone}
 
             if kept not in [p["folder"] for p in self._commit(name, change)["parts"]]:
                 old = [kept]
@@ -204,6 +205,33 @@ class CubeCatalog:
             for past in self._manifests(name)[:-_KEPT_MANIFESTS]:
                 self._fs().delete(self._path(f"{self._folder(name)}/manifest/{past:012d}"), False)
 
+    def _vector(self, name: str, levels: Mapping[str, int]) -> dict[str, int]:
+        spec = self.spec(name)
+        for dim in levels:
+            spec.dim(dim)
+        return {d.name: min(levels.get(d.name, d.leaf), d.leaf) for d in spec.dims}
+
+    def store_rollup(self, name: str, levels: Mapping[str, int]) -> None:
+        """The cube's cells at a vector of levels, as of now, kept beside it as partial states; takes the place of the one stored before."""
+        vector, kept = self._vector(name, levels), f"data/{uuid.uuid4().hex}"
+        self.get(name).levels_of(vector).write.parquet(f"{self._folder(name)}/{kept}")
+        key = json.dumps(vector)
+
+        def change(now: dict) -> dict:
+            before = [now["rollups"][key]] if key in now["rollups"] else []
+            return {**now, "rollups": {**now["rollups"], key: kept}, "retired": now["retired"] + before}
+
+        self._commit(name, change)
+
+    def stored_rollup(self, name: str, levels: Mapping[str, int]) -> Cube:
+        """The stored cells at exactly these levels, to slice and finish; raises if none are stored."""
+        vector = self._vector(name, levels)
+        folder = self._manifest(name)[1]["rollups"].get(json.dumps(vector))
+        if folder is None:
+            raise EngineSchemaError(f"cube {name} has no stored rollup at {vector}")
+        cells = self.spark.read.parquet(f"{self._folder(name)}/{folder}")
+        return Cube(self.spec(name), cells.drop(*[f"{d}_level" for d in vector]))
+
     def insert_stream(self, name: str, stream: DataFrame, checkpoint: str, label: str = "") -> StreamingQuery:
         """A stream into the cube; a batch that is run again replaces itself, or changes nothing once it is folded.  Each stream into one cube has its own ``label``."""
         return stream.writeStream.foreachBatch(lambda df, n: self.insert(name, df, int(n), label)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

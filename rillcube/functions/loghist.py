@@ -21,6 +21,7 @@ from rillcube.operators.weighted import at_place, percentiles, value_counts
 
 TOP = 2**31 - 1
 _WRAP = 2**27
+DYADIC_BITS = 32
 
 
 @lru_cache(maxsize=64)
@@ -160,6 +161,28 @@ def count_min_estimate(items: DataFrame, item: str, cells: DataFrame, eps: float
     return asked.join(cells, "cm_cell").groupBy(*items.columns).agg(F.min("cm_n").alias("estimate"))
 
 
+def dyadic_items(value: Column, top: int = DYADIC_BITS) -> Column:
+    """A value in [0, 2 ** top) as the array of the ranges that hold it, named ``<bits>:<number>``: widths of powers of four, the whole last."""
+    return F.array(*[F.concat(F.lit(f"{b}:"), F.shiftright(value.cast("long"), b).cast("string")) for b in range(0, top + 1, 2)])
+
+
+def dyadic_cover(low: int, high: int, top: int = DYADIC_BITS) -> list[str]:
+    """The fewest of these ranges that make up [low, high]."""
+    out, low, end = [], max(0, low), min(high + 1, 2**top)
+    while low < end:
+        bits = max(b for b in range(0, top + 1, 2) if low % 2**b == 0 and low + 2**b <= end)
+        out.append(f"{bits}:{low >> bits}")
+        low += 2**bits
+    return out
+
+
+def range_estimates(ranges: DataFrame, cells: DataFrame, eps: float = 0.001, confidence: float = 0.99) -> DataFrame:
+    """``ranges`` (rows ``low, high, item``, one for each item of the cover) with their sums: ``low, high, estimate``; never below the count."""
+    items = ranges.select("item").distinct()
+    found = count_min_estimate(items, "item", cells, eps, confidence)
+    return ranges.join(found, "item").groupBy("low", "high").agg(F.sum("estimate").alias("estimate"))
+
+
 def _cells(sketches: pa.Array) -> pa.Array:
     """The counts in Spark's binary form: version, total, rows, cells a row, one hash factor a row, then the counts."""
     out = []

@@ -34,12 +34,12 @@ def observed(df: DataFrame, name: str, size: Column | None = None) -> tuple[Data
 
 
 def latency_report(df: DataFrame, period: Column, source: str, size: Column, latency: Column, very_late: float) -> DataFrame:
-    """Per period: bytes, items, exact median and 95th percentile (by weighted values) and maximum of a whole-number latency, deviation of bytes over sources, very late items."""
+    """Per period: bytes, items, exact median, 95th and 99.9th percentile (by weighted values) and maximum of a whole-number latency, deviation of bytes over sources, very late items."""
     named = df.select(period.alias("period"), F.col(f"`{source}`").alias("source"), size.alias("size"), latency.cast("long").alias("latency"))
     by_source = named.groupBy("period", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("items"), F.max("latency").alias("max_latency"), F.count(F.when(F.col("latency") > very_late, 1)).alias("very_late"))
     figures = by_source.groupBy("period").agg(F.sum("size").alias("bytes"), F.sum("items").alias("items"), F.max("max_latency").alias("max_latency"), F.sum("very_late").alias("very_late"), F.stddev_pop("size").alias("source_deviation"), F.count(F.lit(1)).alias("sources"))
-    ranks = percentiles(value_counts(named, {"p_period": F.col("period")}, F.col("latency")), [0.5, 0.95])
-    wide = ranks.groupBy("p_period").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in (("median", 0.5), ("p95", 0.95))])
+    ranks = percentiles(value_counts(named, {"p_period": F.col("period")}, F.col("latency")), [0.5, 0.95, 0.999])
+    wide = ranks.groupBy("p_period").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in (("median", 0.5), ("p95", 0.95), ("p999", 0.999))])
     return figures.join(wide, F.col("period").eqNullSafe(F.col("p_period")), "left").drop("p_period")
 
 

@@ -43,20 +43,26 @@ def variable_sample(df: DataFrame, key: str, level: int, steps: int = 11) -> Dat
 
 
 def interval_sample(df: DataFrame, order: list[str], drops: int, groups: list[str] | None = None) -> DataFrame:
-    """One row of every ``drops + 1`` in the given order; ``drops=0`` keeps all.
+    """One row of every ``drops + 1`` in the given order, within each of ``groups`` if given; ``drops=0`` keeps all.
 
     The rows' numbers come from a range-sorted table and the counts of its partitions, not from one global window:
-    every partition numbers its own rows and starts where the ones before it end.
+    every partition numbers its own rows and starts where the ones before it end.  A group as large as the table lies in as
+    many partitions as the table.
     """
-    if groups:
-        w = Window.partitionBy(*groups).orderBy(*order)
-        return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") % (drops + 1) == 0).drop("__n")
-    ordered = df.repartitionByRange(*[F.col(f"`{o}`").asc_nulls_first() for o in order]).sortWithinPartitions(*[F.col(f"`{o}`").asc_nulls_first() for o in order])
+    groups = list(groups or [])
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}  # so no name can clash
+    by = [F.col(names[o]).asc_nulls_first() for o in [*groups, *order]]
     checkpoint_dir(df.sparkSession)
-    indexed = ordered.withColumn("__id", F.monotonically_increasing_id())
+    ordered = df.toDF(*names.values()).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("id", F.monotonically_increasing_id())
     # the id is the partition (upper bits) and the row's place in it (lower 33 bits)
-    indexed = indexed.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(2**33 - 1)}).drop("__id").checkpoint()
-    counts = indexed.groupBy("__part").agg(F.count(F.lit(1)).alias("__held"))
-    before = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__held").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    numbered = indexed.join(F.broadcast(before), F.col("__part") == F.col("__p"))  # one row a partition
-    return numbered.where((F.col("__before") + F.col("__at") + 1) % (drops + 1) == 0).drop("__part", "__at", "__p", "__before")
+    indexed = ordered.withColumns({"part": F.shiftright("id", 33), "at": F.col("id").bitwiseAND(2**33 - 1)}).drop("id").checkpoint()
+    own = [names[g] for g in groups]
+    held = indexed.groupBy("part", *own).agg(F.count(F.lit(1)).alias("held"), F.min("at").alias("first_at"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select(F.col("part").alias("p"), *[F.col(c).alias(f"g_{c}") for c in own], (before - F.col("first_at")).alias("start"))
+    same = F.col("part") == F.col("p")
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    # without groups one row a partition
+    numbered = indexed.join(starts if own else F.broadcast(starts), same)
+    return numbered.where((F.col("start") + F.col("at") + 1) % (drops + 1) == 0).select(*names.values()).toDF(*df.columns)

@@ -6,17 +6,18 @@ Several edges into one node merge streams, whose schemas must be the same.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import count
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from rillcube.cube.cube import Cube, CubeQuery
 from rillcube.cube.spec import CubeSpec
 from rillcube.plans.degrade import Policy
 from rillcube.plans.registry import Operator, operator
 from rillcube.schema import EngineSchemaError, same_schema
+from rillcube.sources.sinks import client_rows
 
 
 class Node:
@@ -106,6 +107,11 @@ class Flow:
             out.append(copy(node))
         return out
 
+    def connect_external(self, node: Node) -> Iterator[Row]:
+        """The rows at a node, one by one, to a reader outside of the flow."""
+        rows = self.build(node)
+        return client_rows(rows.finalize() if isinstance(rows, Cube) else rows)
+
     def build(self, node: Node, _done: dict[int, object] | None = None):
         """The DataFrame (or, of a cube, the ``Cube``) at a node."""
         done = {} if _done is None else _done

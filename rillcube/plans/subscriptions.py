@@ -47,11 +47,20 @@ def coarsened(cube: Cube, time: str, level: int) -> DataFrame:
 
 
 def level_rows(cube: Cube, time: str) -> DataFrame:
-    """Rows of the cube at every time level, in one pass over its cells: ``level, cells``; input of ``fitting_level``."""
+    """Rows of the cube at every time level, in one pass over its cells: ``level, cells``; input of ``fitting_level``.
+
+    Every level's periods lie within days, so cells are put in order within a day and their other dimensions, and a cell opens
+    a period of a level if its neighbour before is of another one.
+    """
     others = [n for n in cube.spec.dim_names if n != time]
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), cube.spec.dim(time).at(i).alias("at")) for i in range(len(TIME_LEVELS))]))
-    keys = cube.cells.select(*[F.col(f"`{o}`") for o in others], at.alias("x")).select(*[F.col(f"`{o}`") for o in others], "x.level", "x.at").distinct()
-    return keys.groupBy("level").agg(F.count(F.lit(1)).alias("cells"))
+    cells = cube.cells.select(*[F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(others)], F.col(f"`{time}`").alias("t"))
+    keys = [f"o{i}" for i in range(len(others))]
+    day = Window.partitionBy(*keys, F.floor(F.col("t") / 86400)).orderBy("t")
+    cells = cells.withColumn("before", F.lag("t").over(day))
+    opens = [F.count(F.when(F.col("before").isNull() | (F.floor(F.col("t") / size) != F.floor(F.col("before") / size)), 1)).alias("cells") for size in TIME_LEVELS[1:]]
+    counts = cells.agg(F.array(*opens).alias("cells")).select(F.posexplode("cells").alias("level", "cells")).select((F.col("level") + 1).alias("level"), "cells")
+    whole = cells.where("before is null").select(*keys).distinct() if keys else cells.select(F.lit(0)).distinct()
+    return counts.unionByName(whole.agg(F.lit(0).alias("level"), F.count(F.lit(1)).alias("cells")))
 
 
 def fitting_level(cube: Cube, time: str, budget: int) -> int:
@@ -78,16 +87,19 @@ def above_threshold(df: DataFrame, value: str, thresholds: DataFrame, keys: Sequ
 def in_force(df: DataFrame, time: str, control: DataFrame, control_time: str, threshold: str, bucket_seconds: int = 3600) -> DataFrame:
     """``df`` with ``threshold``: the one last set at or before the row's time; null before the first.
 
-    Per bucket of time, the controls within it and the one carried into it are an ordered array, so the join is on equal
-    buckets and a row looks into one short array; rows of the same bucket may lie in any number of tasks.
+    Per bucket of time, the controls within it are an ordered array of at most one a second, so the join is on equal buckets
+    and a row looks into one short array; rows of the same bucket may lie in any number of tasks.  The setting that
+    is carried into a bucket comes from a running last over one small row a bucket, as many as the tables' time has buckets.
     """
     t, ct = F.col(f"`{time}`").cast("long"), F.col(f"`{control_time}`").cast("long")
-    settings = control.groupBy(ct.alias("at")).agg(F.max(F.col(f"`{threshold}`").cast("double")).alias("bound"))
-    inside = settings.groupBy(F.floor(F.col("at") / bucket_seconds).alias("b")).agg(F.array_sort(F.collect_list(F.struct("at", "bound"))).alias("set"))
-    buckets = df.select(F.floor(t / bucket_seconds).alias("b")).distinct()
-    line = buckets.join(inside, "b", "full")
-    carried = F.last(F.element_at("set", -1), True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    line = line.select(F.col("b").alias("__b"), F.concat(F.when(carried.isNotNull(), F.array(carried)).otherwise(F.array().cast("array<struct<at:bigint,bound:double>>")), F.coalesce("set", F.array().cast("array<struct<at:bigint,bound:double>>"))).alias("__set"))
+    settings = control.where(ct.isNotNull()).groupBy(ct.alias("at")).agg(F.max(F.col(f"`{threshold}`").cast("double")).alias("bound"))
+    settings = settings.select(F.floor(F.col("at") / bucket_seconds).alias("b"), F.struct("at", "bound").alias("s"))
+    buckets = df.where(t.isNotNull()).select(F.floor(t / bucket_seconds).alias("b")).distinct()
+    line = buckets.select("b", F.lit(None).cast(settings.schema["s"].dataType).alias("s")).unionByName(settings)
+    line = line.groupBy("b").agg(F.max("s").alias("last"))
+    carried = line.select("b", F.last("last", True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    inside = settings.groupBy("b").agg(F.array_sort(F.collect_list("s")).alias("set"))
+    line = carried.join(inside, "b", "left").select(F.col("b").alias("__b"), F.array_compact(F.concat(F.array("carried"), F.coalesce("set", F.array().cast(inside.schema["set"].dataType)))).alias("__set"))
     joined = df.join(line, F.floor(t / bucket_seconds) == F.col("__b"), "left")
     return joined.withColumn("threshold", F.try_element_at(F.filter("__set", lambda s: s["at"] <= t), F.lit(-1))["bound"]).drop("__b", "__set")
 

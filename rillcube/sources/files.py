@@ -24,6 +24,12 @@ def blobs(spark: SparkSession, path: str, prefix: str = "", max_bytes: int = MAX
     return files.where(F.col("length") < max_bytes).select("path", F.col("content").alias("bytes"))
 
 
+def omitted_blobs(spark: SparkSession, path: str, prefix: str = "", max_bytes: int = MAX_BLOB) -> DataFrame:
+    """``path, length`` of the files that ``blobs`` leaves out for their size; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").load(path)
+    return files.where(F.col("length") >= max_bytes).select("path", "length")
+
+
 def blob_stream(spark: SparkSession, path: str, prefix: str = "", files_per_window: int = 1, max_bytes: int = MAX_BLOB) -> DataFrame:
     """The same as a stream, ``files_per_window`` files a micro-batch."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +32,25 @@ def random_labels(spark: SparkSession, rows: int, rate: int = 1000, weights: dic
     return spark.range(rows).select(_label(place, weights or STATES).alias("label"), (F.lit(start) + F.floor(F.col("id") / rate)).cast("long").alias("time"))
 
 
-def random_histograms(spark: SparkSession, rows: int, unique_values: int = 10, buckets: int = 100, values_each: int = 50, rate: int = 100, start: int = 0) -> DataFrame:
-    """``time, key, histogram``: each row holds the log histogram of ``values_each`` values that depend on the row's number."""
+def random_histograms(spark: SparkSession, rows: int, unique_values: int = 10, buckets: int = 100, values_each: int = 50, rate: int = 100, start: int = 0, schedule: Sequence[tuple[int, int]] = ()) -> DataFrame:
+    """``time, key, buckets, histogram``: each row holds the log histogram of ``values_each`` values that depend on the row's number.
+
+    ``schedule`` gives the sizes that a ladder of degradation takes over time, as (second from the start, buckets), ascending; the
+    first seconds have ``buckets``.
+    """
     from rillcube.functions.loghist import bucket_of
 
-    value = lambda i: F.pmod(F.xxhash64(F.col("id"), i), F.lit(10_000)).cast("int")
-    held = F.transform(F.sequence(F.lit(0), F.lit(values_each - 1)), lambda i: bucket_of(value(i), buckets))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(held, lambda h: h == b)).cast("long"))
-    return spark.range(rows).select((F.lit(start) + F.floor(F.col("id") / rate)).cast("long").alias("time"), (F.col("id") % unique_values).cast("int").alias("key"), counts.alias("histogram"))
+    value = lambda i: F.pmod(F.pmod(F.col("id") * values_each + i, F.lit(2**31)) * F.lit(2654435761), F.lit(2**32)) % 10_000
+    second = F.floor(F.col("id") / rate).cast("long")
+    size, sizes = F.lit(buckets), {buckets}
+    for since, n in schedule:
+        size, sizes = F.when(second >= since, F.lit(n)).otherwise(size), sizes | {n}
+    made = spark.range(rows).withColumn("buckets", size)
+    counts = F.lit(None).cast("array<bigint>")
+    for n in sorted(sizes):
+        held = F.transform(F.sequence(F.lit(0), F.lit(values_each - 1)), lambda i: bucket_of(value(i).cast("int"), n))  # noqa: B023
+        counts = F.when(F.col("buckets") == n, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.size(F.filter(held, lambda h: h == b)).cast("long"))).otherwise(counts)  # noqa: B023
+    return made.select((F.lit(start) + second).alias("time"), (F.col("id") % unique_values).cast("int").alias("key"), "buckets", counts.alias("histogram"))
 
 
 def send_k(spark: SparkSession, k: int, text: str = "foo") -> DataFrame:

@@ -22,12 +22,28 @@ def windowed_stream(stream: DataFrame, time: str, window: str, delay: str, keys:
     return grouped.select(F.col("w.start").alias("window_start"), *[c for c in grouped.columns if c != "w"])
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Everything that is there now, into a memory table; ended on return."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return query
+def closed_windows(streams: Sequence[DataFrame], time: str, window: str, delay: str, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Windows over several inputs, each with its own watermark: in append mode a window comes out once all inputs have passed it, as
+    the watermark that holds is the least of the inputs' (the session's default policy)."""
+    marked = [s.withWatermark(time, delay) for s in streams]
+    whole = marked[0]
+    for other in marked[1:]:
+        whole = whole.unionByName(other)
+    grouped = whole.groupBy(F.window(F.col(time), window).alias("w"), *keys).agg(*aggs)
+    return grouped.select(F.col("w.start").alias("window_start"), *[c for c in grouped.columns if c != "w"])
+
+
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Everything that is there now, into a table under ``folder``, and that table; ``mode`` is append or complete."""
+    if mode not in ("append", "complete"):
+        raise EngineSchemaError(f"a table takes a stream in append or complete mode, not {mode}")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/table")
+    else:
+        writer = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/table"))
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
 def delayed_one_shot(stream: DataFrame, insert: Callable[[DataFrame, int], None], ask: Callable[[], DataFrame], checkpoint: str) -> DataFrame:

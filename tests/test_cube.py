@@ -193,6 +193,22 @@ def test_catalog_survives_lost_and_rival_writers(spark, tmp_path):
     assert rows(catalog.get("web").finalize()) == rows(Cube.build(SPEC, a.unionByName(b)).finalize())
 
 
+def test_stored_rollups(spark, tmp_path):
+    catalog = CubeCatalog(spark, str(tmp_path / "cubes"))
+    catalog.create(SPEC)
+    a, b = table(spark, (T, "u", 200, 1, 1)), table(spark, (T + 1, "u", 300, 3, 1))
+    catalog.insert("web", a)
+    catalog.store_rollup("web", {"time": 5})
+    catalog.insert("web", b)
+    stored = lambda: rows(catalog.stored_rollup("web", {"time": 5}).finalize())
+    assert stored() == rows(Cube.build(SPEC, a).rollup({"time": 5}).finalize())  # as of when it was stored
+    catalog.store_rollup("web", {"time": 5})
+    catalog.compact("web")
+    assert stored() == rows(Cube.build(SPEC, a.unionByName(b)).rollup({"time": 5}).finalize())
+    with pytest.raises(EngineSchemaError):
+        catalog.stored_rollup("web", {"time": 1})
+
+
 def test_names():
     assert all(is_name(n) for n in ("a", "3_b", "12/web")) and not any(is_name(n) for n in ("", "a b", "/a", "x/a", "a/", "1/2/3", "é"))
 

@@ -79,6 +79,13 @@ def test_samplers(spark):
     assert [r["id"] for r in sampling.interval_sample(df, ["id"], 1).orderBy("id").collect()] == list(range(1, 1000, 2))
     assert sampling.interval_sample(df, ["id"], 9, ["k"]).count() == 100
     assert sampling.interval_sample(df.where("false"), ["id"], 1).count() == 0
+    kinds = df.withColumn("c0", F.when(F.col("id") % 10 > 2, F.lit("hot")).when(F.col("id") % 10 > 0, F.lit("b")))
+    kept = sorted((r["c0"] or "", r["id"]) for r in sampling.interval_sample(kinds, ["id"], 2, ["c0"]).collect())
+    want = []
+    for kind in ("hot", "b", None):
+        own = sorted(r["id"] for r in kinds.collect() if r["c0"] == kind)
+        want += [(kind or "", i) for i in own[2::3]]
+    assert kept == sorted(want)
 
 
 def sites(spark, n=2):

@@ -134,15 +134,36 @@ def test_streams(spark, tmp_path):
         (source / f"{i}.txt").write_text("".join(f"{i * 100 + j}\n" for j in range(0, 100, 10)))
     stream = files.text_stream(spark, str(source)).select(F.timestamp_seconds(F.col("line").cast("long")).alias("ts"))
     out = windows.windowed_stream(stream, "ts", "50 seconds", "0 seconds", [], [F.count(F.lit(1)).alias("n")])
-    windows.run_available(out, "all_windows", "complete", str(tmp_path / "c1"))
-    assert sorted(r["n"] for r in spark.table("all_windows").collect()) == [5] * 6
-    windows.run_available(out, "closed_windows", "append", str(tmp_path / "c2"))
-    assert {r["n"] for r in spark.table("closed_windows").collect()} == {5} and 3 <= spark.table("closed_windows").count() < 6
+    assert sorted(r["n"] for r in windows.run_available(out, str(tmp_path / "c1"), "complete").collect()) == [5] * 6
+    closed = windows.run_available(out, str(tmp_path / "c2"))
+    assert {r["n"] for r in closed.collect()} == {5} and 3 <= closed.count() < 6
+    # of two inputs, the one that is behind holds the windows back
+    behind = stream.where("unix_seconds(ts) < 150")
+    both = windows.closed_windows([stream, behind], "ts", "50 seconds", "0 seconds", [], [F.count(F.lit(1)).alias("n")])
+    assert [r["n"] for r in windows.run_available(both, str(tmp_path / "c4")).collect()] == [10, 10]
+    with pytest.raises(EngineSchemaError):
+        windows.run_available(out, str(tmp_path / "c5"), "update")
     taken = []
     got = windows.delayed_one_shot(files.text_stream(spark, str(source)), lambda df, n: taken.append(df.count()), lambda: spark.createDataFrame([(sum(taken),)], "n int"), str(tmp_path / "c3"))
     assert rows(got) == [(30,)]
 
 
+def test_external_reader(spark):
+    flow = Flow()
+    a = flow.add_source(spark.createDataFrame([("x", 1), ("y", 2)], "k string, n int"))
+    cube = flow.add_cube(CubeSpec("c", [Dimension("k")], [Aggregate("n", "count", ("n",))]))
+    flow.connect(a, cube)
+    assert sorted(tuple(r) for r in flow.connect_external(cube)) == [("x", 1, 0), ("y", 2, 0)]
+    assert len(list(flow.connect_external(a))) == 2
+
+
+def test_levels_of_null_times_and_one_dimension(spark):
+    spec = CubeSpec("c", [Dimension("time", "time_containment", "t")], [Aggregate("n")])
+    cube = Cube.build(spec, spark.createDataFrame([(-1,), (0,), (4,), (5,), (3599,), (3600,), (86400,), (None,)], "t bigint"))
+    got = {r["level"]: r["cells"] for r in subs.level_rows(cube, "time").collect()}
+    assert got == {0: 1, 1: 5, 2: 6, 3: 6, 4: 6, 5: 6, 6: 6, 7: 6, 8: 7, 9: 8}
+
+
 def test_period_store_stream(spark, tmp_path):
     source = tmp_path / "in"
     schema = "tuple_id bigint, site string, time timestamp, arrival_time timestamp"

@@ -1,4 +1,4 @@
-"""The whole-table queries keep what has no time."""
+"""Queries without a time window keep what has no time."""
 
 import datetime as dt
 
@@ -6,7 +6,6 @@ import pytest
 from conftest import rows
 
 import __spark_entry__ as entry
-from rillcube.queries import reference
 
 
 @pytest.fixture(scope="module")
@@ -38,12 +37,12 @@ WANT = {
 
 @pytest.mark.parametrize("name", WANT)
 def test_rows_without_time_count(spark, small, name):
-    assert rows(entry.queries()[f"{name}_all"](spark, small)) == WANT[name]
+    assert rows(entry.queries()[name](spark, small)) == WANT[name]
 
 
 def test_leaf_cells_without_time(spark, small):
-    assert rows(entry.queries()["cube_leaf_web_all"](spark, small).select("time", "count")) == [(1704067207, 2), (None, 1), (None, 5)]
+    assert rows(entry.queries()["cube_leaf_web"](spark, small).select("time", "count")) == [(1704067207, 2), (None, 1), (None, 5)]
 
 
-def test_sql_of_all_requests():
-    assert all("TIME IS NOT NULL" not in entry.oracle_sql()[f"{n}_all"].upper() for n in reference.WHOLE)
+def test_time_windows_need_a_time(spark, small):
+    assert rows(entry.queries()["windowed_topk"](spark, small).select("key", "total")) == [("http://x.test/1.js", 2)]
