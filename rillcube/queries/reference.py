@@ -6,7 +6,6 @@ Amounts are whole numbers (cents), so that sums do not depend on the order of ad
 from __future__ import annotations
 
 import uuid
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +25,8 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 _E = "e AS (SELECT event_id, epoch_us(ts) // 1000000 AS t, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents, props, 'site-' || (user_id % 4) AS site FROM events)"
-_R = "r AS (SELECT tuple_id, site, version, epoch_us(time) // 1000000 AS t, url, response_code, coalesce(count, 1)::BIGINT AS n, avg_size_sum::BIGINT AS size, avg_size_count::BIGINT AS sizes FROM web_requests WHERE time IS NOT NULL)"
-_A = _R.replace(" WHERE time IS NOT NULL", "")  # every request
+_R = "r AS (SELECT tuple_id, site, version, epoch_us(time) // 1000000 AS t, url, response_code, coalesce(count, 1)::BIGINT AS n, avg_size_sum::BIGINT AS size, avg_size_count::BIGINT AS sizes FROM web_requests)"
+_T = _R.replace("FROM web_requests", "FROM web_requests WHERE time IS NOT NULL")  # for time windows
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -53,15 +52,15 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def all_requests(spark: SparkSession, d: str) -> DataFrame:
+def requests(spark: SparkSession, d: str) -> DataFrame:
     """Every row of web_requests; ``t`` is null where the time is."""
     raw = load(spark, d, "web_requests")
     return raw.select("tuple_id", "site", "version", F.unix_seconds("time").alias("t"), "url", "response_code", F.coalesce("count", F.lit(1)).cast("bigint").alias("n"), F.col("avg_size_sum").cast("bigint").alias("size"), F.col("avg_size_count").cast("bigint").alias("sizes"))
 
 
-def requests(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of web_requests that have a time: for queries that place them in time windows (see ``WHOLE`` for the others)."""
-    return all_requests(spark, d).where("t is not null")
+def timed_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of web_requests that have a time: for queries that place them in time windows."""
+    return requests(spark, d).where("t is not null")
 
 
 def kept(df: DataFrame, root: str) -> DataFrame:
@@ -106,8 +105,8 @@ def cube_leaf_events(spark, d):
 
 
 @query(f"WITH {_R} SELECT t AS time, url, response_code, sum(n)::BIGINT AS count, sum(size)::DOUBLE / nullif(sum(sizes), 0) AS avg_size, max(version) AS version FROM r GROUP BY 1, 2, 3")
-def cube_leaf_web(spark, d, rows=requests):
-    return web_cube(spark, d, rows).finalize()
+def cube_leaf_web(spark, d):
+    return web_cube(spark, d).finalize()
 
 
 @query(f"WITH {_E} SELECT event_type, sum(cents)::DOUBLE AS mean_sum, count(*) AS mean_count, sum(cents)::DOUBLE / count(*) AS mean FROM e GROUP BY 1")
@@ -168,8 +167,8 @@ def cube_string_rollup(spark, d):
 
 
 @query(f"WITH {_R} SELECT site, max(version) AS version, count(*) AS cnt FROM r GROUP BY 1")
-def cube_version_max(spark, d, rows=requests):
-    return Cube.build(CubeSpec("v", [Dimension("site")], [Aggregate("cnt")], "version"), rows(spark, d)).finalize()
+def cube_version_max(spark, d):
+    return Cube.build(CubeSpec("v", [Dimension("site")], [Aggregate("cnt")], "version"), requests(spark, d)).finalize()
 
 
 @query(f"WITH {_E} SELECT count(*) AS cells FROM (SELECT DISTINCT t, event_type FROM e)")
@@ -220,6 +219,27 @@ def cube_catalog_batches(spark, d):
     return kept(CubeCatalog(spark, root).get("events").finalize(), root)
 
 
+@query(f"WITH {_E} SELECT t // 300 * 300 AS time, event_type, {_CELL} FROM e WHERE t // 300 * 300 BETWEEN 1704200000 AND 1704900000 GROUP BY 1, 2")
+def cube_stored_rollup(spark, d):
+    """Rollups written beside a cube at two vectors of levels, and a slice of the one at exactly the asked levels."""
+    root = f"{checkpoint_dir(spark)}/cubes-{uuid.uuid4().hex}"
+    catalog = CubeCatalog(spark, root)
+    catalog.create(EVENT_SPEC)
+    catalog.insert("events", events(spark, d), 0)
+    catalog.store_rollup("events", {"time": 1, "event_type": 0})
+    catalog.store_rollup("events", {"time": 4})
+    return kept(CubeCatalog(spark, root).stored_rollup("events", {"time": 4}).query(CubeQuery({"time": (1704200000, 1704900000)})), root)
+
+
+@query(f"WITH {_E} SELECT t // 3600 * 3600 AS time, event_type, min(cents) AS least_cents, min(cents / 100.0::DOUBLE) AS least_value, min(t) AS earliest, max(event_id) AS version FROM e GROUP BY 1, 2")
+def cube_minima(spark, d):
+    """Least whole number, least double and earliest time of a cube, rolled up from its cells."""
+    aggs = [Aggregate("least_cents", "min_i", ("cents",)), Aggregate("least_value", "min_d", ("value",)), Aggregate("earliest", "min_t", ("t",))]
+    spec = CubeSpec("minima", EVENT_SPEC.dims, aggs, "event_id")
+    leaf = Cube.build(spec, events(spark, d).withColumn("value", F.col("cents") / F.lit(100.0)))
+    return Cube(spec, leaf.cells).query(CubeQuery(levels={"time": 1}))
+
+
 # parsing and transforms
 
 
@@ -278,8 +298,8 @@ def time_warp(spark, d):
 
 
 @query(f"WITH {_R} SELECT url, sum(n)::BIGINT AS total, sum(CASE WHEN response_code = 200 THEN n ELSE 0 END)::DOUBLE / sum(n) AS ratio FROM r GROUP BY 1")
-def success_ratio(spark, d, rows=requests):
-    return transform.success_ratio(rows(spark, d), {"url": F.col("url")}, "response_code", "n")
+def success_ratio(spark, d):
+    return transform.success_ratio(requests(spark, d), {"url": F.col("url")}, "response_code", "n")
 
 
 @query()
@@ -329,6 +349,11 @@ def interval_sample(spark, d):
     return sampling.interval_sample(load(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 3).select("event_id")
 
 
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) WHERE n % 4 = 0")
+def interval_sample_by_type(spark, d):
+    return sampling.interval_sample(load(spark, d, "events").select("event_id", "event_type", "ts"), ["ts", "event_id"], 3, ["event_type"]).select("event_id")
+
+
 @query()
 def bernoulli_sample(spark, d):
     return sampling.bernoulli(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), 0.6, 7)
@@ -394,17 +419,24 @@ def sample_quantile_exact(spark, d):
     return loghist.sample_quantile(events(spark, d), ["event_type"], F.col("cents"), 0.6)
 
 
+def _type_sketches(spark, d) -> DataFrame:
+    spec = CubeSpec("k", [Dimension("time", "time_containment", "t"), Dimension("event_type")], [Aggregate("sketch", "quantile_sketch", ("cents",))], "event_id")
+    return Cube.build(spec, events(spark, d).withColumn("t", F.col("t") - F.col("t") % 3600)).rollup({"time": 0}).finalize()
+
+
 @query()
 def sketch_quantile(spark, d):
     """Hourly sketches of a cube, merged and asked."""
-    spec = CubeSpec("k", [Dimension("time", "time_containment", "t"), Dimension("event_type")], [Aggregate("sketch", "quantile_sketch", ("cents",))], "event_id")
-    cube = Cube.build(spec, events(spark, d).withColumn("t", F.col("t") - F.col("t") % 3600)).rollup({"time": 0})
-    return cube.finalize().select("event_type", loghist.sketch_quantile(F.col("sketch"), 0.5).alias("median"))
+    return _type_sketches(spark, d).select("event_type", loghist.sketch_quantile(F.col("sketch"), 0.5).alias("median"))
 
 
-@query()
-def cm_sketch(spark, d):
-    return load(spark, d, "web_requests").groupBy("response_code").agg(F.length(loghist.count_min(F.col("url"))).alias("sketch_bytes"))
+@query(f"WITH {_E} SELECT event_type, count(*) AS cnt, true AS within FROM e GROUP BY 1")
+def sketch_rank_error(spark, d):
+    """Whether the exact rank of each type's estimated median lies within 3 % of the middle."""
+    asked = sketch_quantile(spark, d).select(F.col("event_type").alias("k"), "median")
+    below = F.count(F.when(F.col("cents") < F.col("median"), 1)) / F.count(F.lit(1))
+    upto = F.count(F.when(F.col("cents") <= F.col("median"), 1)) / F.count(F.lit(1))
+    return events(spark, d).join(asked, F.col("event_type") == F.col("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("cnt"), ((below <= 0.53) & (upto >= 0.47)).alias("within"))
 
 
 @query()
@@ -416,12 +448,41 @@ def cm_point_estimate(spark, d):
     return loghist.count_min_estimate(exact, "url", loghist.count_min_cells(sketches, [], "sketch"))
 
 
-@query()
+@query("SELECT count(DISTINCT url) AS urls, count(url) AS requests, 0::BIGINT AS below, true AS within FROM web_requests")
+def cm_error_bound(spark, d):
+    """How many urls ``cm_point_estimate`` puts below their count (none), and whether at most 1 % are above by more than 0.1 % of all."""
+    found = cm_point_estimate(spark, d)
+    whole = found.agg(F.sum("requests").alias("n")).scalar()
+    far = F.count(F.when(F.col("estimate") - F.col("requests") > whole * 0.001, 1))
+    return found.agg(F.count(F.lit(1)).alias("urls"), F.sum("requests").alias("requests"), F.count(F.when(F.col("estimate") < F.col("requests"), 1)).alias("below"), (far <= 0.01 * F.count(F.lit(1))).alias("within"))
+
+
+_RANGES = ((0, 999), (1000, 9_999), (12_345, 67_890), (0, 2**31 - 1))
+
+
+@query("WITH r(low, high) AS (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT)" for a, b in _RANGES) + ") SELECT low, high, count(avg_size_sum) AS requests, true AS within FROM r LEFT JOIN web_requests ON avg_size_sum BETWEEN low AND high GROUP BY 1, 2")
+def cm_range_sums(spark, d):
+    """Requests by ranges of size from one sketch of dyadic ranges: exact, and whether the estimate is not below and above by 2 % of all at most."""
+    sizes = load(spark, d, "web_requests").select(F.col("avg_size_sum").cast("bigint").alias("size")).where("size >= 0")
+    items = sizes.select(F.explode(loghist.dyadic_items(F.col("size"))).alias("item"))
+    cells = loghist.count_min_cells(items.agg(loghist.count_min(F.col("item"), 0.0001).alias("sketch")), [], "sketch")
+    asked = spark.createDataFrame([(a, b, i) for a, b in _RANGES for i in loghist.dyadic_cover(a, b)], "low bigint, high bigint, item string")
+    found = loghist.range_estimates(asked, cells, 0.0001).select(F.col("low").alias("l"), F.col("high").alias("h_"), "estimate")
+    held = F.array(*[F.struct(F.lit(a).cast("long").alias("low"), F.lit(b).cast("long").alias("high"), F.col("size").between(a, b).alias("in")) for a, b in _RANGES])
+    exact = sizes.select(F.explode(held).alias("h")).groupBy("h.low", "h.high").agg(F.count(F.when(F.col("h.in"), 1)).alias("requests"), F.count(F.lit(1)).alias("all"))
+    over = F.col("estimate") - F.col("requests")
+    return exact.join(found, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h_"))).select("low", "high", "requests", ((over >= 0) & (over <= F.col("all") * 0.02)).alias("within"))
+
+
+@query(f"WITH {_E} SELECT event_type, count(cents) AS seen, least(40, count(cents))::INTEGER AS kept, least(40, count(cents)) AS known FROM e GROUP BY 1")
 def reservoir_sample(spark, d):
-    """A sample aggregate of a cube: 40 values per type of all its hours."""
+    """A sample aggregate of a cube: 40 values per type of all its hours, and how many of them are the type's (``known``: all)."""
     spec = CubeSpec("s", [Dimension("time", "time_containment", "t"), Dimension("event_type")], [Aggregate("sample", "quantile_sample", ("cents",), 40)], "event_id")
-    cube = Cube.build(spec, events(spark, d).withColumn("t", F.col("t") - F.col("t") % 86400)).rollup({"time": 0})
-    return cube.finalize().select("event_type", F.col("sample.seen").alias("seen"), F.size("sample.items").alias("kept"))
+    rows = events(spark, d)
+    sampled = Cube.build(spec, rows.withColumn("t", F.col("t") - F.col("t") % 86400)).rollup({"time": 0}).finalize()
+    items = sampled.select("event_type", F.explode("sample.items").alias("i")).select("event_type", F.col("i.value").alias("cents"))
+    known = items.join(rows.select("event_type", "cents"), ["event_type", "cents"], "left_semi").groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("known"))
+    return sampled.join(known, F.col("event_type") == F.col("k")).select("event_type", F.col("sample.seen").alias("seen"), F.size("sample.items").alias("kept"), "known")
 
 
 # top-k
@@ -430,20 +491,20 @@ _TOP = f"WITH {_R} SELECT url AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1
 
 
 @query(_TOP)
-def exact_topk(spark, d, rows=requests):
-    return topk.exact_topk(rows(spark, d), "url", F.col("n"), 10)
+def exact_topk(spark, d):
+    return topk.exact_topk(requests(spark, d), "url", F.col("n"), 10)
 
 
 @query(_TOP)
-def tput_topk(spark, d, rows=requests):
-    return topk.tput_topk(rows(spark, d), "site", "url", F.col("n"), 10)
+def tput_topk(spark, d):
+    return topk.tput_topk(requests(spark, d), "site", "url", F.col("n"), 10)
 
 
-@query(f"""WITH {_R}, s AS (SELECT t // 3600 * 3600 AS "window", url AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1, 2)
+@query(f"""WITH {_T}, s AS (SELECT t // 3600 * 3600 AS "window", url AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY total DESC, key NULLS FIRST)::INTEGER AS rank FROM s) WHERE rank <= 5""")
 def windowed_topk(spark, d):
     """Of the requests that have a time."""
-    return topk.windowed_topk(requests(spark, d), F.col("t") - F.pmod(F.col("t"), F.lit(3600)), "url", F.col("n"), 5)
+    return topk.windowed_topk(timed_requests(spark, d), F.col("t") - F.pmod(F.col("t"), F.lit(3600)), "url", F.col("n"), 5)
 
 
 # subscriptions
@@ -465,19 +526,12 @@ def coarsen_levels(spark, d):
     return subs.level_rows(event_cube(spark, d), "time")
 
 
-@query(f"WITH {_E}, c AS (SELECT t // 3600 * 3600 AS time, event_type, {_CELL} FROM e GROUP BY 1, 2) SELECT * FROM c")
-def coarsen_to_budget(spark, d):
-    """The finest level of at most 4000 cells: hours, at every size of these tables."""
-    cube = event_cube(spark, d)
-    return subs.coarsened(cube, "time", min(subs.fitting_level(cube, "time", 4000), 1))
-
-
 _FIT = """lv(level, size) AS (VALUES (0, 0), (1, 3600), (2, 1800), (3, 600), (4, 300), (5, 60), (6, 30), (7, 10), (8, 5), (9, 1)), n AS (SELECT level, size, count(*) AS cells FROM (SELECT DISTINCT event_type, level, size, CASE WHEN size = 0 THEN 0 ELSE t // nullif(size, 0) * size END FROM e, lv) GROUP BY 1, 2),
         f AS (SELECT coalesce(arg_max(size, level) FILTER (WHERE cells <= 4000), 0) AS size FROM n)"""
 
 
 @query(f"WITH {_E}, {_FIT}, c AS (SELECT CASE WHEN size = 0 THEN 0 ELSE t // nullif(size, 0) * size END AS time, event_type, {_CELL} FROM e, f GROUP BY 1, 2) SELECT * FROM c")
-def coarsen_to_fit(spark, d):
+def coarsen_to_budget(spark, d):
     """The finest level of at most 4000 cells, whichever it is."""
     cube = event_cube(spark, d)
     return subs.coarsened(cube, "time", subs.fitting_level(cube, "time", 4000))
@@ -542,8 +596,10 @@ def union_streams(spark, d):
 
 @query()
 def read_blobs(spark, d):
-    """The fixed small tables' files as blobs."""
-    return files.blobs(spark, d, "nation").select(F.length("bytes").alias("size"))
+    """The tables' files as blobs, and those that are left out for their size."""
+    name = F.regexp_extract("path", "[^/]*$", 0).alias("name")
+    read = files.blobs(spark, d).select(name, F.length("bytes").cast("bigint").alias("size"), F.lit(False).alias("omitted"))
+    return read.unionByName(files.omitted_blobs(spark, d).select(name, F.col("length").alias("size"), F.lit(True).alias("omitted")))
 
 
 @query("SELECT 'foo' AS text, range AS version FROM range(1000)")
@@ -551,13 +607,41 @@ def send_k(spark, d):
     return generators.send_k(spark, 1000)
 
 
-@query()
+_MADE = "v AS (SELECT r.range AS id, ((r.range * 50 + i.range) * 2654435761) % 4294967296 % 10000 AS value FROM range(2000) r, range(50) i)"
+
+
+@query(f"""WITH {_MADE}, k AS (SELECT (id % 10)::INTEGER AS key, value FROM v), {_hist_sql(100, 'key', 'value', 'k')}, m(b, mid) AS (VALUES {_BOUNDS100}),
+        c AS (SELECT key, b, sum(n) OVER (PARTITION BY key ORDER BY b) AS cum, sum(n) OVER (PARTITION BY key) AS total FROM h100), f AS (SELECT key, min(b) AS b, max(total)::BIGINT AS population FROM c WHERE cum >= total * 0.5 GROUP BY 1)
+        SELECT key, population, mid::INTEGER AS median FROM f JOIN m USING (b)""")
 def random_histograms(spark, d):
     made = generators.random_histograms(spark, 2000, 10, 100)
     return made.groupBy("key").agg(loghist.merged("histogram", 100).alias("h")).select("key", loghist.population(F.col("h")).alias("population"), loghist.quantile(F.col("h"), 100, 0.5).alias("median"))
 
 
-@query()
+@query(f"""WITH {_MADE}, k AS (SELECT CASE WHEN id // 100 < 8 THEN 100 WHEN id // 100 < 15 THEN 50 ELSE 30 END AS buckets, value FROM v),
+        h AS ({" UNION ALL ".join(f"SELECT buckets, b FROM (SELECT buckets, (SELECT max(b) FROM (VALUES {', '.join(f'({i}, {s})' for i, s in enumerate(_STARTS[n]))}) x(b, s) WHERE s <= value) AS b FROM k WHERE buckets = {n})" for n in (100, 50, 30))})
+        SELECT buckets, b::INTEGER AS bucket, count(*) AS n FROM h GROUP BY 1, 2""")
+def adaptive_histograms(spark, d):
+    """Histograms whose size steps down on a schedule, as under congestion; merged by size."""
+    made = generators.random_histograms(spark, 2000, 10, 100, schedule=[(8, 50), (15, 30)])
+    bars = made.select("buckets", F.posexplode("histogram").alias("bucket", "n")).where("n > 0")
+    return bars.groupBy("buckets", "bucket").agg(F.sum("n").alias("n"))
+
+
+_WHOLE = sum(generators.STATES.values())
+
+
+def _label_sql() -> str:
+    upto, cases = 0.0, []
+    for label, weight in generators.STATES.items():
+        upto += weight / _WHOLE
+        cases.append((upto, label))
+    return "CASE " + " ".join(f"WHEN place < {u!r}::DOUBLE THEN '{n}'" for u, n in cases[:-1]) + f" ELSE '{cases[-1][1]}' END"
+
+
+@query(f"""WITH l AS (SELECT range // 1000 AS period, {_label_sql()} AS label FROM (SELECT range, (range * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS place FROM range(20000))), c AS (SELECT period, label, count(*) AS n FROM l GROUP BY 1, 2), p AS (SELECT period, sum(n)::BIGINT AS rows FROM c GROUP BY 1),
+        x AS (SELECT p.period, p.rows, coalesce(c.n, 0)::DOUBLE AS real, p.rows * w.share AS want FROM p, (VALUES {", ".join(f"('{n}', {w / _WHOLE!r}::DOUBLE)" for n, w in generators.STATES.items())}) w(label, share) LEFT JOIN c ON c.period = p.period AND c.label = w.label)
+        SELECT period, rows, min(least(real, want) / greatest(real, want)) AS evenness FROM x GROUP BY 1, 2""")
 def random_label_evenness(spark, d):
     made = generators.random_labels(spark, 20_000)
     return evaluate.evenness(made, F.col("time"), "label", F.lit(1), generators.STATES)
@@ -577,15 +661,15 @@ def evenness_eval(spark, d):
 
 
 @query(f"WITH {_R} SELECT site AS host, count(*) AS n FROM r WHERE regexp_matches(url, '\\.(png|js)$') GROUP BY 1")
-def dist_grep_count(spark, d, rows=requests):
-    return filters.grep(rows(spark, d), "url", r"\.(png|js)$").groupBy(F.col("site").alias("host")).agg(F.count(F.lit(1)).alias("n"))
+def dist_grep_count(spark, d):
+    return filters.grep(requests(spark, d), "url", r"\.(png|js)$").groupBy(F.col("site").alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_R}, s AS (SELECT t // 1800 * 1800 AS "window", url AS key, count(*) AS total FROM r WHERE url IS NOT NULL AND NOT contains(url, ' ') GROUP BY 1, 2)
+@query(f"""WITH {_T}, s AS (SELECT t // 1800 * 1800 AS "window", url AS key, count(*) AS total FROM r WHERE url IS NOT NULL AND NOT contains(url, ' ') GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY total DESC, key)::INTEGER AS rank FROM s) WHERE rank <= 20""")
 def apache_topk(spark, d):
     """Access lines that have a time, parsed for their url, and the top 20 of each half hour."""
-    raw = requests(spark, d).select("t", F.concat(F.lit("GET "), "url", F.lit(" HTTP")).alias("line"))
+    raw = timed_requests(spark, d).select("t", F.concat(F.lit("GET "), "url", F.lit(" HTTP")).alias("line"))
     parsed = parse.generic_parse(raw, "line", r".*GET ([^ ]*) .*", "S", ["url"])
     return topk.windowed_topk(parsed, F.col("t") - F.pmod(F.col("t"), F.lit(1800)), "url", F.lit(1), 20)
 
@@ -594,36 +678,36 @@ _WEB = "sum(n)::BIGINT AS count, sum(size)::DOUBLE / nullif(sum(sizes), 0) AS av
 
 
 @query(f"WITH {_R} SELECT 0::BIGINT AS time, '0' AS url, response_code, {_WEB} FROM r GROUP BY response_code")
-def respcode_counts(spark, d, rows=requests):
-    return web_cube(spark, d, rows).query(CubeQuery(levels={"time": 0, "url": 0}))
+def respcode_counts(spark, d):
+    return web_cube(spark, d).query(CubeQuery(levels={"time": 0, "url": 0}))
 
 
-@query(f"WITH {_R} SELECT t // 5 * 5 AS time, '0' AS url, 0 AS response_code, {_WEB} FROM r GROUP BY 1")
+@query(f"WITH {_T} SELECT t // 5 * 5 AS time, '0' AS url, 0 AS response_code, {_WEB} FROM r GROUP BY 1")
 def requests_by_5s(spark, d):
     """Of the requests that have a time."""
-    return web_cube(spark, d).query(CubeQuery(levels={"time": 8, "url": 0, "response_code": 0}))
+    return web_cube(spark, d, timed_requests).query(CubeQuery(levels={"time": 8, "url": 0, "response_code": 0}))
 
 
-@query(f"""WITH {_R}, s AS (SELECT t // 30 * 30 AS time, url, 0 AS response_code, {_WEB} FROM r GROUP BY 1, 2)
+@query(f"""WITH {_T}, s AS (SELECT t // 30 * 30 AS time, url, 0 AS response_code, {_WEB} FROM r GROUP BY 1, 2)
         SELECT * EXCLUDE (k) FROM (SELECT *, time AS window_start, row_number() OVER (PARTITION BY time ORDER BY count DESC, url NULLS FIRST) AS k FROM s) WHERE k <= 10""")
 def url_counts_30s(spark, d):
     """Of the requests that have a time."""
-    return subs.windowed(web_cube(spark, d), "time", 30, -(2**40) * 30, CubeQuery(levels={"time": 6, "response_code": 0}, sort=["-count"], limit=10))
+    return subs.windowed(web_cube(spark, d, timed_requests), "time", 30, -(2**40) * 30, CubeQuery(levels={"time": 6, "response_code": 0}, sort=["-count"], limit=10))
 
 
-@query(f"""WITH {_R}, s AS (SELECT t // 300 * 300 AS "window", coalesce(string_split(url, '/')[3], url) AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1, 2)
+@query(f"""WITH {_T}, s AS (SELECT t // 300 * 300 AS "window", coalesce(string_split(url, '/')[3], url) AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY total DESC, key NULLS FIRST)::INTEGER AS rank FROM s) WHERE rank <= 10""")
 def domain_counts_5min(spark, d):
     """Of the requests that have a time."""
-    return topk.windowed_topk(transform.url_to_domain(requests(spark, d), "url"), F.col("t") - F.pmod(F.col("t"), F.lit(300)), "url", F.col("n"), 10)
+    return topk.windowed_topk(transform.url_to_domain(timed_requests(spark, d), "url"), F.col("t") - F.pmod(F.col("t"), F.lit(300)), "url", F.col("n"), 10)
 
 
 @query(f"""WITH {_R}, x AS (SELECT response_code, size FROM r WHERE size IS NOT NULL), c AS (SELECT response_code, size, row_number() OVER (PARTITION BY response_code ORDER BY size) AS k, count(*) OVER (PARTITION BY response_code) AS n FROM x)
         SELECT response_code, min(size) FILTER (WHERE k >= ceil(0.95 * n)) AS size_p95, max(n) AS requests FROM c GROUP BY 1""")
-def quantiles_by_code(spark, d, rows=requests):
+def quantiles_by_code(spark, d):
     from rillcube.operators.weighted import percentiles, value_counts
 
-    counts = value_counts(rows(spark, d), {"response_code": F.col("response_code")}, F.col("size"))
+    counts = value_counts(requests(spark, d), {"response_code": F.col("response_code")}, F.col("size"))
     return percentiles(counts, [0.95]).select("response_code", F.col("value").alias("size_p95"), F.col("rows").alias("requests"))
 
 
@@ -647,46 +731,54 @@ def quantiles_by_5s_code(spark, d):
 
 
 @query(f"WITH {_R} SELECT tuple_id, url FROM r WHERE sizes = 0 OR size / nullif(sizes, 0)::DOUBLE > 20000")
-def slow_requests(spark, d, rows=requests):
-    return filters.ratio_above(rows(spark, d), "size", "sizes", 20000).select("tuple_id", "url")
+def slow_requests(spark, d):
+    return filters.ratio_above(requests(spark, d), "size", "sizes", 20000).select("tuple_id", "url")
 
 
 @query(f"""WITH {_R}, s AS (SELECT coalesce(string_split(url, '/')[3], url) AS domain, sum(n)::BIGINT AS total, sum(CASE WHEN response_code = 200 THEN n ELSE 0 END)::DOUBLE / sum(n) AS ratio FROM r GROUP BY 1)
         SELECT * FROM s ORDER BY ratio DESC, domain NULLS FIRST LIMIT 5""")
-def worst_domains(spark, d, rows=requests):
-    ratios = transform.success_ratio(rows(spark, d), {"domain": transform.domain(F.col("url"))}, "response_code", "n")
+def worst_domains(spark, d):
+    ratios = transform.success_ratio(requests(spark, d), {"domain": transform.domain(F.col("url"))}, "response_code", "n")
     return ratios.orderBy(F.desc("ratio"), F.asc_nulls_first("domain")).limit(5)
 
 
 @query(f"WITH {_R} SELECT coalesce(string_split(url, '/')[3], url) AS key, sum(n)::BIGINT AS total FROM r WHERE response_code = 404 GROUP BY 1 ORDER BY total DESC, key NULLS FIRST LIMIT 10")
-def bad_domains(spark, d, rows=requests):
-    missing = transform.url_to_domain(filters.equals(rows(spark, d), "response_code", 404), "url")
+def bad_domains(spark, d):
+    missing = transform.url_to_domain(filters.equals(requests(spark, d), "response_code", 404), "url")
     return topk.exact_topk(missing, "url", F.col("n"), 10)
 
 
-@query(f"WITH {_R} SELECT site, t // 300 * 300 AS time, sum(size)::BIGINT AS bytes FROM r GROUP BY 1, 2")
+@query(f"WITH {_T} SELECT site, t // 300 * 300 AS time, sum(size)::BIGINT AS bytes FROM r GROUP BY 1, 2")
 def bw_by_node(spark, d):
     """Of the requests that have a time."""
     spec = CubeSpec("bw", [Dimension("site"), Dimension("time", "time_containment", "t")], [Aggregate("bytes", "sum", ("size",))])
-    return Cube.build(spec, requests(spark, d)).query(CubeQuery(levels={"time": 4})).drop("version")
+    return Cube.build(spec, timed_requests(spark, d)).query(CubeQuery(levels={"time": 4})).drop("version")
 
 
 @query(f"WITH {_R}, {_hist_sql(100, 'site', 'size', 'r')}, c AS (SELECT site, b, sum(n) OVER (PARTITION BY site ORDER BY b) AS cum, sum(n) OVER (PARTITION BY site) AS total FROM h100), f AS (SELECT site, min(b) AS b FROM c WHERE cum >= total * 0.95 GROUP BY 1), m(b, mid) AS (VALUES {_BOUNDS100}) SELECT site, mid::INTEGER AS p95 FROM f JOIN m USING (b)")
-def bw_histogram(spark, d, rows=requests):
-    h = loghist.histogram(rows(spark, d), ["site"], F.col("size"), 100)
+def bw_histogram(spark, d):
+    h = loghist.histogram(requests(spark, d), ["site"], F.col("size"), 100)
     return h.select("site", loghist.quantile(F.col("histogram"), 100, 0.95).alias("p95"))
 
 
 @query(f"""WITH {_R}, x AS (SELECT size, row_number() OVER (ORDER BY size) AS k, count(*) OVER () AS n FROM r WHERE size IS NOT NULL), q AS (SELECT min(size) AS bound FROM x WHERE k >= ceil(0.95 * n))
         SELECT tuple_id, url, size FROM r, q WHERE size >= bound""")
-def anomalous_requests(spark, d, rows=requests):
-    found = rows(spark, d)
+def anomalous_requests(spark, d):
+    found = requests(spark, d)
     return subs.above_threshold(found, "size", subs.quantile_thresholds(found, {}, F.col("size"), 0.95)).select("tuple_id", "url", "size")
 
 
+@query(f"""WITH {_T}, x AS (SELECT t // 3600 AS hour, size, row_number() OVER (PARTITION BY t // 3600 ORDER BY size) AS k, count(*) OVER (PARTITION BY t // 3600) AS n FROM r WHERE size IS NOT NULL), q AS (SELECT hour, min(size) AS bound FROM x WHERE k >= ceil(0.95 * n) GROUP BY 1)
+        SELECT tuple_id, url, size FROM r LEFT JOIN q ON t // 3600 = hour WHERE bound IS NULL OR size >= bound""")
+def anomalous_by_hour(spark, d):
+    """Requests of at least their hour's 95th percentile of size; of the requests that have a time."""
+    found = timed_requests(spark, d).withColumn("hour", F.floor(F.col("t") / 3600))
+    return subs.above_threshold(found, "size", subs.quantile_thresholds(found, {"hour": F.col("hour")}, F.col("size"), 0.95), ["hour"]).select("tuple_id", "url", "size")
+
+
 @query(f"WITH {_R}, s AS (SELECT url AS key, sum(n)::BIGINT AS total FROM r GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY total DESC, key NULLS FIRST) AS i FROM s) SELECT k::INTEGER AS k, key, total FROM o, (VALUES (1), (5), (20)) x(k) WHERE i <= k")
-def multiround_sweep(spark, d, rows=requests):
-    out, local = None, topk.local_sums(rows(spark, d), "site", "url", F.col("n"))
+def multiround_sweep(spark, d):
+    out, local = None, topk.local_sums(requests(spark, d), "site", "url", F.col("n"))
     for k in (1, 5, 20):
         one = topk.tput_rounds(local, k).select(F.lit(k).alias("k"), "key", "total")
         out = one if out is None else out.unionByName(one)
@@ -694,34 +786,49 @@ def multiround_sweep(spark, d, rows=requests):
 
 
 @query(f"WITH {_R} SELECT url, count(*) AS n FROM r GROUP BY 1")
-def agent_counts(spark, d, rows=requests):
-    return rows(spark, d).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+def agent_counts(spark, d):
+    return requests(spark, d).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_R} SELECT t AS time, coalesce(string_split(url, '/')[3], url) AS url, response_code, {_WEB} FROM r GROUP BY 1, 2, 3")
-def raw_cube_by_domain(spark, d, rows=requests):
-    return Cube.build(WEB_SPEC, transform.url_to_domain(rows(spark, d), "url")).finalize()
+def raw_cube_by_domain(spark, d):
+    return Cube.build(WEB_SPEC, transform.url_to_domain(requests(spark, d), "url")).finalize()
 
 
-@query("""WITH l AS (SELECT floor(epoch_us(arrival_time) / 3600000000.0)::BIGINT AS period, site AS source, coalesce(avg_size_sum, 0)::BIGINT AS size, (epoch_us(arrival_time) - epoch_us(time)) // 1000 AS latency FROM web_requests WHERE time IS NOT NULL AND time <= arrival_time),
+def _report_sql(condition: str = "true") -> str:
+    return f"""WITH l AS (SELECT floor(epoch_us(arrival_time) / 3600000000.0)::BIGINT AS period, site AS source, coalesce(avg_size_sum, 0)::BIGINT AS size, (epoch_us(arrival_time) - epoch_us(time)) // 1000 AS latency FROM web_requests WHERE time IS NOT NULL AND time <= arrival_time AND {condition}),
         s AS (SELECT period, source, sum(size) AS size FROM l GROUP BY 1, 2), g AS (SELECT period, round(stddev_pop(size), 3) AS source_deviation, count(*) AS sources FROM s GROUP BY 1),
-        k AS (SELECT period, latency, row_number() OVER (PARTITION BY period ORDER BY latency) AS k, count(*) OVER (PARTITION BY period) AS n FROM l), q AS (SELECT period, min(latency) FILTER (WHERE k >= ceil(0.5 * n)) AS median, min(latency) FILTER (WHERE k >= ceil(0.95 * n)) AS p95 FROM k GROUP BY 1)
-        SELECT period, sum(size)::BIGINT AS bytes, count(*) AS items, any_value(median) AS median, any_value(p95) AS p95, max(latency) AS max_latency, count(*) FILTER (WHERE latency > 30000) AS very_late, any_value(source_deviation) AS source_deviation, any_value(sources) AS sources FROM l JOIN g USING (period) JOIN q USING (period) GROUP BY 1""")
-def image_quality_stats(spark, d):
-    rows = load(spark, d, "web_requests").where("time is not null and time <= arrival_time")
+        k AS (SELECT period, latency, row_number() OVER (PARTITION BY period ORDER BY latency) AS k, count(*) OVER (PARTITION BY period) AS n FROM l), q AS (SELECT period, min(latency) FILTER (WHERE k >= ceil(0.5 * n)) AS median, min(latency) FILTER (WHERE k >= ceil(0.95 * n)) AS p95, min(latency) FILTER (WHERE k >= ceil(0.999 * n)) AS p999 FROM k GROUP BY 1)
+        SELECT period, sum(size)::BIGINT AS bytes, count(*) AS items, any_value(median) AS median, any_value(p95) AS p95, any_value(p999) AS p999, max(latency) AS max_latency, count(*) FILTER (WHERE latency > 30000) AS very_late, any_value(source_deviation) AS source_deviation, any_value(sources) AS sources FROM l JOIN g USING (period) JOIN q USING (period) GROUP BY 1"""
+
+
+def _report(rows: DataFrame) -> DataFrame:
     report = evaluate.latency_report(rows, F.floor(F.unix_micros("arrival_time") / 3_600_000_000), "site", F.coalesce("avg_size_sum", F.lit(0)).cast("bigint"), F.expr(_WAIT_SQL), 30_000)
     return report.withColumn("source_deviation", F.round("source_deviation", 3))
 
 
+@query(_report_sql())
+def image_quality_stats(spark, d):
+    """Of the requests that have a time not after their arrival."""
+    return _report(load(spark, d, "web_requests").where("time is not null and time <= arrival_time"))
+
+
+@query(_report_sql("(tuple_id % 4294967296 * 2654435761) % 4294967296 >= 2147483648"))
+def image_quality_sampled(spark, d):
+    """The same behind a sampling stage that keeps half of the requests by a hash of their id."""
+    rows = load(spark, d, "web_requests").where("time is not null and time <= arrival_time")
+    return _report(sampling.hash_sample(rows, "tuple_id", 0.5))
+
+
 _FOLDS = (5, 60, 300, 3600, 0)
 
 
-@query(f"""WITH {_R}, f AS (SELECT x.fold, CASE WHEN x.fold = 0 THEN 0 ELSE t - t % nullif(x.fold, 0) END AS b, url, coalesce(string_split(url, '/')[3], url) AS d FROM r, (VALUES (5), (60), (300), (3600), (0)) x(fold)),
+@query(f"""WITH {_T}, f AS (SELECT x.fold, CASE WHEN x.fold = 0 THEN 0 ELSE t - t % nullif(x.fold, 0) END AS b, url, coalesce(string_split(url, '/')[3], url) AS d FROM r, (VALUES (5), (60), (300), (3600), (0)) x(fold)),
         u AS (SELECT fold, sum(n)::BIGINT AS rows, count(*) AS url_keys FROM (SELECT fold, b, url, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1), v AS (SELECT fold, count(*) AS domain_keys FROM (SELECT DISTINCT fold, b, d FROM f) GROUP BY 1)
         SELECT fold, rows, url_keys, domain_keys, rows / url_keys::DOUBLE AS url_ratio, rows / domain_keys::DOUBLE AS domain_ratio FROM u JOIN v USING (fold)""")
 def key_compression(spark, d):
     """Of the requests that have a time."""
-    return evaluate.key_compression(requests(spark, d), F.col("t"), F.col("url"), _FOLDS)
+    return evaluate.key_compression(timed_requests(spark, d), F.col("t"), F.col("url"), _FOLDS)
 
 
 @query(f"""WITH {_E}, x AS (SELECT t // 86400 * 86400 AS day, cents, row_number() OVER (PARTITION BY t // 86400 ORDER BY cents) AS k, count(*) OVER (PARTITION BY t // 86400) AS n FROM e)
@@ -734,22 +841,11 @@ def truth_quantiles(spark, d):
 
 
 @query(f"""WITH {_R}, s AS (SELECT coalesce(string_split(url, '/')[3], url, '') AS host, n FROM r), a AS (SELECT array_to_string(list_slice(string_split(host, '.'), 1, i), '.') AS host, n FROM (SELECT host, n, unnest(range(0, CASE WHEN host = '' THEN 1 ELSE len(string_split(host, '.')) + 1 END)) AS i FROM s)) SELECT host, sum(n)::BIGINT AS n FROM a GROUP BY 1""")
-def hierarchy_counts(spark, d, rows=requests):
-    hosts = rows(spark, d).select(F.coalesce(transform.domain(F.col("url")), F.lit("")).alias("host"), "n")
+def hierarchy_counts(spark, d):
+    hosts = requests(spark, d).select(F.coalesce(transform.domain(F.col("url")), F.lit("")).alias("host"), "n")
     return evaluate.hierarchy_counts(hosts, {"host": F.col("host")}, {"host": r"\."}, F.col("n"))
 
 
-# the same over every request, null times included, for the queries that need no time window
-
-WHOLE = (
-    "cube_leaf_web", "raw_cube_by_domain", "exact_topk", "tput_topk", "multiround_sweep", "agent_counts", "success_ratio", "worst_domains", "bad_domains",
-    "respcode_counts", "cube_version_max", "dist_grep_count", "slow_requests", "anomalous_requests", "quantiles_by_code", "bw_histogram", "hierarchy_counts",
-)
-
-for _name in WHOLE:
-    query(SQL[_name].replace(_R, _A), f"{_name}_all")(partial(QUERIES[_name], rows=all_requests))
-
-
 # streams
 
 
@@ -759,9 +855,19 @@ def stream_windows(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = windows.windowed_stream(stream, "ts", "1 hour", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("cnt")])
-    name = f"stream_windows_{uuid.uuid4().hex}"
-    windows.run_available(out, name, "complete", f"{checkpoint_dir(spark)}/{name}")
-    return spark.table(name).select(F.unix_seconds("window_start").alias("time"), "event_type", "cnt")
+    root = f"{checkpoint_dir(spark)}/stream-windows-{uuid.uuid4().hex}"
+    return kept(windows.run_available(out, root, "complete").select(F.unix_seconds("window_start").alias("time"), "event_type", "cnt"), root)
+
+
+@query(f"""WITH {_E}, mark AS (SELECT least(max(epoch_us(ts)) FILTER (WHERE event_type = 'view'), max(epoch_us(ts)) FILTER (WHERE event_type <> 'view')) - 3600000000 AS us FROM events)
+        SELECT t // 3600 * 3600 AS time, event_type, count(*) AS cnt FROM e, mark WHERE (t // 3600 + 1) * 3600 * 1000000 <= us // 1000 * 1000 GROUP BY 1, 2""")
+def stream_closed_windows(spark, d):
+    """Hourly windows of two streams that the lesser of their watermarks has closed, in append mode."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = windows.closed_windows([stream().where("event_type = 'view'"), stream().where("event_type <> 'view'")], "ts", "1 hour", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("cnt")])
+    root = f"{checkpoint_dir(spark)}/stream-closed-{uuid.uuid4().hex}"
+    return kept(windows.run_available(out, root).select(F.unix_seconds("window_start").alias("time"), "event_type", "cnt"), root)
 
 
 @query(f"WITH {_E} SELECT t AS time, event_type, {_CELL} FROM e GROUP BY 1, 2")
