@@ -2,11 +2,14 @@
 
 Every line of a page is cut into units (sentences by their end marks, and within them clauses by list separators), and
 each unit is reduced to a shape: buckets of its word count, its capitals, its separators, whether it bears links, tags
-or product codes, and how it ends.  A shape is a sentence's if its words are held together by function words, or if it
-starts and ends as a sentence does, and if no content word or pair of words keeps coming back in it, nor the word that
-dominates the page stands twice in a short one.  Characters are
-summed by shape within the page, and a page is flagged whose non-sentence shapes hold more than half of its characters.  All of this is per row: an Arrow UDF over the text column, without any shuffle, and a host or source
-with a third of all rows costs the same per row as any other.
+or product codes, and how it ends.  No list of words is involved.  A shape is a sentence's if it begins with a capital and
+ends with an end mark (or has the length of a sentence and one of the two), if its clauses are of some words each, and
+if words do not keep coming back: the same word three times within the unit, a word that dominates the page twice in a short
+unit, or units amid a stretch of the page whose words are few and mixed anew again and again.  Words that stand at the
+same place of many units are a pattern of sentences and no keywords.  Characters are summed by shape within the page, and a
+page is flagged whose non-sentence shapes hold more than half of its characters.  All of this is per row: an Arrow UDF
+over the text column, without any shuffle, and a host or source with a third of all rows costs the same per row as any
+other.
 
 Defined results: null, empty and blank texts have no shapes and are not flagged; a page with fewer than ``MIN_ITEMS``
 non-sentence units is not flagged (a lone fragment is no list) unless links, codes and tags alone hold more than half of it; texts are read whole; repeated rows are judged alike;
@@ -19,38 +22,24 @@ import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARE, TOP_SHAPES, MIN_ITEMS = 0.5, 12, 3
-FUNCTION_SHARE = 0.2
-#: A content word dominates a page from this share of its content words and this often; short sentences have so many words at most.
+#: A word dominates a page from this share of its keywords and this often; short units have so many words at most.
 DOMINATES, DOMINATES_TIMES, SHORT = 0.15, 3, 6
+#: A word that stands at the same place of its units in this share of its occurrences, and this often, is a pattern's.
+PATTERN_SHARE, PATTERN_TIMES = 0.7, 3
+#: A stretch of so many keywords is poor with this share of different ones; for units that lack a capital or an end mark the second.
+STRETCH, POOR, POOR_PARTS = 24, 0.5, 0.62
+#: Words of a clause, and of a unit that lacks a capital or an end mark, at least; clauses below that, at most.
+CLAUSE_WORDS, UNIT_WORDS, SHORT_CLAUSES = 3, 5, 2
 #: A unit is damaged text from this share of unprintable characters, or of letters in words of more than LONG letters.
 DAMAGED_SIGNS, DAMAGED_LETTERS, LONG = 0.04, 0.5, 40
 
-#: Function words of the languages at hand (fixed values); conjunctions and words of set phrases of trade are left out.
-FUNCTION_WORDS = frozenset(
-    """
-    the a an of to is are was were be has have had that this which who when if because but so why for with by from at on
-    it he she they we you i not no as than then there what how or his her their into after before under behind across near
-    without since every once again nobody knows says saw met left really
-    der die das den dem des ein eine einen einem einer ist sind war hat haben dass wenn weil aber nicht kein mit von zu am im
-    auf für bei nach vor neben hinter unter aus so warum sich seit wirklich niemand weiß sagt trafen es er sie wie zum zur ohne bis
-    le la les un une des du de est sont était a ont que qui quand si parce mais ne pour avec dans sur à au aux ce cette se
-    il elle ils nous vous son sa ses après avant sous derrière près chaque sans depuis pourquoi personne sait dit vraiment quitté vu
-    el los las una unos es son fue ha han cuando porque pero no por con del al se su sus lo que después antes detrás
-    cada sin desde nadie sabe dice verdad tan dejó vieron cita sobre más
-    в на и не что как когда если потому но с со по из за от до для у к о об это эта этот он она они мы вы я так такой такая
-    такое почему никто знает говорит правда ли вещь после перед под над через каждое каждый без у снова год раз сегодня городе город
-    """.split()
-) - {"и", "а"}
-#: Characters that hold Chinese sentences together (fixed values).
-FUNCTION_SIGNS = frozenset("的了在是很说因为当时吗但没有人知道这么从每着把被")
-_FUNCTION = FUNCTION_WORDS | FUNCTION_SIGNS
-
 _LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>|,;]+|(?<![\w@.])(?:[\w-]+\.)+[a-z]{2,}/[^\s<>|,;]*", re.I)
 _END = re.compile(r"(?<=[.!?…])[\"”»“’')\]]*(?:\s+|$)|[。！？](?:[”」』])?")
 _CODE = re.compile(r"\b[A-Z]{2,}[-/ ]?\d{2,}\b")
@@ -58,63 +47,54 @@ _MARK = re.compile(r"<\w+>|(?<!\w)#\w")
 _SEPARATOR = re.compile(r"[,;:|>»·•*#=，、；：/\\]+|\s[-–]\s|<\w*>?")
 _SPACE = re.compile(r"[\u00a0\u2000-\u200b\u202f\u3000\r]")
 _WIDE = re.compile(r"\s{2,}|\t")
-_WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*")
+_WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
+_LABEL = re.compile(r"[^\W\d_]+: (?=\S)")
+_CLOSING, _ENDS = "\"”“»«’')]」』", (".", "!", "?", "…", "。", "！", "？")
+_FIRST = re.compile(r"\w")
 
 
 def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _signs(words: list[str]) -> int:
-    """How many of the words are Chinese signs."""
-    return sum("㐀" <= w <= "鿿" for w in words)
+def _sign(word: str) -> bool:
+    return "㐀" <= word <= "鿿"
 
 
 def _length(words: list[str]) -> float:
     """Words; two Chinese signs count as one."""
-    return len(words) - _signs(words) / 2
-
-
-def _function_share(words: list[str]) -> float:
-    hits = sum(w in _FUNCTION for w in words)
-    if "在" in words:  # in 在线, "online", the sign holds nothing together
-        hits -= sum(a == "在" and b == "线" for a, b in zip(words, words[1:]))
-    # one sign in ten of a Chinese sentence is as much as one word in five elsewhere
-    return hits / max(1.0, _length(words)) if hits else 0.0
-
-
-def _keeps_coming_back(words: list[str]) -> bool:
-    """Whether a unit is built around a content word or pair of words."""
-    if len(set(words)) == len(words):
-        return False
-    signs = _signs(words)
-    content = [w if w not in _FUNCTION and (len(w) > 1 or "㐀" <= w <= "鿿") else "" for w in words]
-    if signs:
-        pairs = Counter(a + b for a, b in zip(content, content[1:]) if b and "㐀" <= a <= "鿿")
-        return bool(pairs) and max(pairs.values()) >= 3
-    single = Counter(content)
-    del single[""]
-    if not single or max(single.values()) < 2:
-        return False
-    if max(single.values()) >= 3:
-        return True
-    pairs = Counter((a, b) for a, b in zip(content, content[1:]) if a and b and a != b)
-    return bool(pairs) and max(pairs.values()) >= 2
-
-
-def _contents(words: list[str]) -> list[str]:
-    """The content words, and the pairs of Chinese signs."""
-    signs = [(a, b) for a, b in zip(words, words[1:]) if "㐀" <= a <= "鿿" and "㐀" <= b <= "鿿"] if _signs(words) else []
-    return [w for w in words if len(w) > 1 and w not in _FUNCTION] + [a + b for a, b in signs if a not in _FUNCTION and b not in _FUNCTION]
-
-
-def _dominating(words: list[str]) -> str | None:
-    """The content word around which a page may be built."""
-    found = _contents(words)
-    if not found:
-        return None
-    word, n = Counter(found).most_common(1)[0]
-    return word if n >= DOMINATES_TIMES and n >= DOMINATES * len(found) else None
+    return len(words) - sum(map(_sign, words)) / 2
+
+
+@dataclass(slots=True)
+class _Unit:
+    text: str
+    chars: int
+    words: list[str]
+    clauses: list[tuple[int, float]]  # characters, length
+    codes: int
+    marks: int
+    keys: list[str]
+
+
+def _bucket(n: float) -> str:
+    return "0" if n < 1 else "1" if n < 2 else "2" if n < 4 else "4" if n < 8 else "8" if n < 16 else "16"
+
+
+def _shape(unit: str, length: float, separators: int, links: bool, marks: bool, codes: bool) -> str:
+    caps = "A" if unit.isupper() else "C" if _begins(unit) else "a"
+    flags = ("L" if links else "") + ("T" if marks else "") + ("N" if codes else "")
+    return f"{_bucket(length)}{caps}{_bucket(separators)}{flags}{'.' if _ended(unit) else '-'}"
+
+
+def _begins(unit: str) -> bool:
+    """Whether a unit begins as a sentence: its first letter is no small one."""
+    first = _FIRST.search(unit)
+    return first is not None and not first.group().islower() and unit[:1] not in "#<*"
+
+
+def _ended(unit: str) -> bool:
+    return unit.rstrip(_CLOSING).endswith(_ENDS)
 
 
 def _damaged(unit: str, words: list[str]) -> bool:
@@ -126,17 +106,6 @@ def _damaged(unit: str, words: list[str]) -> bool:
     return sum(len(w) for w in words if len(w) > LONG) >= DAMAGED_LETTERS * sum(map(len, words))
 
 
-def _bucket(n: float) -> str:
-    return "0" if n < 1 else "1" if n < 2 else "2" if n < 4 else "4" if n < 8 else "8" if n < 16 else "16"
-
-
-def _shape(unit: str, words: list[str], separators: int, links: bool) -> str:
-    caps = "A" if unit.isupper() else "C" if unit[:1].isupper() else "a"
-    marks = ("L" if links else "") + ("T" if _MARK.search(unit) else "") + ("N" if _CODE.search(unit) else "")
-    end = unit[-1] if unit and unit[-1] in ".!?。！？" else "-"
-    return f"{_bucket(_length(words))}{caps}{_bucket(separators)}{marks}{end}"
-
-
 def _units(line: str):
     """The sentences of a line, each with its end mark."""
     at = 0
@@ -148,97 +117,163 @@ def _units(line: str):
         yield line[at:]
 
 
-def shapes(text: str) -> tuple[int, dict[str, int], int]:
-    """(characters, characters by non-sentence shape, number of non-sentence units)."""
-    total, by_shape, items, _ = _summed(text)
-    return total, by_shape, items
-
-
-def _summed(text: str) -> tuple[int, dict[str, int], int, int]:
-    """``shapes``, and the characters that are no lone fragment even by themselves: links, codes, tags."""
-    total = 0
-    by_shape: dict[str, int] = defaultdict(int)
-    items = sure = 0
-
-    def spam(unit: str, words: list[str], separators: int, links: bool, chars: int, n: int, certain: bool = False) -> None:
-        nonlocal items, sure
-        by_shape[_shape(unit, words, separators, links)] += chars
-        items += n
-        sure += chars if certain or links else 0
-
-    text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text)
-    # without any function word the text is of no language listed, and how a sentence starts and ends has to do
-    page = _words(text)
-    strict = any(w in FUNCTION_WORDS for w in page)
-    keyword = _dominating(page)
-    for line in text.split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        total += len(line)
+class _Page:
+    """The shapes of one text."""
+
+    def __init__(self, text: str):
+        self.total = self.items = self.sure = 0
+        self.by_shape: dict[str, int] = defaultdict(int)
+        self.units: list[_Unit] = []
+        text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text)
+        for line in text.split("\n"):
+            line = line.strip()
+            if line:
+                self.total += len(line)
+                self._line(line)
+        if self.units:
+            self._weigh_words()
+            for unit in self.units:
+                if not self._sentence(unit):
+                    self._list(unit)
+
+    def _spam(self, shape: str, chars: int, items: int, certain: bool = False) -> None:
+        self.by_shape[shape] += chars
+        self.items += items
+        self.sure += chars if certain else 0
+
+    def _line(self, line: str) -> None:
         links = _LINK.findall(line)
-        rest = _LINK.sub(" ", line) if links else line
         if links:
-            words = _words(rest)
+            rest = _LINK.sub(" ", line)
+            beside = _length(_words(rest))
             # what stands beside the links: a sentence, or labels
-            if _length(words) / len(links) < 6 or _function_share(words) < FUNCTION_SHARE / 2:
-                spam(line, words, len(links), True, len(line), len(links))
-                continue
-            spam("", [], 0, True, len(line) - len(rest), len(links))
-            line = rest
-        if not links and _function_share(_words(line)) < FUNCTION_SHARE / 2 and len(_WIDE.findall(line)) >= 2:
+            if beside / len(links) < 6:
+                self._spam(_shape(line, beside, len(links), True, False, False), len(line), len(links), True)
+                return
+            self._spam("L", len(line) - len(rest), len(links), True)
+            line = rest.strip()
+        if len(_WIDE.findall(line)) >= 2:
             parts = [p for p in _WIDE.split(line) if p]
-            if all(_length(_words(p)) <= 4 for p in parts):
-                spam(line, _words(line), len(parts), False, len(line), len(parts))
-                continue
-        for unit in _units(line):
-            stripped = unit.strip()
-            if not stripped:
-                continue
-            codes = len(_CODE.findall(stripped))
-            words = _words(_CODE.sub(" ", stripped) if codes else stripped)
-            if not words:
-                if len(stripped) > 2:
-                    spam(stripped, words, 0, False, len(unit), 1, codes > 0)
+            small = sum(not p[:1].isupper() for p in parts) / len(parts)
+            if small >= (0.5 if _END.search(line) else 0.6):
+                line = _WIDE.sub(" ", line)  # prose with wide blanks
+            else:
+                entries = [p for p in parts if not _ended(p) and _length(_words(p)) <= 4]
+                if len(entries) > 2:
+                    chars = len(line) - sum(len(p) for p in parts) + sum(map(len, entries))
+                    self._spam(_shape(line, _length(_words(" ".join(entries))), len(entries), False, False, False), chars, len(entries))
+                    parts = [p for p in parts if _ended(p) or _length(_words(p)) > 4]
+                    if not parts:
+                        return
+                    line = " ".join(parts)
+        for text in _units(line):
+            unit = text.strip()
+            if not unit:
                 continue
-            clauses = [c for c in _SEPARATOR.split(stripped) if c and not c.isspace()]
-            marks = len(_MARK.findall(stripped))
-            if marks >= 2 or codes >= 2:
-                spam(stripped, words, len(clauses), False, len(unit), max(marks, codes), True)
+            label = _LABEL.match(unit)
+            if label and _ended(unit) and _length(_words(unit[label.end() :])) >= UNIT_WORDS:
+                unit = unit[label.end() :]  # who speaks, or what a sentence is about
+            codes, marks = len(_CODE.findall(unit)), len(_MARK.findall(unit))
+            words = _words(_CODE.sub(" ", unit) if codes else unit)
+            cut = [c for c in _SEPARATOR.split(unit) if c and not c.isspace()]
+            clauses = [(len(unit), _length(words))] if len(cut) == 1 else [(len(c), _length(_words(c))) for c in cut]
+            if not words or marks >= 2 or codes >= 2:
+                if words or len(unit) > 2:
+                    certain = bool(codes or marks >= 2)
+                    self._spam(_shape(unit, _length(words), len(cut), False, marks > 0, codes > 0), len(text), max(1, marks, codes), certain)
                 continue
-            good, bad, n_bad = 0, 0, 0
-            for clause in clauses:
-                own = words if len(clauses) == 1 else _words(clause)
-                if _length(own) >= 3 and _function_share(own) >= FUNCTION_SHARE and not _keeps_coming_back(own):
-                    good += len(clause)
-                else:
-                    bad += len(clause)
-                    n_bad += 1
-            ended = stripped[-1] in ".!?。！？”»\"“"
-            around = keyword is not None and _length(words) <= SHORT and _contents(words).count(keyword) >= 2
-            repeats = around or _keeps_coming_back(words)
-            if good and n_bad < 3 and not repeats:
-                continue  # a sentence
-            if good:
-                share = bad / (good + bad) if n_bad and not around else 1.0
-                spam(stripped, words, len(clauses), False, round(len(unit) * share), max(1 + around, n_bad))
-                continue
-            sentence = ended and stripped[:1] not in "#<*" and (stripped[0].isupper() or not stripped[0].islower()) and _length(words) >= 3 and n_bad <= 2 and not repeats
-            sentence = sentence and not (strict and "a" <= max(words)[0] < "\u0250" and _function_share(words) == 0)
-            if sentence or (n_bad < 3 and _function_share(words) >= FUNCTION_SHARE and not repeats):
-                continue
-            if _damaged(stripped, words):
-                continue  # no list
-            spam(stripped, words, len(clauses), False, len(unit), max(1 + around, n_bad, len(words) // 4), codes > 0)
-    return total, by_shape, items, sure
+            self.units.append(_Unit(unit, len(text), words, clauses, codes, marks, []))
+
+    def _weigh_words(self) -> None:
+        """The units' keywords, the words that dominate the page, and the share of each word that stands in poor stretches."""
+        ends: Counter[str] = Counter()
+        counts: Counter[str] = Counter()
+        places: dict[str, Counter[int]] = defaultdict(Counter)
+        for unit in self.units:
+            counts.update(unit.words)
+            for place, word in enumerate(unit.words):
+                places[word][place] += 1
+            if len(unit.clauses) == 1:
+                ends[unit.words[-1]] += 1
+            else:
+                ends.update(w[-1] for c in _SEPARATOR.split(unit.text) if (w := _words(c)))
+        # a short word is a keyword only if clauses end with it now and then, as they do not with an article or a preposition
+        keyword = {w for w, n in counts.items() if len(w) > 3 or (len(w) > 1 and ends[w] > 1 and 8 * ends[w] >= n)}
+        pattern = {w for w in keyword if counts[w] >= PATTERN_TIMES and max(places[w].values()) >= PATTERN_SHARE * counts[w]}
+        flow: list[str] = []
+        seen: set[str] = set()
+        for unit in self.units:
+            unit.keys = [w for w in unit.words if w in keyword]
+            if any(map(_sign, unit.words)):
+                unit.keys += [a + b for a, b in zip(unit.words, unit.words[1:]) if _sign(a) and _sign(b)]
+            if unit.text not in seen:  # a sentence that is repeated as a whole says nothing of its words
+                flow += [k for k in unit.keys if k not in pattern]
+            if _begins(unit.text) and _ended(unit.text):
+                seen.add(unit.text)
+        held = Counter(flow)
+        poor: dict[float, Counter[str]] = {POOR: Counter(), POOR_PARTS: Counter()}
+        for at in range(0, len(flow), STRETCH):
+            stretch = flow[max(0, min(at, len(flow) - STRETCH)) : at + STRETCH]
+            different = len(set(stretch)) / len(stretch)
+            for least, words in poor.items():
+                if 2 * len(stretch) >= STRETCH and different <= least:
+                    words.update(flow[at : at + STRETCH])
+        self.held, self.poor, self.pattern = held, poor, pattern
+        self.dominant = {w for w, n in held.items() if n >= DOMINATES_TIMES and n >= DOMINATES * len(flow)}
+
+    def _repeats(self, unit: _Unit, whole: bool) -> bool:
+        """Whether a unit is built around words that keep coming back; ``whole`` if it has a capital and an end mark."""
+        counts = Counter(unit.keys)
+        most = max(counts.values(), default=0)
+        if most >= 3 and (4 * most > len(unit.words) or max(Counter(zip(unit.keys, unit.keys[1:])).values()) > 1):
+            return True
+        if most == 2 and _length(unit.words) <= SHORT and any(n == 2 and w in self.dominant for w, n in counts.items()):
+            return True
+        if len(unit.words) > SHORT and _ended(unit.text) and len(self.pattern & counts.keys()) > 1:
+            return False  # one of many sentences of one pattern
+        poor = self.poor[POOR if whole else POOR_PARTS]
+        return 2 * sum(poor[k] for k in counts) > sum(self.held[k] for k in counts)
+
+    def _sentence(self, unit: _Unit) -> bool:
+        short = sum(n < CLAUSE_WORDS for _, n in unit.clauses)
+        length, begins, ended = _length(unit.words), _begins(unit.text), _ended(unit.text)
+        if short > SHORT_CLAUSES or short == len(unit.clauses) or length < CLAUSE_WORDS or self._repeats(unit, begins and ended):
+            return False
+        if begins and ended:
+            return True
+        if length < UNIT_WORDS or short > 1:
+            return False
+        if ended:
+            return short == 0 or len(unit.clauses) <= 2 or length > 2 * CLAUSE_WORDS
+        if any(map(_sign, unit.words)):  # no capitals tell
+            return short == 0 and len(unit.clauses) > 1
+        capitals = sum(w[:1].isupper() for w in unit.text.split())
+        return begins and 2 * capitals <= len(unit.text.split())
+
+    def _list(self, unit: _Unit) -> None:
+        if _damaged(unit.text, unit.words):
+            return  # no list
+        short = sum(n < CLAUSE_WORDS for _, n in unit.clauses)
+        chars, (first, words) = unit.chars, unit.clauses[0]
+        if short > SHORT_CLAUSES and words >= CLAUSE_WORDS and _begins(unit.text):
+            chars -= first  # a sentence in front of a list
+        around = any(unit.keys.count(w) > 1 for w in self.dominant)
+        items = max(1 + around, short, int(_length(unit.words)) // 4)
+        self._spam(_shape(unit.text, _length(unit.words), len(unit.clauses), False, unit.marks > 0, unit.codes > 0), chars, items, unit.codes > 0)
+
+    @property
+    def stuffed(self) -> bool:
+        return sum(self.by_shape.values()) > SHARE * self.total and (self.items >= MIN_ITEMS or self.sure > SHARE * self.total)
 
 
-def _flagged(total: int, by_shape: dict[str, int], items: int, sure: int) -> bool:
-    return sum(by_shape.values()) > SHARE * total and (items >= MIN_ITEMS or sure > SHARE * total)
+def shapes(text: str) -> tuple[int, dict[str, int], int]:
+    """(characters, characters by non-sentence shape, number of non-sentence units)."""
+    page = _Page(text)
+    return page.total, page.by_shape, page.items
 
 
 def is_stuffed(text: str | None) -> bool:
-    return bool(text) and _flagged(*_summed(text))
+    return bool(text) and _Page(text).stuffed
 
 
 _RESULT = "struct<chars: int, list_chars: int, lists: int, stuffed: boolean>"
@@ -247,12 +282,11 @@ _RESULT = "struct<chars: int, list_chars: int, lists: int, stuffed: boolean>"
 def _judge(texts: pa.Array) -> pa.Array:
     chars, listed, lists, stuffed = [], [], [], []
     for text in texts.to_pylist():
-        total, by_shape, items, sure = _summed(text) if text else (0, {}, 0, 0)
-        top = sum(sorted(by_shape.values(), reverse=True)[:TOP_SHAPES])
-        chars.append(total)
-        listed.append(top)
-        lists.append(items)
-        stuffed.append(_flagged(total, by_shape, items, sure))
+        page = _Page(text or "")
+        chars.append(page.total)
+        listed.append(sum(sorted(page.by_shape.values(), reverse=True)[:TOP_SHAPES]))
+        lists.append(page.items)
+        stuffed.append(page.stuffed)
     whole = [pa.array(x, pa.int32()) for x in (chars, listed, lists)]
     return pa.StructArray.from_arrays([*whole, pa.array(stuffed, pa.bool_())], names=["chars", "list_chars", "lists", "stuffed"])
 
