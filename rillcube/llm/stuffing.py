@@ -47,6 +47,7 @@ _MARK = re.compile(r"<\w+>|(?<!\w)#\w")
 _SEPARATOR = re.compile(r"[,;:|>»·•*#=，、；：/\\]+|\s[-–]\s|<\w*>?")
 _SPACE = re.compile(r"[\u00a0\u2000-\u200b\u202f\u3000\r]")
 _WIDE = re.compile(r"\s{2,}|\t")
+_WIDE_GAP = re.compile(r"[^\S\n]{2}|\t")
 _WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
 _LABEL = re.compile(r"[^\W\d_]+: (?=\S)")
 _CLOSING, _ENDS = "\"”“»«’')]」』", (".", "!", "?", "…", "。", "！", "？")
@@ -63,7 +64,7 @@ def _sign(word: str) -> bool:
 
 def _length(words: list[str]) -> float:
     """Words; two Chinese signs count as one."""
-    return len(words) - sum(map(_sign, words)) / 2
+    return len(words) - sum(map(_sign, words)) / 2 if words and max(words) >= "㐀" else len(words)
 
 
 @dataclass(slots=True)
@@ -71,7 +72,8 @@ class _Unit:
     text: str
     chars: int
     words: list[str]
-    clauses: list[tuple[int, float]]  # characters, length
+    length: float
+    clauses: list[tuple[int, float, str]]  # characters, length, last word
     codes: int
     marks: int
     keys: list[str]
@@ -125,6 +127,8 @@ class _Page:
         self.by_shape: dict[str, int] = defaultdict(int)
         self.units: list[_Unit] = []
         text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text)
+        # what a text does not have anywhere need not be looked for in its lines
+        self.has_links, self.has_codes, self.has_marks, self.has_wide = (p.search(text) is not None for p in (_LINK, _CODE, _MARK, _WIDE_GAP))
         for line in text.split("\n"):
             line = line.strip()
             if line:
@@ -142,7 +146,7 @@ class _Page:
         self.sure += chars if certain else 0
 
     def _line(self, line: str) -> None:
-        links = _LINK.findall(line)
+        links = _LINK.findall(line) if self.has_links else []
         if links:
             rest = _LINK.sub(" ", line)
             beside = _length(_words(rest))
@@ -152,7 +156,7 @@ class _Page:
                 return
             self._spam("L", len(line) - len(rest), len(links), True)
             line = rest.strip()
-        if len(_WIDE.findall(line)) >= 2:
+        if self.has_wide and len(_WIDE.findall(line)) >= 2:
             parts = [p for p in _WIDE.split(line) if p]
             small = sum(not p[:1].isupper() for p in parts) / len(parts)
             if small >= (0.5 if _END.search(line) else 0.6):
@@ -173,38 +177,40 @@ class _Page:
             label = _LABEL.match(unit)
             if label and _ended(unit) and _length(_words(unit[label.end() :])) >= UNIT_WORDS:
                 unit = unit[label.end() :]  # who speaks, or what a sentence is about
-            codes, marks = len(_CODE.findall(unit)), len(_MARK.findall(unit))
-            words = _words(_CODE.sub(" ", unit) if codes else unit)
+            codes = len(_CODE.findall(unit)) if self.has_codes else 0
+            marks = len(_MARK.findall(unit)) if self.has_marks else 0
             cut = [c for c in _SEPARATOR.split(unit) if c and not c.isspace()]
-            clauses = [(len(unit), _length(words))] if len(cut) == 1 else [(len(c), _length(_words(c))) for c in cut]
+            found = [_words(c) for c in cut]
+            words = _words(_CODE.sub(" ", unit)) if codes else found[0] if len(found) == 1 else [w for f in found for w in f]
+            length = _length(words)
             if not words or marks >= 2 or codes >= 2:
                 if words or len(unit) > 2:
                     certain = bool(codes or marks >= 2)
-                    self._spam(_shape(unit, _length(words), len(cut), False, marks > 0, codes > 0), len(text), max(1, marks, codes), certain)
+                    self._spam(_shape(unit, length, len(cut), False, marks > 0, codes > 0), len(text), max(1, marks, codes), certain)
                 continue
-            self.units.append(_Unit(unit, len(text), words, clauses, codes, marks, []))
+            clauses = [(len(unit) if len(cut) == 1 else len(c), _length(f), f[-1] if f else "") for c, f in zip(cut, found)]
+            self.units.append(_Unit(unit, len(text), words, length, clauses, codes, marks, []))
 
     def _weigh_words(self) -> None:
         """The units' keywords, the words that dominate the page, and the share of each word that stands in poor stretches."""
         ends: Counter[str] = Counter()
         counts: Counter[str] = Counter()
-        places: dict[str, Counter[int]] = defaultdict(Counter)
         for unit in self.units:
             counts.update(unit.words)
-            for place, word in enumerate(unit.words):
-                places[word][place] += 1
-            if len(unit.clauses) == 1:
-                ends[unit.words[-1]] += 1
-            else:
-                ends.update(w[-1] for c in _SEPARATOR.split(unit.text) if (w := _words(c)))
+            ends.update(last for _, _, last in unit.clauses)
         # a short word is a keyword only if clauses end with it now and then, as they do not with an article or a preposition
         keyword = {w for w, n in counts.items() if len(w) > 3 or (len(w) > 1 and ends[w] > 1 and 8 * ends[w] >= n)}
-        pattern = {w for w in keyword if counts[w] >= PATTERN_TIMES and max(places[w].values()) >= PATTERN_SHARE * counts[w]}
+        often = {w for w in keyword if counts[w] >= PATTERN_TIMES}
+        places: Counter[tuple[str, int]] = Counter()
+        if often:
+            for unit in self.units:
+                places.update((w, place) for place, w in enumerate(unit.words) if w in often)
+        pattern = {w for (w, _), n in places.items() if n >= PATTERN_SHARE * counts[w]}
         flow: list[str] = []
         seen: set[str] = set()
         for unit in self.units:
             unit.keys = [w for w in unit.words if w in keyword]
-            if any(map(_sign, unit.words)):
+            if unit.length < len(unit.words):
                 unit.keys += [a + b for a, b in zip(unit.words, unit.words[1:]) if _sign(a) and _sign(b)]
             if unit.text not in seen:  # a sentence that is repeated as a whole says nothing of its words
                 flow += [k for k in unit.keys if k not in pattern]
@@ -223,20 +229,22 @@ class _Page:
 
     def _repeats(self, unit: _Unit, whole: bool) -> bool:
         """Whether a unit is built around words that keep coming back; ``whole`` if it has a capital and an end mark."""
+        if not unit.keys:
+            return False
         counts = Counter(unit.keys)
-        most = max(counts.values(), default=0)
+        most = len(unit.keys) - len(counts) and max(counts.values())  # 0 if none is there twice
         if most >= 3 and (4 * most > len(unit.words) or max(Counter(zip(unit.keys, unit.keys[1:])).values()) > 1):
             return True
-        if most == 2 and _length(unit.words) <= SHORT and any(n == 2 and w in self.dominant for w, n in counts.items()):
+        if most == 2 and unit.length <= SHORT and any(n == 2 and w in self.dominant for w, n in counts.items()):
             return True
         if len(unit.words) > SHORT and _ended(unit.text) and len(self.pattern & counts.keys()) > 1:
             return False  # one of many sentences of one pattern
         poor = self.poor[POOR if whole else POOR_PARTS]
-        return 2 * sum(poor[k] for k in counts) > sum(self.held[k] for k in counts)
+        return bool(poor) and 2 * sum(poor[k] for k in counts) > sum(self.held[k] for k in counts)
 
     def _sentence(self, unit: _Unit) -> bool:
-        short = sum(n < CLAUSE_WORDS for _, n in unit.clauses)
-        length, begins, ended = _length(unit.words), _begins(unit.text), _ended(unit.text)
+        short = sum(n < CLAUSE_WORDS for _, n, _ in unit.clauses)
+        length, begins, ended = unit.length, _begins(unit.text), _ended(unit.text)
         if short > SHORT_CLAUSES or short == len(unit.clauses) or length < CLAUSE_WORDS or self._repeats(unit, begins and ended):
             return False
         if begins and ended:
@@ -245,7 +253,7 @@ class _Page:
             return False
         if ended:
             return short == 0 or len(unit.clauses) <= 2 or length > 2 * CLAUSE_WORDS
-        if any(map(_sign, unit.words)):  # no capitals tell
+        if length < len(unit.words):  # Chinese has no capitals
             return short == 0 and len(unit.clauses) > 1
         capitals = sum(w[:1].isupper() for w in unit.text.split())
         return begins and 2 * capitals <= len(unit.text.split())
@@ -253,13 +261,13 @@ class _Page:
     def _list(self, unit: _Unit) -> None:
         if _damaged(unit.text, unit.words):
             return  # no list
-        short = sum(n < CLAUSE_WORDS for _, n in unit.clauses)
-        chars, (first, words) = unit.chars, unit.clauses[0]
+        short = sum(n < CLAUSE_WORDS for _, n, _ in unit.clauses)
+        chars, (first, words, _) = unit.chars, unit.clauses[0]
         if short > SHORT_CLAUSES and words >= CLAUSE_WORDS and _begins(unit.text):
             chars -= first  # a sentence in front of a list
         around = any(unit.keys.count(w) > 1 for w in self.dominant)
-        items = max(1 + around, short, int(_length(unit.words)) // 4)
-        self._spam(_shape(unit.text, _length(unit.words), len(unit.clauses), False, unit.marks > 0, unit.codes > 0), chars, items, unit.codes > 0)
+        items = max(1 + around, short, int(unit.length) // 4)
+        self._spam(_shape(unit.text, unit.length, len(unit.clauses), False, unit.marks > 0, unit.codes > 0), chars, items, unit.codes > 0)
 
     @property
     def stuffed(self) -> bool:
