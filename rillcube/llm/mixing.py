@@ -2,7 +2,8 @@
 
 Every record gets a hash of its id.  Sizes are summed by source and the hash's first ten bits; the budget of a source
 then falls into one bucket of its histogram, only that bucket is split by the next ten bits, and so on until what is
-left undecided is below ``tolerance`` of the budget.  Records below the threshold are taken.  That is a filter: nothing is
+left undecided is below ``tolerance`` of the budget.  Records below the threshold are taken, so a source stays below its
+budget by less than the one record on the boundary or the tolerance.  That is a filter: nothing is
 sorted or shuffled, and a larger budget keeps all records of a smaller one.  Whole repeats come before: a source whose
 budget is 2.4 times its size gives each record twice and the records below the threshold of 0.4 once more.
 
@@ -118,13 +119,16 @@ def take(records: DataFrame, plans: list[Plan]) -> DataFrame:
 
 
 def shares(taken: DataFrame, plans: list[Plan]) -> DataFrame:
-    """Per target source: ``source, target_share, actual_share, size, records, mean_repeats``."""
+    """Per target source: ``source, target_share, wanted_share, actual_share, size, records, mean_repeats``; the wanted share is the target's among the
+    sources that have records."""
     spark = taken.sparkSession
-    wanted = spark.createDataFrame([(p.source, p.target_share, p.size) for p in plans], "source string, target_share double, available bigint")
+    present = sum(p.target_share for p in plans if p.size > 0) or 1.0
+    rows = [(p.source, p.target_share, p.target_share / present if p.size > 0 else 0.0, p.size) for p in plans]
+    wanted = spark.createDataFrame(rows, "source string, target_share double, wanted_share double, available bigint")
     got = taken.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.sum("copies").alias("records"))
     whole = got.agg(F.sum("size").alias("w"))
-    joined = wanted.join(got, F.col("source") == F.col("s"), "left").select("source", "target_share", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("records", F.lit(0)).alias("records"), "available")
+    joined = wanted.join(got, F.col("source") == F.col("s"), "left").select("source", "target_share", "wanted_share", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("records", F.lit(0)).alias("records"), "available")
     return joined.select(
-        "source", "target_share", F.coalesce(F.try_divide(F.col("size").cast("double"), whole.scalar()), F.lit(0.0)).alias("actual_share"), "size", "records",
+        "source", "target_share", "wanted_share", F.coalesce(F.try_divide(F.col("size").cast("double"), whole.scalar()), F.lit(0.0)).alias("actual_share"), "size", "records",
         F.coalesce(F.try_divide(F.col("size").cast("double"), F.col("available")), F.lit(0.0)).alias("mean_repeats"),
     )
