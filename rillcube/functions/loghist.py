@@ -22,6 +22,8 @@ from rillcube.operators.weighted import at_place, percentiles, value_counts
 TOP = 2**31 - 1
 _WRAP = 2**27
 DYADIC_BITS = 32
+#: A lazy summary holds raw values up to so many.
+LAZY_LIMIT = 300
 
 
 @lru_cache(maxsize=64)
@@ -57,7 +59,12 @@ def bucket_of(value: Column, n: int) -> Column:
 
 def histogram(df: DataFrame, keys: Sequence[str], value: Column, n: int, name: str = "histogram") -> DataFrame:
     """Per key, the array of n counts.  Equal buckets combine before the shuffle; a group then has n rows at most."""
-    cells = df.select(*[F.col(f"`{k}`") for k in keys], bucket_of(value.cast("long"), n).alias("__b")).groupBy(*keys, "__b").agg(F.count("__b").alias("__n"))
+    return _gathered(df.select(*[F.col(f"`{k}`") for k in keys], bucket_of(value.cast("long"), n).alias("__b"), F.lit(1).cast("long").alias("__one")), keys, n, name)
+
+
+def _gathered(cells: DataFrame, keys: Sequence[str], n: int, name: str) -> DataFrame:
+    """Per key the array of n sums of ``__one`` by bucket ``__b``; a null bucket is of none."""
+    cells = cells.groupBy(*keys, "__b").agg(F.coalesce(F.sum(F.when(F.col("__b").isNotNull(), F.col("__one"))), F.lit(0).cast("long")).alias("__n"))
     held = F.map_from_entries(F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__n"))))
     grouped = cells.groupBy(*keys).agg(held.alias("__m"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0).cast("long")))
@@ -103,6 +110,42 @@ def quantile(hist: Column, n: int, q: float) -> Column:
     return F.when(population(hist) > 0, F.get(middles, F.aggregate(hist, start, step)["at"]))
 
 
+def lazy_summary(df: DataFrame, keys: Sequence[str], value: Column, n: int, limit: int = LAZY_LIMIT) -> DataFrame:
+    """Per key ``values`` (the sorted raw values) while there are at most ``limit``, else ``histogram`` (n buckets); the other one is null.
+
+    No key's list grows beyond the limit: ranks are cut before the shuffle.
+    """
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], value.cast("long").alias("value"))
+    whole = histogram(rows, keys, F.col("value"), n).select(*[F.col(f"`{k}`").alias(f"h_{k}") for k in keys], "histogram")
+    order = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy("value")
+    few = rows.where("value is not null").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit + 1)
+    lists = few.groupBy(*[F.col(f"`{k}`").alias(f"l_{k}") for k in keys]).agg(F.array_sort(F.collect_list("value")).alias("values"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"`h_{k}`").eqNullSafe(F.col(f"`l_{k}`"))
+    values = F.coalesce("values", F.array().cast("array<bigint>"))
+    lazy = F.size(values) <= limit
+    return whole.join(lists, same, "left").select(*[F.col(f"`h_{k}`").alias(k) for k in keys], F.when(lazy, values).alias("values"), F.when(~lazy, F.col("histogram")).alias("histogram"))
+
+
+def lazy_merged(summaries: DataFrame, keys: Sequence[str], n: int, limit: int = LAZY_LIMIT) -> DataFrame:
+    """Lazy summaries under equal keys as one: a list while all that is merged are lists of at most ``limit`` values together, else a histogram."""
+    named = [F.col(f"`{k}`") for k in keys]
+    size = F.coalesce(F.size("values").cast("long"), F.lit(limit + 1).cast("long"))
+    held = summaries.withColumn("__fits", F.sum(size).over(Window.partitionBy(*named)) <= limit)
+    lists = held.where("__fits").groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("values"))).alias("values"))
+    bars = F.transform("histogram", lambda x, i: F.struct(i.alias("b"), x.alias("n")))
+    raw = F.transform("values", lambda v: F.struct(bucket_of(v, n).alias("b"), F.lit(1).cast("long").alias("n")))
+    cells = held.where("not __fits").select(*named, F.explode(F.coalesce(bars, raw)).alias("__c")).select(*named, F.col("__c.b").alias("__b"), F.col("__c.n").alias("__one"))
+    return lists.withColumn("histogram", F.lit(None).cast("array<bigint>")).unionByName(_gathered(cells, keys, n, "histogram").withColumn("values", F.lit(None).cast("array<bigint>")))
+
+
+def lazy_quantile(values: Column, hist: Column, n: int, q: float) -> Column:
+    """Exact of a list (the value at place ``int(count * q)``), else the middle of the histogram's bucket."""
+    place = F.least(F.floor(F.size(values) * F.lit(q)).cast("int"), F.size(values) - 1)
+    return F.when(values.isNotNull(), F.get(values, place)).otherwise(quantile(hist, n, q).cast("long"))
+
+
 def sample_quantile(df: DataFrame, keys: Sequence[str], value: Column, q: float, name: str = "quantile") -> DataFrame:
     """Exact: of n sorted values the one at place ``int(n * q)``, from 0; by weighted values, never a group's list."""
     counts = value_counts(df, {k: F.col(f"`{k}`") for k in keys}, value)

@@ -112,7 +112,10 @@ def _integers(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _doubles(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     sound = pc.match_substring_regex(text, r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     given = pc.if_else(sound, text, pa.scalar(None, pa.string()))
-    values = np.array([float(x) if x is not None else np.nan for x in given.to_pylist()], dtype=np.float64)
+    try:
+        values = pc.fill_null(pc.cast(pc.replace_substring_regex(given, r"^\+", ""), pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # a number beyond the range of doubles is among them
+        values = np.array([float(x) if x is not None else np.nan for x in given.to_pylist()], dtype=np.float64)
     finite = np.isfinite(values)
     return pa.array(values, mask=~finite), finite
 

@@ -100,7 +100,23 @@ _D = r'''[ \t]*"?([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"?[ \t]*
 _TYPED = ",".join({"I": _I, "D": _D, "S": _FIELD}[t] for t in records.ACCESS_LOG.types)
 _INTEGERS = [1, *range(3, 10)]  # the groups of _TYPED that are integers; the second is the double
 
+
+
+def _typed_sql() -> str:
+    """The valid records by one match with a group for each field."""
+    form = records.ACCESS_LOG
+    names = [f"f{i}" for i in range(len(form.types))]
+    whole = ",".join({"I": _I, "D": _D, "S": r'[ \t]*("(?:[^"\\]|\\["\\n])*"|(?:[^ \t",][^",]*)?)[ \t]*'}[t] for t in form.types)
+    plain = lambda f: f"replace(replace(replace(replace(x.{f}[2:length(x.{f}) - 1], '\\\\', chr(1)), '\\\"', '\"'), '\\n', chr(10)), chr(1), '\\')"
+    typed = {"I": lambda f: f"try_cast(x.{f} AS INTEGER)", "D": lambda f: f"try_cast(x.{f} AS DOUBLE)", "S": lambda f: f"CASE WHEN x.{f} LIKE '\"%' THEN {plain(f)} ELSE rtrim(x.{f}, ' ' || chr(9)) END"}
+    columns = ", ".join(f'{typed[t](f)} AS "{n}"' for t, f, n in zip(form.types, names, form.names))
+    sound = " AND ".join(f'"{n}" IS NOT NULL' for t, n in zip(form.types, form.names) if t != "S") + f' AND isfinite("{form.names[1]}")'
+    return f"""WITH m AS (SELECT tuple_id, regexp_extract(s_val, '(?s)^{whole}$', {names!r}) AS x FROM csv_elements WHERE regexp_full_match(s_val, '(?s){whole}')),
+        t AS (SELECT tuple_id, {columns} FROM m) SELECT * FROM t WHERE {sound}"""
+
+
 SQL = {
+    "p1_typed_rows": _typed_sql(),
     "p1_found": f"""
         WITH j AS (SELECT tuple_id, CASE
             WHEN s_val IS NULL OR trim(s_val, ' ' || chr(9)) = '' THEN 'column_count'

@@ -329,6 +329,18 @@ def window_limit(spark, d):
     return filters.window_limit(rows, "hour", "cents", 3, ["event_id"])
 
 
+@query(f"""WITH {_E}, w AS (SELECT t // 3600 * 3600 AS hour, event_id, cents, row_number() OVER (PARTITION BY t // 3600 * 3600 ORDER BY cents DESC, event_id) AS r FROM e), l(bound) AS (VALUES {", ".join(f"({b})" for b in filters.coarser_limits(6, 3))})
+        SELECT bound, hour, count(*) AS kept, (SELECT max(x.cents) FROM w x WHERE x.hour = w.hour AND x.r = bound + 1) AS error_bound FROM w, l WHERE r <= bound GROUP BY bound, hour""")
+def window_limit_ladder(spark, d):
+    """What the steps of a ladder of window limits keep of each hour, and the largest value each cuts."""
+    rows, out = events(spark, d).select((F.col("t") - F.col("t") % 3600).alias("hour"), "event_id", "cents"), None
+    for bound in filters.coarser_limits(6, 3):
+        kept_rows = filters.window_limit(rows, "hour", "cents", bound, ["event_id"])
+        one = kept_rows.groupBy("hour").agg(F.count(F.lit(1)).alias("kept"), F.max("error_bound").alias("error_bound")).withColumn("bound", F.lit(bound))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # sampling
 
 _PLACE = "(user_id % 4294967296 * 2654435761) % 4294967296"
@@ -389,6 +401,14 @@ def loghist_merge_coarsen(spark, d):
     return _exploded(fine.select("event_type", loghist.degrade(F.col("histogram"), 100, 30).alias("histogram")), ["event_type"])
 
 
+@query(f"""WITH {_E}, {_hist_sql(100, 'event_type', 'cents', 'e')}, s50(b, s) AS (VALUES {", ".join(f"({i}, {s})" for i, s in enumerate(_STARTS[50]))}),
+        m AS (SELECT h.event_type, (SELECT max(x.b) FROM s50 x, s100 y WHERE y.b = h.b AND x.s <= y.s) AS b, h.n FROM h100 h) SELECT event_type, b::INTEGER AS bucket, sum(n)::BIGINT AS n FROM m GROUP BY 1, 2""")
+def loghist_degrade_ratio(spark, d):
+    """Histograms cut to the half that a link can carry."""
+    fine = _type_hist(spark, d, 100)
+    return _exploded(fine.select("event_type", loghist.degrade_to(F.col("histogram"), 100, 0.5).alias("histogram")), ["event_type"])
+
+
 _BOUNDS100 = ", ".join(f"({i}, {(a + b) // 2})" for i, (a, b) in enumerate(loghist.bounds(100)))
 
 
@@ -401,6 +421,19 @@ def loghist_quantile(spark, d):
     return h.select("event_type", loghist.quantile(F.col("histogram"), 100, 0.95).alias("p95"), loghist.population(F.col("histogram")).alias("population"))
 
 
+@query(f"""WITH {_E}, k AS (SELECT 'hour' AS level, t // 3600 AS period, cents FROM e UNION ALL SELECT 'month', 0, cents FROM e), n AS (SELECT level, period, count(*) AS n FROM k GROUP BY 1, 2),
+        x AS (SELECT level, period, cents, row_number() OVER (PARTITION BY level, period ORDER BY cents) AS r, count(*) OVER (PARTITION BY level, period) AS n FROM k), {_hist_sql(100, 'level, period', 'cents', 'k')}, m(b, mid) AS (VALUES {_BOUNDS100}),
+        c AS (SELECT level, period, b, sum(n) OVER (PARTITION BY level, period ORDER BY b) AS cum, sum(n) OVER (PARTITION BY level, period) AS total FROM h100), f AS (SELECT level, period, min(b) AS b FROM c WHERE cum >= total * 0.5 GROUP BY 1, 2)
+        SELECT level, period, false AS raw, mid::BIGINT AS median FROM f JOIN m USING (b) JOIN n USING (level, period) WHERE n.n > 300
+        UNION ALL SELECT level, period, true, cents FROM x WHERE n <= 300 AND r = least(floor(n * 0.5)::BIGINT + 1, n)""")
+def lazy_summaries(spark, d):
+    """Summaries of hours, which stay lists of raw values while they are small, and of all hours merged, which is a histogram."""
+    hours = loghist.lazy_summary(events(spark, d).withColumn("period", F.floor(F.col("t") / 3600)), ["period"], F.col("cents"), 100)
+    whole = loghist.lazy_merged(hours.withColumn("period", F.lit(0).cast("long")), ["period"], 100)
+    both = hours.select(F.lit("hour").alias("level"), "*").unionByName(whole.select(F.lit("month").alias("level"), "*"))
+    return both.select("level", "period", F.col("values").isNotNull().alias("raw"), loghist.lazy_quantile(F.col("values"), F.col("histogram"), 100, 0.5).alias("median"))
+
+
 @query(f"WITH {_E}, {_hist_sql(50, 'event_type', 'cents', 'e')} SELECT '0' AS event_type, b::INTEGER AS bucket, sum(n)::BIGINT AS n FROM h50 GROUP BY 2")
 def loghist_cube_rollup(spark, d):
     """A histogram aggregate of a cube, rolled up over all its cells."""

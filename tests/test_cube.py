@@ -246,3 +246,20 @@ def test_log_histograms(spark):
     a = loghist.bottom_k(values.where("v < 500"), [], F.col("v"), 20, F.col("v"))
     b = loghist.bottom_k(values.where("v >= 500"), [], F.col("v"), 20, F.col("v"))
     assert rows(loghist.smallest(a.unionByName(b), [], 20)) == rows(loghist.bottom_k(values, [], F.col("v"), 20, F.col("v")))
+
+
+def test_lazy_summaries(spark):
+    df = spark.createDataFrame([(k, v) for k, n in (("a", 3), ("b", 5), (None, 2)) for v in range(n)] + [("a", None), ("empty", None)], "k string, v int")
+    lazy = loghist.lazy_summary(df, ["k"], F.col("v"), 30, limit=4)
+    got = {r["k"]: (r["values"], r["histogram"]) for r in lazy.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": [0, 1, 2], "b": None, None: [0, 1], "empty": []} and sum(got["b"][1]) == 5
+    one = lambda rows_, limit: loghist.lazy_merged(rows_.withColumn("k", F.lit("all")), ["k"], 30, limit).first()
+    assert one(lazy, 100)["values"] is None and sum(one(lazy, 100)["histogram"]) == 10  # a histogram stays one
+    assert one(lazy.where("k = 'a' or k is null"), 5)["values"] == [0, 0, 1, 1, 2]
+    assert sum(one(lazy.where("k = 'a' or k is null"), 4)["histogram"]) == 5
+
+
+def test_dyadic_cover():
+    for low, high in ((0, 0), (3, 17), (5, 1000), (0, 2**32 - 1)):
+        spans = [(int(n) << int(b), (int(n) + 1) << int(b)) for b, n in (i.split(":") for i in loghist.dyadic_cover(low, high))]
+        assert spans[0][0] == low and spans[-1][1] == high + 1 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and len(spans) <= 6 * 17
