@@ -60,28 +60,27 @@ def p3_log_entries(spark: SparkSession, d: str) -> DataFrame:
     return logs.log_entries(load(spark, d, "log_elements"))
 
 
+def _corrected(spark: SparkSession, d: str) -> lateness.CorrectedPeriods:
+    rows = load(spark, d, "web_requests").select("tuple_id", "site", "time", "arrival_time", "count", "avg_size_sum")
+    return lateness.corrected_periods(rows, F.coalesce("count", F.lit(1)), F.col("avg_size_sum"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "web_requests").select("tuple_id", "site", "time", "arrival_time")
-    _, beyond = lateness.split_late(rows)
-    return beyond.select("tuple_id")
+    """The rows that come too late to correct their period."""
+    return _corrected(spark, d).beyond.select("tuple_id")
 
 
 def p6_period_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Totals per period over all rows as delivered, repeats included, as the order of arrival of p6_found has them."""
-    rows = load(spark, d, "web_requests").select("tuple_id", "site", "time", "arrival_time", "count", "avg_size_sum")
-    in_time, _ = lateness.split_late(rows)
-    state = lateness.period_multiset(in_time, F.coalesce("count", F.lit(1)), F.col("avg_size_sum"))
-    return lateness.period_results(state, [0.5]).select("period", "rows", F.col("total").alias("size_total"), "distinct_values", "min_value", "max_value", "p50")
+    """Totals per period, as late rows have corrected them, over all rows as delivered, repeats included, as the order of arrival of p6_found has them."""
+    results = lateness.period_results(_corrected(spark, d).corrected, [0.5])
+    return results.select("period", "rows", F.col("total").alias("size_total"), "distinct_values", "min_value", "max_value", "p50")
 
 
 def p6_corrected_totals(spark: SparkSession, d: str) -> DataFrame:
     """Period totals and medians from the rows that came before their period's end, and after those that came later, within the cut-off, corrected them."""
-    rows = load(spark, d, "web_requests").select("tuple_id", "site", "time", "arrival_time", "count", "avg_size_sum")
-    in_time, _ = lateness.split_late(rows)
-    late = F.unix_micros("arrival_time") >= (lateness.period_start(F.col("time")) + lateness.PERIOD) * 1_000_000
-    state, delta = (lateness.period_multiset(part, F.coalesce("count", F.lit(1)), F.col("avg_size_sum")) for part in (in_time.where(~late), in_time.where(late)))
-    before = lateness.period_results(state, [0.5]).select("period", F.col("rows").alias("rows_before"), F.col("total").alias("size_before"), F.col("p50").alias("p50_before"))
-    after = lateness.period_results(lateness.adjust(state, delta), [0.5]).select("period", "rows", F.col("total").alias("size_total"), "p50")
+    found = _corrected(spark, d)
+    before = lateness.period_results(found.early, [0.5]).select("period", F.col("rows").alias("rows_before"), F.col("total").alias("size_before"), F.col("p50").alias("p50_before"))
+    after = lateness.period_results(found.corrected, [0.5]).select("period", "rows", F.col("total").alias("size_total"), "p50")
     return after.join(before, "period", "left")
 
 

@@ -3,8 +3,10 @@
 import datetime as dt
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rillcube.operators import lateness
 
 
 def test_late_rows_correct_totals_and_medians(spark, tmp_path):
@@ -28,3 +30,10 @@ def test_late_rows_correct_totals_and_medians(spark, tmp_path):
         (zero + 300, None, None, None, 1, 1, 4),
         (zero + 1800, 1, 1, 3, 1, 1, 3),
     ]
+
+
+def test_corrections_are_an_adjustment(spark, data):
+    df = spark.read.parquet(f"{data}/web_requests.parquet")
+    found = lateness.corrected_periods(df, F.coalesce("count", F.lit(1)), F.coalesce("avg_size_sum", F.lit(0)))
+    assert rows(lateness.adjust(found.early, found.late)) == rows(found.corrected)
+    assert found.late.count() > 0
