@@ -99,6 +99,17 @@ class CorrectedPeriods:
         both = F.when(F.col("s_early").isNull() & F.col("s_late").isNull(), None).otherwise(F.coalesce("s_early", F.lit(0)) + F.coalesce("s_late", F.lit(0)))
         return self._state(F.col("n_early") + F.col("n_late"), both)
 
+    def results(self, probabilities: Sequence[float] = (0.5,)) -> DataFrame:
+        """``period_results`` of the corrected state, and those before the corrections with the suffix ``_before``, from one pass over the counts."""
+        total = F.when(F.col("s_early").isNull() & F.col("s_late").isNull(), None).otherwise(F.coalesce("s_early", F.lit(0)) + F.coalesce("s_late", F.lit(0)))
+        two = F.array(F.struct(F.lit(False).alias("corrected"), F.col("n_early").alias("n"), F.col("s_early").alias("s_total")), F.struct(F.lit(True).alias("corrected"), (F.col("n_early") + F.col("n_late")).alias("n"), total.alias("s_total")))
+        states = self.counts.select("k_period", "value", F.explode(two).alias("two")).where("two.n <> 0")
+        found = period_results(states.select(F.struct(F.col("k_period").alias("at"), "two.corrected").alias("k_period"), "value", "two.n", "two.s_total"), probabilities)
+        names = [c for c in found.columns if c != "period"]
+        of = lambda c, after: F.max(F.when(F.col("period.corrected") == after, F.col(c)))
+        wide = found.groupBy(F.col("period.at").alias("at")).agg(*[of(c, True).alias(c) for c in names], *[of(c, False).alias(f"{c}_before") for c in names])
+        return wide.withColumnRenamed("at", "period")
+
 
 def corrected_periods(df: DataFrame, value: Column, weight: Column, source: str = "site", time: str = "time", arrival: str = "arrival_time", tie: str = "tuple_id", period: int = PERIOD, lateness: int = LATENESS) -> CorrectedPeriods:
     """Multiset states per period, what late rows change in them, and the rows beyond the cut-off, all from one pass; only what is asked for is computed."""

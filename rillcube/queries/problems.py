@@ -78,10 +78,8 @@ def p6_period_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_corrected_totals(spark: SparkSession, d: str) -> DataFrame:
     """Period totals and medians from the rows that came before their period's end, and after those that came later, within the cut-off, corrected them."""
-    found = _corrected(spark, d)
-    before = lateness.period_results(found.early, [0.5]).select("period", F.col("rows").alias("rows_before"), F.col("total").alias("size_before"), F.col("p50").alias("p50_before"))
-    after = lateness.period_results(found.corrected, [0.5]).select("period", "rows", F.col("total").alias("size_total"), "p50")
-    return after.join(before, "period", "left")
+    results = _corrected(spark, d).results([0.5])
+    return results.select("period", "rows", F.col("total").alias("size_total"), "p50", "rows_before", F.col("total_before").alias("size_before"), "p50_before")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_typed_rows, p1_rejected_rows, p2_found, p2_url_totals, p2_count_median, p3_found, p3_log_entries, p6_found, p6_period_totals, p6_corrected_totals)}
