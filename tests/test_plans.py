@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -132,6 +134,7 @@ def test_streams(spark, tmp_path):
     source.mkdir()
     for i in range(3):
         (source / f"{i}.txt").write_text("".join(f"{i * 100 + j}\n" for j in range(0, 100, 10)))
+        os.utime(source / f"{i}.txt", (1000 + i, 1000 + i))  # files are read in this order
     stream = files.text_stream(spark, str(source)).select(F.timestamp_seconds(F.col("line").cast("long")).alias("ts"))
     out = windows.windowed_stream(stream, "ts", "50 seconds", "0 seconds", [], [F.count(F.lit(1)).alias("n")])
     assert sorted(r["n"] for r in windows.run_available(out, str(tmp_path / "c1"), "complete").collect()) == [5] * 6
