@@ -72,9 +72,12 @@ def _with_signatures(lines: DataFrame) -> DataFrame:
     """``lines`` with ``sig``, the shape of the first SHAPE_SYMBOLS symbols.
 
     Most lines show these within their first characters; those that do not are looked at whole, so the result is that of whole lines.
+    Of an indented line, which begins no entry, the first blank is enough.
     """
-    lines = lines.withColumn("sig", _shape(F.substring("text", 1, FIRST_LOOK)))
-    return lines.withColumn("sig", F.when((F.length("sig") >= SHAPE_SYMBOLS) | (F.length("text") <= FIRST_LOOK), F.col("sig")).otherwise(_shape(F.col("text"))))
+    first = F.substring("text", 1, 1)
+    lines = lines.withColumn("sig", F.when(first.isin("", " ", "\t"), F.lit(" ")).otherwise(_shape(F.substring("text", 1, FIRST_LOOK))))
+    seen = (F.length("sig") >= SHAPE_SYMBOLS) | (F.length("text") <= FIRST_LOOK) | F.col("sig").startswith(" ")
+    return lines.withColumn("sig", F.when(seen, F.col("sig")).otherwise(_shape(F.col("text"))))
 
 
 def resolve(sig: Column) -> Column:
@@ -120,24 +123,24 @@ def _level(text: Column) -> Column:
     return out
 
 
-_CLOCK = r"^\s*(\d{4})-(\w{2,3})-(\d\d?)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?\s*(Z|[+-]\d\d:?\d\d)?\s*$"
-
-
 def _with_clock(lines: DataFrame, text: Column) -> DataFrame:
-    """``lines`` with ``clock``, a timestamp text as ``struct<year, month, day, second>``: the year is 0 where none is written, the
-    second counts from the day's begin in UTC.  Null where the text is none."""
-    # one match a text: the parts side by side, then split; the sign at the end is there only if it matched
-    lines = lines.withColumn("flat", F.regexp_replace(text, _CLOCK, "$1|$2|$3|$4|$5|$6|$7|\x02"))
-    lines = lines.withColumn("cut", F.when(F.col("flat").endswith("\x02"), F.split("flat", r"\|")))
-    cut = F.col("cut")
-    month = F.coalesce(cut[1].try_cast("int"), F.floor((F.nullif(F.instr(F.lit(_MONTHS), cut[1]), F.lit(0)) + 2) / 3).cast("int"))
-    second = cut[3].cast("int") * 3600 + cut[4].cast("int") * 60 + cut[5].cast("int")
-    zone = F.replace(cut[6], F.lit(":"), F.lit(""))
-    away = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
-    shift = F.when(zone.startswith("-"), -away).when(zone.startswith("+"), away).otherwise(F.lit(0))
-    sound = (cut[3].cast("int") < 24) & (cut[4].cast("int") < 60) & (cut[5].cast("int") < 61)
-    clock = F.when(sound, F.struct(cut[0].cast("int").alias("year"), month.alias("month"), cut[2].cast("int").alias("day"), (second - shift).alias("second")))
-    return lines.withColumn("clock", clock).drop("flat", "cut")
+    """``lines`` with ``at``, the epoch second of a timestamp text, null where it is none, and ``yearless``, whether it bears no year (0000): it is then read as of 2000, a leap year.
+
+    By places within the text, as a pattern would have to be matched and its groups read; the cast reads clock, zone and fraction.
+    """
+    lines = lines.withColumn("stamp", F.translate(F.trim(text), ",", "."))
+    stamp = F.col("stamp")
+    name = F.substring(stamp, 6, 3)
+    month = F.floor((F.nullif(F.instr(F.lit(_MONTHS), name), F.lit(0)) + 2) / 3).cast("string")
+    lines = lines.withColumn("stamp", F.when(name.rlike("^[A-Z]"), F.concat(F.substring(stamp, 1, 5), F.lpad(month, 2, "0"), F.substring(stamp, 9, 64))).otherwise(stamp))
+    lines = lines.withColumn("yearless", stamp.startswith("0000-"))
+    sign = lambda place: F.substring(stamp, place, 1).isin("+", "-")
+    zoned = stamp.endswith("Z") | sign(-5) | sign(-6)
+    dated = F.concat(F.when(F.col("yearless"), F.concat(F.lit("2000"), F.substring(stamp, 5, 64))).otherwise(stamp), F.when(zoned, F.lit("")).otherwise(F.lit("Z")))
+    # a date alone would be cast too: there has to be a clock of two colons
+    begin = F.substring(stamp, 1, 19)
+    has_clock = F.length(begin) - F.length(F.replace(begin, F.lit(":"), F.lit(""))) == 2
+    return lines.withColumn("at", F.when(has_clock, F.unix_seconds(dated.try_cast("timestamp")))).drop("stamp")
 
 
 def _count(digits: Column) -> Column:
@@ -146,16 +149,15 @@ def _count(digits: Column) -> Column:
     return F.substring(digits, F.lit(1), length - F.when(length > 17, 9).when(length > 14, 6).when(length > 11, 3).otherwise(0)).try_cast("long")
 
 
-def _utc(year: Column, clock: Column) -> Column:
-    """Epoch seconds; null where there is no such day."""
-    return F.unix_seconds(F.try_make_timestamp(year, clock["month"], clock["day"], F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) + clock["second"]
-
-
-def _nearest(clock: Column, near: Column) -> Column:
-    """Of the years around ``near`` the one that brings the clock nearest to it."""
-    around = F.year(F.timestamp_seconds(near))
-    options = [_utc(around + d, clock) for d in (0, -1, 1)]
-    return F.least(*[F.when(o.isNotNull(), F.struct(F.abs(o - near).alias("away"), o.alias("at"))) for o in options])["at"]
+def _nearest(at: Column, near: Column) -> Column:
+    """The second ``at`` of the year 2000 in the year that brings it nearest to ``near``; null if no year around has such a day."""
+    date = lambda second: F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / 86400).cast("int"))  # noqa: E731  (of no time zone)
+    options = []
+    for d in (0, -1, 1):
+        begun = F.try_make_timestamp(F.year(date(near)) + d, F.month(date(at)), F.day(date(at)), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
+        then = F.unix_seconds(begun) + F.pmod(at, F.lit(86400))
+        options.append(F.when(then.isNotNull(), F.struct(F.abs(then - near).alias("away"), then.alias("at"))))
+    return F.least(*options)["at"]
 
 
 def _with_rules(lines: DataFrame) -> DataFrame:
@@ -180,12 +182,9 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     lines = _taken_apart(lines)
     lines = lines.withColumn("digits", F.when(F.col("rule").isin("epoch", "pairs", "object"), F.regexp_extract(F.col("parts")[0], r"^\s*0*(\d{9,19})(?:\.\d+)?\s*$", 1)))
     lines = _with_clock(lines, F.when(F.coalesce("digits", F.lit("")) == "", F.col("parts")[0]))
-    # whether a line is a head does not depend on the year; where none is written, a leap year tells whether there is such a day
-    dated = _utc(F.when(F.col("clock.year") == 0, F.lit(2000)).otherwise(F.col("clock.year")), F.col("clock"))
-    lines = lines.withColumn("known", F.coalesce(_count(F.col("digits")), dated))
+    lines = lines.withColumn("known", F.coalesce(_count(F.col("digits")), F.col("at")))
     is_head = F.col("known").isNotNull()
-    yearless = F.when(F.col("clock.year") == 0, F.col("clock"))
-    entry = F.when(is_head, F.struct("known", yearless.alias("yearless"), _level(F.col("parts")[1]).alias("level"), F.col("parts")[2].alias("component"), F.col("rule").alias("layout")))
+    entry = F.when(is_head, F.struct("known", "yearless", _level(F.col("parts")[1]).alias("level"), F.col("parts")[2].alias("component"), F.col("rule").alias("layout")))
     said = F.when(is_head, F.col("parts")[3]).otherwise(F.col("text"))
     lines = lines.select("file", block.alias("block"), "n", "tie", "read_at", entry.alias("entry"), said.alias("said"))
 
@@ -206,7 +205,7 @@ def log_entries(df: DataFrame, file: str = "log_file", number: str = "version",
     by_file = Window.partitionBy("file").orderBy("block")
     around = F.coalesce(F.last("some", True).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.first("some", True).over(by_file.rowsBetween(0, Window.unboundedFollowing)))
     held = held.join(times.select("file", "block", around.alias("far")), ["file", "block"])
-    ts = F.when(F.col("entry.yearless").isNotNull(), _nearest(F.col("entry.yearless"), F.coalesce("near", "far"))).otherwise(F.col("entry.known"))
+    ts = F.when(F.col("entry.yearless"), _nearest(F.col("entry.known"), F.coalesce("near", "far"))).otherwise(F.col("entry.known"))
     head = F.when(F.col("entry").isNotNull(), F.struct(ts.alias("ts"), F.col("entry.level").alias("level"), F.col("entry.component").alias("component"), F.col("entry.layout").alias("layout")))
     # what may go on beyond a block, or comes from above it, is put in order by file; all else is whole
     open_ = F.col("here").isNull() | (F.col("here") == F.max("here").over(Window.partitionBy("file", "block")))

@@ -89,3 +89,19 @@ def test_files_are_apart_and_rules_unbounded(spark, monkeypatch):
 def test_blocks_do_not_matter(spark, data):
     df = spark.read.parquet(f"{data}/log_elements.parquet")
     assert rows(log_entries(df, block_lines=5)) == rows(log_entries(df))
+
+
+def test_no_session_time_zone_matters(spark):
+    df = table(spark, [h[0] for h in HEADS])
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [r["ts"] for r in log_entries(df).orderBy("first_version").collect()] == [h[1] for h in HEADS]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_what_only_resembles_a_clock(spark):
+    lines = [HEADS[0][0], "time=2013 level=info", "time=2013-01-01 level=info", "time=2013-01-01T00:10 level=info", "2013-02-30T00:10:22 x INFO: no such day", "2013-01-01T24:10:22 x INFO: no such hour", "E0230 00:10:22.1 26 a.h:7] no such day", "time=a:b:c level=info"]
+    assert [(r["first_version"], r["last_version"]) for r in log_entries(table(spark, lines)).collect()] == [(1, len(lines))]
+    leap = log_entries(table(spark, ["E0229 00:10:22.1 26 a.h:7] a day of 2012"]).withColumn("t_val", F.lit(1330500000))).first()
+    assert leap["ts"] == 1330474222
