@@ -112,6 +112,24 @@ def _typed_sql() -> str:
         t AS (SELECT tuple_id, {columns} FROM m) SELECT * FROM t WHERE {sound}"""
 
 
+def _rejected_sql() -> str:
+    """The rejected records with the byte at which they fail: the end of the longest begin that can still become a record, the first surplus separator, or the start of the wrong field."""
+    form, sound = records.ACCESS_LOG, SQL["p1_found"]
+    part = r'(?:[ \t]*"(?:[^"\\]|\\["\\n])*"[ \t]*|[ \t]*"(?:[^"\\]|\\["\\n])*\\?|[ \t]*[^ \t",][^",]*|[ \t]*)'
+    begin, width = f"(?s)^(?:{_FIELD},)*{part}", len(form.types)
+    wrong = {"I": lambda f: f"coalesce(try_cast(regexp_extract({f}, '^{_I}$', 1) AS INTEGER) IS NULL, true)", "D": lambda f: f"NOT isfinite(coalesce(try_cast(regexp_extract({f}, '^{_D}$', 1) AS DOUBLE), 'inf'::DOUBLE))"}
+    cases, before = [], "0"
+    for i, t in enumerate(form.types):
+        if t != "S":
+            cases.append(f"WHEN {wrong[t](f'x.f{i}')} THEN {before}")
+        before += f" + strlen(x.f{i}) + 1"
+    fields = ",".join([f"({_FIELD})"] * width)
+    return f"""WITH r AS ({sound}), c AS (SELECT tuple_id, site, version, s_val, reason, regexp_extract(s_val, '(?s)^{fields}$', {[f"f{i}" for i in range(width)]!r}) AS x FROM csv_elements JOIN r USING (tuple_id))
+        SELECT tuple_id, site, version, s_val, reason, CASE reason WHEN 'quoting' THEN strlen(regexp_extract(s_val, '{begin}'))
+            WHEN 'column_count' THEN CASE WHEN regexp_matches(s_val, '(?s)^{_FIELD}(?:,{_FIELD}){{{width - 1}}},') THEN strlen(regexp_extract(s_val, '(?s)^{_FIELD}(?:,{_FIELD}){{{width - 1}}}')) ELSE coalesce(strlen(s_val), 0) END
+            ELSE CASE {" ".join(cases)} END END::INTEGER AS error_at FROM c"""
+
+
 SQL = {
     "p1_typed_rows": _typed_sql(),
     "p1_found": f"""
@@ -150,3 +168,4 @@ SQL = {
         SELECT a.period, a.rows, a.size AS size_total, a.p50, b.rows AS rows_before, b.size AS size_before, b.p50 AS p50_before
         FROM (SELECT * FROM r WHERE corrected) a LEFT JOIN (SELECT * FROM r WHERE NOT corrected) b USING (period)""",
 }
+SQL["p1_rejected_rows"] = _rejected_sql()
