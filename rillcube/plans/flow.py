@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row
 
 from rillcube.cube.cube import Cube, CubeQuery
 from rillcube.cube.spec import CubeSpec
-from rillcube.plans.degrade import Policy
+from rillcube.plans.degrade import Ladder, Policy
 from rillcube.plans.registry import Operator, operator
 from rillcube.schema import EngineSchemaError, same_schema
 from rillcube.sources.sinks import client_rows
@@ -43,10 +43,11 @@ class Flow:
     def add_source(self, df: DataFrame, name: str = "source") -> Node:
         return self._add(Node(self, "source", name, lambda parts: df))
 
-    def add_operator(self, name: str | Operator, **cfg) -> Node:
+    def add_operator(self, name: str | Operator, ladder: Ladder | None = None, level: str = "level", **cfg) -> Node:
+        """With a ladder, the operator's argument ``level`` is the step at which the ladder stands when the flow is built."""
         call = operator(name) if isinstance(name, str) else name
         label = name if isinstance(name, str) else getattr(name, "__name__", "operator")
-        return self._add(Node(self, "operator", label, lambda parts: call(parts[0], **cfg)))
+        return self._add(Node(self, "operator", label, lambda parts: call(parts[0], **cfg, **({} if ladder is None else {level: ladder.current}))))
 
     def add_cube(self, spec: CubeSpec) -> Node:
         return self._add(Node(self, "cube", spec.name, lambda parts: Cube.build(spec, parts[0])))
@@ -79,6 +80,10 @@ class Flow:
     def add_policy(self, policy: Policy) -> None:
         self.policies.append(policy)
 
+    def react(self, ratio: float, now: float) -> list[str]:
+        """The ladders that moved when the policies saw a capacity ratio; plans that are built from then on are at the new steps."""
+        return [moved for policy in self.policies if (moved := policy.react(ratio, now)) is not None]
+
     def inputs(self, node: Node) -> list[Node]:
         return [self.nodes[a] for a, b in self.edges if b == node.id]
 

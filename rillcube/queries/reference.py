@@ -16,6 +16,7 @@ from rillcube.cube.spec import Aggregate, CubeSpec, Dimension
 from rillcube.functions import loghist
 from rillcube.operators import evaluate, filters, parse, sampling, topk, transform
 from rillcube.plans import subscriptions as subs
+from rillcube.plans.degrade import Ladder, Policy
 from rillcube.plans.flow import Flow
 from rillcube.session import checkpoint_dir, load
 from rillcube.sources import files, generators
@@ -356,6 +357,18 @@ def variable_sample(spark, d):
     return sampling.variable_sample(load(spark, d, "events").select("event_id", "user_id"), "user_id", 3)
 
 
+@query(f"SELECT event_id, user_id FROM events WHERE {_PLACE} >= {int((1 - 5 / 10) * 2**32)}")
+def degraded_flow(spark, d):
+    """A flow whose policy has put its sampling stage to the step that half the capacity carries."""
+    flow, ladder = Flow(), Ladder("sample", sampling.ladder())
+    source = flow.add_source(load(spark, d, "events").select("event_id", "user_id"))
+    sampled = flow.add_operator("variable_sample", ladder, key="user_id")
+    flow.connect(source, sampled)
+    flow.add_policy(Policy([ladder]))
+    flow.react(0.5, 0.0)
+    return flow.build(sampled)
+
+
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM events) WHERE n % 4 = 0")
 def interval_sample(spark, d):
     return sampling.interval_sample(load(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 3).select("event_id")

@@ -151,6 +151,17 @@ def test_streams(spark, tmp_path):
     assert rows(got) == [(30,)]
 
 
+def test_a_policy_moves_the_plans_of_a_flow(spark):
+    flow, ladder = Flow(), Ladder("limit", [0.25, 0.5, 1.0])
+    source = flow.add_source(spark.range(100).select(F.col("id").alias("n")))
+    cut = flow.add_operator(lambda df, step: df.where(F.col("n") < [25, 50, 100][step]), ladder, "step")
+    flow.connect(source, cut)
+    flow.add_policy(Policy([ladder]))
+    assert flow.build(cut).count() == 100 and flow.react(1.0, 0.0) == []
+    assert flow.react(0.5, 1.0) == ["limit"] and flow.build(cut).count() == 50
+    assert flow.react(0.1, 1.5) == [] and flow.react(0.1, 2.5) == ["limit"] and flow.build(cut).count() == 25
+
+
 def test_external_reader(spark):
     flow = Flow()
     a = flow.add_source(spark.createDataFrame([("x", 1), ("y", 2)], "k string, n int"))
