@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import gcd, lcm
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rillcube.operators.transform import domain
@@ -43,14 +44,36 @@ def latency_report(df: DataFrame, period: Column, source: str, size: Column, lat
     return figures.join(wide, F.col("period").eqNullSafe(F.col("p_period")), "left").drop("p_period")
 
 
+def _opened(cells: DataFrame, key: str, folds: Sequence[int], name: str) -> DataFrame:
+    """``fold, <name>``: the distinct (key, time bucket) pairs of each fold, from cells put in order within a key and the span in which
+    all buckets close; a cell opens a bucket if its neighbour before is of another one."""
+    span = lcm(*[f for f in folds if f]) if any(folds) else 1
+    order = Window.partitionBy(key, F.floor(F.col("t") / span)).orderBy("t")
+    cells = cells.select(key, "t", F.lag("t").over(order).alias("before"))
+    first = F.col("before").isNull()
+    opens = [F.struct(F.lit(f).alias("fold"), F.count(F.when(first | (F.floor(F.col("t") / f) != F.floor(F.col("before") / f)), 1)).alias(name)) for f in folds if f]
+    counts = cells.agg(F.array(*opens).alias("c")).select(F.explode("c").alias("c")).select("c.*") if opens else None
+    if 0 not in folds:
+        return counts
+    whole = cells.where(first).select(key).distinct().agg(F.lit(0).alias("fold"), F.count(F.lit(1)).alias(name))
+    return whole if counts is None else counts.unionByName(whole)
+
+
 def key_compression(df: DataFrame, time: Column, url: Column, folds: Sequence[int]) -> DataFrame:
-    """Rows per distinct (key, time bucket) for urls and their domains, for each fold of time (0: all time)."""
-    folded = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), (F.lit(0).cast("long") if f == 0 else time - time % f).alias("bucket")) for f in folds]))
-    keys = df.select(time.alias("t"), url.alias("url"), folded.alias("x")).groupBy(F.col("x.fold").alias("fold"), F.col("x.bucket").alias("bucket"), "url").agg(F.count(F.lit(1)).alias("n"))
-    urls = keys.groupBy("fold").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("url_keys"))
-    domains = keys.groupBy("fold", "bucket", domain(F.col("url")).alias("d")).agg(F.sum("n").alias("n")).groupBy(F.col("fold").alias("f")).agg(F.count(F.lit(1)).alias("domain_keys"))
-    joined = urls.join(domains, F.col("fold") == F.col("f")).drop("f")
-    return joined.withColumns({"url_ratio": F.col("rows") / F.col("url_keys"), "domain_ratio": F.col("rows") / F.col("domain_keys")})
+    """Rows per distinct (key, time bucket) for urls and their domains, for each fold of time (0: all time).
+
+    Rows are combined by the folds' common step first, and no row is multiplied by the number of folds; a hot url has at most one cell a step.
+    """
+    step = gcd(*folds) or 1
+    at = F.floor(time / step).cast("long") * step if any(folds) else F.lit(0).cast("long")
+    cells = df.select(at.alias("t"), url.alias("url")).groupBy("url", "t").agg(F.count(F.lit(1)).alias("n"))
+    by_domain = cells.groupBy(domain(F.col("url")).alias("domain"), "t").agg(F.sum("n").alias("n"))
+    urls = _opened(cells, "url", folds, "url_keys")
+    domains = _opened(by_domain, "domain", folds, "domain_keys").withColumnRenamed("fold", "f")
+    joined = urls.join(domains, F.col("fold") == F.col("f"))
+    rows = F.coalesce(cells.agg(F.sum("n").alias("rows")).scalar(), F.lit(0).cast("long"))
+    joined = joined.withColumn("rows", rows)
+    return joined.select("fold", "rows", "url_keys", "domain_keys", F.try_divide("rows", "url_keys").alias("url_ratio"), F.try_divide("rows", "domain_keys").alias("domain_ratio"))
 
 
 def hierarchy_counts(df: DataFrame, axes: Mapping[str, Column], separators: Mapping[str, str], count: Column) -> DataFrame:
