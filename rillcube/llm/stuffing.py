@@ -40,7 +40,7 @@ CLAUSE_WORDS, UNIT_WORDS, SHORT_CLAUSES = 3, 5, 2
 #: A unit is damaged text from this share of unprintable characters, or of letters in words of more than LONG letters.
 DAMAGED_SIGNS, DAMAGED_LETTERS, LONG = 0.04, 0.5, 40
 
-_LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>|,;]+|(?<![\w@.])(?:[\w-]+\.)+[a-z]{2,}/[^\s<>|,;]*", re.I)
+_LINK = re.compile(r"<a\s[^<>]*>.*?</a>|\[[^\[\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>|,;]+|(?<![\w@.-])(?:[\w-]+\.)+[a-z]{2,}/[^\s<>|,;]*", re.I)
 _END = re.compile(r"(?<=[.!?…])[\"”»“’')\]]*(?:\s+|$)|[。！？](?:[”」』])?")
 _CODE = re.compile(r"\b[A-Z]{2,}[-/ ]?\d{2,}\b")
 _MARK = re.compile(r"<\w+>|(?<!\w)#\w")

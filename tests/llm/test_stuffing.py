@@ -1,5 +1,7 @@
 """Rules of problem 9 that look at more than one unit of a page."""
 
+import time
+
 import pytest
 
 from rillcube.llm import stuffing
@@ -95,3 +97,10 @@ def test_held_out_lists(name):
 def test_one_pattern_of_sentences_is_no_keyword_list():
     lines = [f"The {a} costs {n} pounds, but the {b} is {c}." for n, (a, b, c) in enumerate([("lamp", "door", "old"), ("door", "lamp", "green"), ("shelf", "table", "new"), ("table", "lamp", "old"), ("door", "shelf", "green"), ("lamp", "table", "new")], 3)]
     assert not stuffing.is_stuffed("\n".join(lines)) and not stuffing.is_stuffed("\n".join(x.lower() for x in lines))
+
+
+@pytest.mark.parametrize("text", ["a-" * 60_000, "[" * 120_000, "x." * 60_000, "<a " * 40_000, "! " * 60_000, "A1 " * 40_000, "，" * 100_000, "word " * 50_000, "." * 100_000 + "\"" * 100_000])
+def test_very_long_texts_take_no_longer_than_their_length(text):
+    began = time.perf_counter()
+    stuffing.is_stuffed(text)
+    assert time.perf_counter() - began < 10
